@@ -47,3 +47,8 @@ def clamp(c: Column, low: float | Column, high: float | Column) -> Column:
 
 def first_char_upper(c: Column) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30)))
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times inside ``body``."""
+    return F.transform(F.array(value), body)[0]

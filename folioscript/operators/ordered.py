@@ -151,7 +151,7 @@ def preceding_rows(
     pos = F.col(position)
     own = rank_block(pos, rows_per_block)
     spill = (pos % rows_per_block) >= rows_per_block - n
-    df = df.withColumn("_in", F.explode(F.when(spill, F.array(own, own + 1)).otherwise(F.array(own))))
+    df = df.withColumn("_in", F.explode_outer(F.when(spill, F.array(own, own + 1)).otherwise(F.array(own))))
     w = Window.partitionBy(*keys, "_in").orderBy(position).rowsBetween(-n, -1)
     return df.withColumn(name, F.collect_list(F.struct(*cols)).over(w)).filter(F.col("_in") == own).drop("_in")
 

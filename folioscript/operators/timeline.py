@@ -138,7 +138,7 @@ def timed_phrases(timed: DataFrame) -> DataFrame:
         "_ph", F.transform("_pieces", lambda p, i: F.struct(
             i.cast("long").alias("phrase_idx"), p.alias("phrase"), F.col("_w")[i].alias("weight"), F.col("_sum")[i].alias("before"))))
     return rows.select(
-        *timed.columns, F.element_at("_sum", -1).alias("_total"), F.inline("_ph")
+        *timed.columns, F.element_at("_sum", -1).alias("_total"), F.inline_outer("_ph")
     ).withColumns({
         "phrase_start_sec": F.col("start_sec") + F.col("duration_sec") * F.col("before") / F.col("_total"),
         "phrase_duration_sec": F.col("duration_sec") * F.col("weight") / F.col("_total"),

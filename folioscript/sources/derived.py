@@ -11,7 +11,7 @@ from folioscript.sources.model import Model
 def line_segments(m: Model) -> DataFrame:
     """Every document line as a timed segment: (chapter_id, idx, text, start_sec, duration_sec)."""
     lines = m.table("documents").select(
-        F.col("doc_id").alias("chapter_id"), F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+        F.col("doc_id").alias("chapter_id"), F.posexplode_outer(F.split("text", "\n")).alias("idx", "text"))
     return lines.filter(F.length("text") > 0).select(
         "chapter_id", F.col("idx").cast("long"), "text",
         (F.col("idx") * 10.0).alias("start_sec"), (F.length("text") / 16.0).alias("duration_sec"))
@@ -26,7 +26,7 @@ def playheads(m: Model) -> DataFrame:
     """Three playhead positions per chapter."""
     return m.chapters.select(
         F.col("id").alias("chapter_id"),
-        F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.struct(
+        F.explode_outer(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.struct(
             (F.col("id") * 3 + k).alias("probe_id"), (F.col("id") % 40 + k * 25).cast("double").alias("t")))).alias("p"),
     ).select("chapter_id", "p.probe_id", "p.t")
 
