@@ -36,3 +36,102 @@ def chapter_credits(segments: DataFrame, chapters: DataFrame, books: DataFrame)
 def work_totals(segments: DataFrame) -> DataFrame:
     weight = D.work_weight(F.col("kind"), F.col("text"), F.col("sfx_duration_sec"))
     return segments.groupBy("chapter_id").agg(F.sum(weight).alias("total"))
+
+
+# ---- render plan and cache ------------------------------------------------
+TITLE_PAUSE_V3 = " [pause]"
+TITLE_PAUSE_V2 = ' <break time="1.5s" />'
+PREVIEW_MAX = 300
+SETTINGS = ["stability", "similarity_boost", "style", "speed"]
+_DELIVERY_MAP = lambda: F.create_map(*[x for name, tag, a, b, c in D.DELIVERIES for x in (
+    F.lit(name), F.struct(F.lit(tag).alias("tag"), F.lit(a).alias("stability"), F.lit(b).alias("style"), F.lit(c).alias("speed")))])
+
+
+def render_plan(lines: DataFrame) -> DataFrame:
+    """What is sent for each speech line, by model family.
+
+    ``lines`` carry text, delivery, render_model, is_title and struct ``voice``.
+    Third-generation models take an inline tag and a snapped stability; others
+    take small setting changes. The twelve rules are a literal map, not a join.
+    """
+    df = lines.withColumn("_d", _DELIVERY_MAP()[F.col("delivery")])
+    v3 = F.col("render_model") == D.V3_MODEL
+    voice = lambda c: F.col(f"voice.{c}")
+    stability, style, speed = D.nudged_settings(
+        voice("stability"), voice("style"), voice("speed"), F.col("_d.stability"), F.col("_d.style"), F.col("_d.speed"))
+    tag = F.when(v3 & F.col("_d").isNotNull(), F.concat("_d.tag", F.lit(" "))).otherwise("")
+    pause = F.when(F.col("is_title"), F.when(v3, TITLE_PAUSE_V3).otherwise(TITLE_PAUSE_V2)).otherwise("")
+    return df.withColumns({
+        "rendered_text": F.concat(tag, F.col("text"), pause),
+        "r_stability": F.when(v3, D.snapped_stability(voice("stability"))).otherwise(stability),
+        "r_similarity": voice("similarity_boost"),
+        "r_style": F.when(v3, voice("style")).otherwise(style),
+        "r_speed": F.when(v3, voice("speed")).otherwise(speed),
+    }).drop("_d")
+
+
+def _canon(c: Column) -> Column:
+    """A setting as whole thousandths, so equal settings give equal keys."""
+    return F.round(c * 1000).cast("long").cast("string")
+
+
+def content_key(*parts: Column) -> Column:
+    """SHA-256 over a canonical tuple; parts are separated by U+001F."""
+    return F.sha2(F.concat_ws("\u001f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+
+
+def with_cache_key(plan: DataFrame) -> DataFrame:
+    speech = content_key(F.col("rendered_text"), F.col("voice.voice_id"), _canon(F.col("r_stability")), _canon(F.col("r_similarity")),
+                         _canon(F.col("r_style")), _canon(F.col("r_speed")), F.col("render_model"), F.col("voice.seed"))
+    sfx = content_key(F.col("text"), _canon(SFX_SEC()), F.lit("sfx-v2"))
+    return plan.withColumn("cache_key", F.when(F.col("kind") == "sfx", sfx).otherwise(speech))
+
+
+def preview_key(voice_id: Column, text: Column, settings: list[Column]) -> Column:
+    return content_key(voice_id, F.left(text, F.lit(PREVIEW_MAX)), *[_canon(s) for s in settings], F.lit(D.HALF_RATE_MODEL))
+
+
+def intro_key(intro: Column, brief: Column, voice_id: Column, settings: list[Column], model: Column) -> Column:
+    return F.left(content_key(intro, brief, voice_id, *[_canon(s) for s in settings], model, F.lit("intro-v3")), F.lit(16))
+
+
+def probe_cache(plan: DataFrame, clips: DataFrame) -> DataFrame:
+    """Add ``is_cached``; of several lines with one new key only the first is rendered."""
+    known = clips.select("cache_key", F.lit(True).alias("_known"))
+    first = plan.groupBy("cache_key").agg(F.min(F.struct("chapter_id", "idx")).alias("_f")).select(
+        "cache_key", "_f.chapter_id", "_f.idx", F.lit(True).alias("_first"))
+    df = plan.join(known, "cache_key", "left").join(first, ["cache_key", "chapter_id", "idx"], "left")
+    return df.withColumn("is_cached", F.col("_known").isNotNull() | F.col("_first").isNull()).drop("_known", "_first")
+
+
+def fresh_cost(probed: DataFrame) -> DataFrame:
+    """Per chapter: lines, cached lines, and credits or characters still to pay for."""
+    pay = F.when(F.col("is_cached"), 0).when(F.col("kind") == "sfx", D.sfx_credits(SFX_SEC())).otherwise(F.length("rendered_text").cast("long"))
+    return probed.groupBy("chapter_id").agg(
+        F.count("*").alias("lines"), _count(F.col("is_cached")).alias("cached"), F.sum(pay).cast("long").alias("to_pay"))
+
+
+def stitch_chains(probed: DataFrame) -> DataFrame:
+    """Runs of fresh lines with one voice, and the up to three clips each line follows.
+
+    A chain breaks on a voice change, a cached clip or a sound effect.
+    """
+    keys, order, block = ["chapter_id"], [F.col("idx")], O.rank_block(F.col("idx"))
+    df = probed.withColumn("_fresh", ~F.col("is_cached") & (F.col("kind") != "sfx"))
+    df = df.withColumn("_voice", F.col("voice.voice_id"))
+    df = O.previous_row(df, keys, order, ["_fresh", "_voice"], "prev", block)
+    goes_on = F.col("_fresh") & F.coalesce(F.col("prev._fresh"), F.lit(False)) & F.col("prev._voice").eqNullSafe(F.col("_voice"))
+    df = df.withColumn("_breaks", ~goes_on)
+    df = O.islands(df, keys, order, F.col("_breaks"), "chain", block)
+    df = O.dense_index(df, keys, order, "_pos", block)
+    df = O.preceding_rows(df, keys, "_pos", 3, ["idx", "chain"], "_last")
+    same = F.filter("_last", lambda x: x["chain"] == F.col("chain"))
+    stitched = F.when(F.col("_fresh") & (F.col("render_model") != D.V3_MODEL), F.transform(same, lambda x: x["idx"])).otherwise(
+        F.array().cast("array<bigint>"))
+    return df.withColumn("follows", stitched).drop("_fresh", "_voice", "_breaks", "_pos", "_last", "prev")
+
+
+def batches(segments: DataFrame, size: int) -> DataFrame:
+    """Number every ``size`` consecutive segments of a chapter as one batch."""
+    df = O.dense_index(segments, ["chapter_id"], [F.col("idx")], "_pos", O.rank_block(F.col("idx")))
+    return df.withColumn("batch", F.floor(F.col("_pos") / size).cast("long")).drop("_pos")

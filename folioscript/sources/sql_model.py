@@ -137,4 +137,6 @@ def with_model(sql: str, extra: dict[str, str] | None = None, recursive: bool =
     if not needed:
         return sql
     head = "WITH RECURSIVE " if recursive else "WITH "
-    return head + ",\n".join(f"{n} AS ({pool[n]})" for n in needed) + "\n" + sql
+    # Recursive steps read their inputs once per round, so those are kept as results.
+    keep = lambda n: " MATERIALIZED" if recursive and not re.search(rf"\bFROM {n}\b", pool[n]) else ""
+    return head + ",\n".join(f"{n} AS{keep(n)} ({pool[n]})" for n in needed) + "\n" + sql
