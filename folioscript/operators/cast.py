@@ -119,7 +119,7 @@ def alias_components(mentions: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating star contraction: each round links every neighbour of a node to
     the smallest key it knows, directly. Edges never multiply, a hub's links are
     spread over the joins, and the number of rounds is logarithmic. Lineage is
-    cut at a reliable checkpoint each round.
+    cut at a written table each round.
     """
     keyed = mentions.withColumn("key", lower_key(F.col("name"))).filter("key <> ''")
     names = keyed.select("book_id", "key").distinct()

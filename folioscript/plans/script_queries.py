@@ -17,6 +17,7 @@ from folioscript.plans.cast_queries import DICT
 from folioscript.plans.text_queries import _W, PARAS, pack_sql, _worth
 from folioscript.operators.pack import NARRATION
 from folioscript.plans.timeline_queries import HARD, PHRASE_CTES, SOFT
+from folioscript.session import cut_lineage
 from folioscript.sources import samples as S
 from folioscript.sources.model import Model, pick
 from folioscript.sources.sql_model import WS, key, trim_ws, with_model
@@ -26,7 +27,10 @@ from folioscript.sources.sql_model import pick as spick
 
 
 def spanned(m: Model):
-    return SC.prepared_chapters(m.quoted_chapters)
+    """Chapters with their spans, written once because several steps read them."""
+    if "spanned" not in m.shared:
+        m.shared["spanned"] = cut_lineage(SC.prepared_chapters(m.quoted_chapters), "spans")
+    return m.shared["spanned"]
 
 
 def _spans(m: Model):
@@ -51,7 +55,7 @@ def _pov(m: Model):
 
 def scripted(m: Model):
     ch = spanned(m)
-    answers = SC.resolved_attributions(m.quoted_chapters, attributions(_spans(m)), CA.name_dictionary(m.characters))
+    answers = SC.resolved_attributions(ch, attributions(_spans(m)), CA.name_dictionary(m.characters))
     return SC.with_script(ch, answers, _pov(m))
 
 
@@ -80,7 +84,8 @@ def quote_styles(spark, d):
 
 
 def quote_spans(spark, d):
-    return _spans(Model(spark, d)).select("chapter_id", "span_idx", "kind", "start", "end", F.md5("text").alias("text_hash"), "flagged", "q")
+    ch = SC.prepared_chapters(Model(spark, d).quoted_chapters)
+    return QT.span_rows(ch, ["chapter_id"]).select("chapter_id", "span_idx", "kind", "start", "end", F.md5("text").alias("text_hash"), "flagged", "q")
 
 
 def span_tiling_breaks(spark, d):
@@ -94,11 +99,11 @@ def span_tiling_breaks(spark, d):
 
 
 def attribution_chunks(spark, d):
-    return QT.attribution_chunks(spanned(Model(spark, d)), ["chapter_id"])
+    return QT.attribution_chunks(SC.prepared_chapters(Model(spark, d).quoted_chapters), ["chapter_id"])
 
 
 def marked_passages(spark, d):
-    return QT.passages(spanned(Model(spark, d)), ["chapter_id"], "clean_text").select("chapter_id", "chunk", F.md5("passage").alias("passage_hash"), F.length("passage").cast("long").alias("n"))
+    return QT.passages(SC.prepared_chapters(Model(spark, d).quoted_chapters), ["chapter_id"], "clean_text").select("chapter_id", "chunk", F.md5("passage").alias("passage_hash"), F.length("passage").cast("long").alias("n"))
 
 
 def rolling_context(spark, d):
@@ -111,20 +116,24 @@ def assembled_script(spark, d):
     return assembled(Model(spark, d)).select("chapter_id", "idx", "character_id", "kind", F.md5("text").alias("text_hash"), F.length("text").cast("long").alias("n"), "flagged")
 
 
+def _written_script(m: Model):
+    return cut_lineage(assembled(m), "script")
+
+
 def delivery_notes(spark, d):
-    script = assembled(Model(spark, d))
+    script = _written_script(Model(spark, d))
     return SC.valid_delivery_notes(script, _notes(script))
 
 
 def sound_cues(spark, d):
     m = Model(spark, d)
-    script = assembled(m)
+    script = _written_script(m)
     return SC.valid_cues(script, spanned(m), m.books, _cues(script)).withColumn("seconds", F.round("seconds", 4))
 
 
 def final_script(spark, d):
     m = Model(spark, d)
-    script = assembled(m)
+    script = _written_script(m)
     out = SC.final_script(script, SC.valid_delivery_notes(script, _notes(script)), SC.valid_cues(script, spanned(m), m.books, _cues(script)))
     return out.select("chapter_id", "idx", "kind", "character_id", "delivery", "text_hash", F.round("sfx_duration_sec", 4).alias("sfx_duration_sec"))
 
@@ -156,7 +165,7 @@ def _plan(m: Model):
 
 
 def _probed(m: Model):
-    plan = _plan(m)
+    plan = cut_lineage(_plan(m), "plan")
     clips = plan.select("cache_key").distinct().filter(F.substring("cache_key", 1, 1) < "6")
     return C.probe_cache(plan, clips)
 
@@ -179,7 +188,7 @@ def fresh_cost(spark, d):
 
 
 def stitch_chains(spark, d):
-    return C.stitch_chains(_probed(Model(spark, d))).select("chapter_id", "idx", "chain", F.array_join("follows", ",").alias("follows"))
+    return C.stitch_chains(cut_lineage(_probed(Model(spark, d)), "probed")).select("chapter_id", "idx", "chain", F.array_join("follows", ",").alias("follows"))
 
 
 def render_batches(spark, d):

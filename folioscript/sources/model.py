@@ -39,6 +39,7 @@ class Model:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = tune(spark)
         self.dir = sf_dir.rstrip("/")
+        self.shared: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
