@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscript.plans import cast_queries, script_queries, status_queries, text_queries, timeline_queries
+from folioscript.plans import cast_queries, script_queries, status_queries, stream_queries, text_queries, timeline_queries
 
-MODULES = [text_queries, timeline_queries, cast_queries, status_queries, script_queries]
+MODULES = [text_queries, timeline_queries, cast_queries, status_queries, script_queries, stream_queries]
 
 
 def all_queries() -> dict:

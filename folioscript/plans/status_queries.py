@@ -22,16 +22,21 @@ GAP_SEC = 4 * 3600
 STATUS_OF_EVENT = {"signup": "queued", "view": "running", "click": "cancelled", "purchase": "completed", "error": "failed"}
 
 
-def job_events(m: Model):
+def events_as_updates(events):
+    """The event log in the columns of a job update log."""
     status = None
     for k, v in STATUS_OF_EVENT.items():
         status = F.when(F.col("event_type") == k, v) if status is None else status.when(F.col("event_type") == k, v)
-    return m.table("events").select(
+    return events.select(
         F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts_s"),
         status.alias("status"), F.floor("value").cast("long").alias("done"),
         F.get_json_object("props", "$.k").cast("long").alias("chars_used"), F.concat(F.lit("note "), F.col("event_id").cast("string")).alias("note"))
 
 
+def job_events(m: Model):
+    return events_as_updates(m.table("events"))
+
+
 EVENTS_CTE = {"ev": "SELECT user_id AS job_id, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS ts_s, CASE event_type "
               + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATUS_OF_EVENT.items())
               + " END AS status, CAST(floor(value) AS BIGINT) AS done, CAST(json_extract_string(props, '$.k') AS BIGINT) AS chars_used, 'note ' || event_id AS note FROM events"}
