@@ -63,6 +63,7 @@ def render_plan(lines: DataFrame) -> DataFrame:
     pause = F.when(F.col("is_title"), F.when(v3, TITLE_PAUSE_V3).otherwise(TITLE_PAUSE_V2)).otherwise("")
     return df.withColumns({
         "rendered_text": F.concat(tag, F.col("text"), pause),
+        "rendered_chars": (F.length(tag) + F.length("text") + F.length(pause)).cast("long"),
         "r_stability": F.when(v3, D.snapped_stability(voice("stability"))).otherwise(stability),
         "r_similarity": voice("similarity_boost"),
         "r_style": F.when(v3, voice("style")).otherwise(style),
@@ -106,7 +107,7 @@ def probe_cache(plan: DataFrame, clips: DataFrame) -> DataFrame:
 
 def fresh_cost(probed: DataFrame) -> DataFrame:
     """Per chapter: lines, cached lines, and credits or characters still to pay for."""
-    pay = F.when(F.col("is_cached"), 0).when(F.col("kind") == "sfx", D.sfx_credits(SFX_SEC())).otherwise(F.length("rendered_text").cast("long"))
+    pay = F.when(F.col("is_cached"), 0).when(F.col("kind") == "sfx", D.sfx_credits(SFX_SEC())).otherwise(F.col("rendered_chars"))
     return probed.groupBy("chapter_id").agg(
         F.count("*").alias("lines"), _count(F.col("is_cached")).alias("cached"), F.sum(pay).cast("long").alias("to_pay"))
 
@@ -116,19 +117,20 @@ def stitch_chains(probed: DataFrame) -> DataFrame:
 
     A chain breaks on a voice change, a cached clip or a sound effect.
     """
-    keys, order, block = ["chapter_id"], [F.col("idx")], O.rank_block(F.col("idx"))
-    df = probed.withColumn("_fresh", ~F.col("is_cached") & (F.col("kind") != "sfx"))
-    df = df.withColumn("_voice", F.col("voice.voice_id"))
-    df = O.previous_row(df, keys, order, ["_fresh", "_voice"], "prev", block)
+    keys, order = ["chapter_id"], [F.col("idx")]
+    df = O.with_blocks(probed, O.rank_block(F.col("idx"))).withColumns({
+        "_fresh": ~F.col("is_cached") & (F.col("kind") != "sfx"), "_voice": F.col("voice.voice_id")})
+    df = O.previous_row(df, keys, order, ["_fresh", "_voice"], "prev")
     goes_on = F.col("_fresh") & F.coalesce(F.col("prev._fresh"), F.lit(False)) & F.col("prev._voice").eqNullSafe(F.col("_voice"))
     df = df.withColumn("_breaks", ~goes_on)
-    df = O.islands(df, keys, order, F.col("_breaks"), "chain", block)
-    df = O.dense_index(df, keys, order, "_pos", block)
+    one = lambda c: F.when(c, 1).otherwise(0).cast("long")
+    df = O.running_sums(df, keys, order, {"chain": one(F.col("_breaks")), "_nth": one(F.lit(True))})
+    df = O.without_blocks(df.withColumn("_pos", F.col("_nth") - 1))
     df = O.preceding_rows(df, keys, "_pos", 3, ["idx", "chain"], "_last")
     same = F.filter("_last", lambda x: x["chain"] == F.col("chain"))
     stitched = F.when(F.col("_fresh") & (F.col("render_model") != D.V3_MODEL), F.transform(same, lambda x: x["idx"])).otherwise(
         F.array().cast("array<bigint>"))
-    return df.withColumn("follows", stitched).drop("_fresh", "_voice", "_breaks", "_pos", "_last", "prev")
+    return df.withColumn("follows", stitched).drop("_fresh", "_voice", "_breaks", "_nth", "_pos", "_last", "prev")
 
 
 def batches(segments: DataFrame, size: int) -> DataFrame:

@@ -30,6 +30,24 @@ def time_block(ts: Column, seconds: int = 3600) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
 
 
+def with_blocks(df: DataFrame, block: Column) -> DataFrame:
+    """Fix the blocks once for several steps over the same order.
+
+    The steps then share one partitioning by (key, block), so only the first
+    one shuffles the rows. Undo with :func:`without_blocks`.
+    """
+    return df.withColumn(_BLK, block)
+
+
+def without_blocks(df: DataFrame) -> DataFrame:
+    return df.drop(_BLK)
+
+
+def _blocked(df: DataFrame, block: Column | None) -> tuple[DataFrame, list[str]]:
+    """The frame with its block column, and what to drop afterwards."""
+    return (df, []) if _BLK in df.columns else (df.withColumn(_BLK, block), [_BLK])
+
+
 def _attach(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(carry, [*keys, _BLK], "left")
 
@@ -39,12 +57,12 @@ def running_sums(
     keys: list[str],
     order: list[Column],
     sums: dict[str, Column],
-    block: Column,
+    block: Column | None = None,
     exclusive: bool = False,
 ) -> DataFrame:
     """Prefix sums along ``order`` within ``keys``; exclusive leaves the own row out."""
     end = -1 if exclusive else 0
-    df = df.withColumn(_BLK, block)
+    df, own = _blocked(df, block)
     inside = (
         Window.partitionBy(*keys, _BLK).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     )
@@ -60,42 +78,43 @@ def running_sums(
     out = _attach(rows, carry, keys)
     return out.withColumns(
         {name: F.col(name) + F.coalesce(F.col(f"_c_{name}"), F.lit(0)) for name in sums}
-    ).drop(_BLK, *[f"_c_{name}" for name in sums])
+    ).drop(*own, *[f"_c_{name}" for name in sums])
 
 
 def running_count(
-    df: DataFrame, keys: list[str], order: list[Column], name: str, block: Column,
+    df: DataFrame, keys: list[str], order: list[Column], name: str, block: Column | None = None,
     when: Column | None = None, exclusive: bool = False,
 ) -> DataFrame:
     one = F.lit(1).cast("long") if when is None else F.when(when, 1).otherwise(0).cast("long")
     return running_sums(df, keys, order, {name: one}, block, exclusive)
 
 
-def dense_index(df: DataFrame, keys: list[str], order: list[Column], name: str, block: Column) -> DataFrame:
+def dense_index(df: DataFrame, keys: list[str], order: list[Column], name: str, block: Column | None = None) -> DataFrame:
     """0-based position of each row inside its key."""
     return running_count(df, keys, order, name, block, exclusive=True)
 
 
 def previous_row(
-    df: DataFrame, keys: list[str], order: list[Column], cols: list[str], name: str, block: Column
+    df: DataFrame, keys: list[str], order: list[Column], cols: list[str], name: str, block: Column | None = None
 ) -> DataFrame:
     """The row before this one as struct ``name`` (null on the first row of a key)."""
-    df = df.withColumn(_BLK, block)
+    df, own = _blocked(df, block)
     packed = F.struct(*cols)
     rows = df.withColumn(name, F.lag(packed).over(Window.partitionBy(*keys, _BLK).orderBy(*order)))
     lasts = df.groupBy(*keys, _BLK).agg(F.max_by(packed, F.struct(*order)).alias("_last"))
     carry = lasts.select(
         *keys, _BLK, F.lag("_last").over(Window.partitionBy(*keys).orderBy(_BLK)).alias("_c")
     ).filter("_c IS NOT NULL")
-    return _attach(rows, carry, keys).withColumn(name, F.coalesce(name, "_c")).drop(_BLK, "_c")
+    return _attach(rows, carry, keys).withColumn(name, F.coalesce(name, "_c")).drop(*own, "_c")
 
 
 def nearest(
     df: DataFrame, keys: list[str], order: list[Column], value: Column, when: Column,
-    name: str, block: Column, ahead: bool = False, inclusive: bool = False,
+    name: str, block: Column | None = None, ahead: bool = False, inclusive: bool = False,
 ) -> DataFrame:
     """Last ``value`` before (or first after) the row among rows where ``when`` holds."""
-    df = df.withColumn(_BLK, block).withColumn("_v", F.when(when, F.struct(value.alias("v"))))
+    df, added = _blocked(df, block)
+    df = df.withColumn("_v", F.when(when, F.struct(value.alias("v"))))
     step = 0 if inclusive else (1 if ahead else -1)
     inside = Window.partitionBy(*keys, _BLK).orderBy(*order)
     blocks = Window.partitionBy(*keys).orderBy(_BLK)
@@ -113,11 +132,11 @@ def nearest(
         .select(*keys, _BLK, far.alias("_c")).filter("_c IS NOT NULL")
     )
     out = _attach(rows, carry, keys).withColumn("_hit", F.coalesce("_own", "_c"))
-    return out.withColumn(name, F.col("_hit.v")).drop(_BLK, "_v", "_own", "_c", "_hit")
+    return out.withColumn(name, F.col("_hit.v")).drop(*added, "_v", "_own", "_c", "_hit")
 
 
 def islands(
-    df: DataFrame, keys: list[str], order: list[Column], starts: Column, name: str, block: Column
+    df: DataFrame, keys: list[str], order: list[Column], starts: Column, name: str, block: Column | None = None
 ) -> DataFrame:
     """Number runs of rows; a row where ``starts`` holds opens a new run."""
     return running_count(df, keys, order, name, block, when=starts)

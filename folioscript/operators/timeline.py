@@ -64,8 +64,9 @@ def neighbour_text(segments: DataFrame) -> DataFrame:
     """Tail of the nearest speech before and head of the nearest speech after."""
     order, block = _by_idx()
     speech = F.col("kind") != "sfx"
-    df = O.nearest(segments, KEY, order, F.expr(f"right(text, {D.CONTEXT_CHARS})"), speech, "previous_text", block)
-    return O.nearest(df, KEY, order, F.expr(f"left(text, {D.CONTEXT_CHARS})"), speech, "next_text", block, ahead=True)
+    df = O.with_blocks(segments, block)
+    df = O.nearest(df, KEY, order, F.expr(f"right(text, {D.CONTEXT_CHARS})"), speech, "previous_text")
+    return O.without_blocks(O.nearest(df, KEY, order, F.expr(f"left(text, {D.CONTEXT_CHARS})"), speech, "next_text", ahead=True))
 
 
 def progress_before(segments: DataFrame) -> DataFrame:

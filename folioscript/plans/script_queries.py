@@ -165,7 +165,8 @@ def _plan(m: Model):
 
 
 def _probed(m: Model):
-    plan = cut_lineage(_plan(m), "plan")
+    narrow = ["chapter_id", "idx", "kind", "cache_key", "render_model", "sfx_duration_sec", "rendered_chars", "voice"]
+    plan = cut_lineage(_plan(m).select(*narrow), "plan")
     clips = plan.select("cache_key").distinct().filter(F.substring("cache_key", 1, 1) < "6")
     return C.probe_cache(plan, clips)
 
@@ -188,7 +189,7 @@ def fresh_cost(spark, d):
 
 
 def stitch_chains(spark, d):
-    return C.stitch_chains(cut_lineage(_probed(Model(spark, d)), "probed")).select("chapter_id", "idx", "chain", F.array_join("follows", ",").alias("follows"))
+    return C.stitch_chains(cut_lineage(_probed(Model(spark, d)).drop("cache_key"), "probed")).select("chapter_id", "idx", "chain", F.array_join("follows", ",").alias("follows"))
 
 
 def render_batches(spark, d):

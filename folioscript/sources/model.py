@@ -109,9 +109,9 @@ class Model:
         ).agg(
             F.max("l_quantity").alias("q"), F.max("l_discount").alias("d"),
             F.min("l_suppkey").alias("sk"), F.min("l_partkey").alias("pk"),
-            F.min("l_returnflag").alias("rf"),
+            F.min(F.ascii("l_returnflag")).alias("rf"),
         )
-        kind = F.when(F.col("rf") == "A", "dialogue").when(F.col("rf") == "N", "narration").otherwise("sfx")
+        kind = F.when(F.col("rf") == ord("A"), "dialogue").when(F.col("rf") == ord("N"), "narration").otherwise("sfx")
         pk, sk = F.col("pk"), F.col("sk")
         missing = pk % 50 == 0
         return rows.select(
