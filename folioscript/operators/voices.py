@@ -12,6 +12,7 @@ from folioscript.functions import domains as D
 from folioscript.functions.js import is_blank, lower_key
 from folioscript.operators import ordered as O
 from folioscript.operators.cast import cast_order
+from folioscript.session import cut_lineage
 
 # Catalog and search limits, rationale rules.
 SEARCH_LIMIT, SEARCH_MAX, LOCAL_FIRST_MAX, LIVE_MAX = 14, 25, 80, 40
@@ -69,28 +70,40 @@ def text_matches(q: Column, *fields: str) -> Column:
     return F.lower(F.concat_ws("\u0001", *fields)).contains(F.lower(q))
 
 
-def search_catalog(requests: DataFrame, voices: DataFrame) -> DataFrame:
-    """Shortlist per request (request_id, gender, accent, age, query, limit).
+def search_catalog(requests: DataFrame, voices: DataFrame, shard_rows: int = 1000) -> DataFrame:
+    """Shortlist per request (request_id, gender, accent, age, query, limit): (request_id, rank, id).
 
-    Requests meet voices on the accent family or gender only through a residual
-    filter, so the smaller side is broadcast when its size allows it and the
-    result is cut per request on the map side.
+    The catalog is laid out as short ordered arrays per gender class. A request
+    meets the arrays of the classes it accepts through an equi-join and filters
+    them inside its row, so no request-voice pairs are built and each array adds
+    at most 25 rows.
     """
+    empty = lambda c: F.coalesce(c, F.lit("")) == ""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    hay = F.lower(F.concat_ws(" ", "name", *[blank(F.col(c)) for c in ("descriptive", "description", "use_case", "accent")]))
+    entry = F.struct("ordinal", "id", F.lower("gender").alias("gender"), F.lower(blank(F.col("accent"))).alias("accent"),
+                     D.age_bucket_of_voice(F.col("age")).alias("bucket"), hay.alias("hay"))
+    shards = with_voice_class(voices).groupBy("v_gender", F.floor(F.col("ordinal") / shard_rows).alias("_shard")).agg(
+        F.array_sort(F.collect_list(entry)).alias("_voices"))
     r = requests.select(
         "request_id", F.lower("gender").alias("r_gender"), lower_key(F.col("accent")).alias("r_accent"),
         F.lower("age").alias("r_age"), lower_key(F.col("query")).alias("r_query"),
         F.least(F.coalesce("limit", F.lit(SEARCH_LIMIT)), F.lit(SEARCH_MAX)).alias("r_limit"))
-    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    bucket = D.age_bucket_of_voice(F.col("age"))
-    blank = lambda c: F.coalesce(c, F.lit(""))
-    hay = F.lower(F.concat_ws(" ", "name", blank(F.col("descriptive")), blank(F.col("description")), blank(F.col("use_case")), blank(F.col("accent"))))
-    ok = (
-        (empty("r_gender") | (F.col("r_gender") == "neutral") | empty("gender") | (F.lower("gender") == F.col("r_gender")))
-        & (empty("r_accent") | F.lower(blank(F.col("accent"))).contains(F.col("r_accent")))
-        & (empty("r_age") | bucket.isNull() | (bucket == F.col("r_age")))
-        & (empty("r_query") | hay.contains(F.col("r_query"))))
-    hits = r.join(voices, ok)
-    return O.top_by(hits, ["request_id"], [F.col("ordinal"), F.col("id")], SEARCH_MAX).filter("rank <= r_limit")
+    anyone = empty(F.col("r_gender")) | (F.col("r_gender") == "neutral")
+    accepted = F.when(anyone, F.array(*[F.lit(g) for g in ("", "male", "female", "odd")])).otherwise(
+        F.array_distinct(F.array(F.lit(""), F.col("r_gender"), F.lit("odd"))))
+
+    def fits(v):
+        return (
+            (anyone | empty(v["gender"]) | (v["gender"] == F.col("r_gender")))
+            & (empty(F.col("r_accent")) | v["accent"].contains(F.col("r_accent")))
+            & (empty(F.col("r_age")) | v["bucket"].isNull() | (v["bucket"] == F.col("r_age")))
+            & (empty(F.col("r_query")) | v["hay"].contains(F.col("r_query"))))
+
+    met = r.withColumn("v_gender", F.explode_outer(accepted)).join(shards, "v_gender")
+    head = F.slice(F.filter("_voices", fits), 1, SEARCH_MAX)
+    hits = met.select("request_id", "r_limit", F.inline_outer(F.transform(head, lambda v: F.struct(v["ordinal"].alias("ordinal"), v["id"].alias("id"))))).filter("id IS NOT NULL")
+    return O.top_by(hits, ["request_id"], [F.col("ordinal"), F.col("id")], SEARCH_MAX).filter("rank <= r_limit").select("request_id", "rank", "id")
 
 
 # ---- compatibility classes ---------------------------------------------
@@ -156,8 +169,9 @@ def distinct_voices(cast: DataFrame, voices: DataFrame) -> DataFrame:
     top = tiers.groupBy(*CLASS).agg(F.min("tier").alias("tier"))
     pools = tiers.join(top, [*CLASS, "tier"]).join(classed, ["v_gender", "v_age", "v_accent"]).groupBy(*CLASS, "tier").agg(
         F.array_sort(F.collect_list(F.struct("ordinal", "id"))).alias("_p"))
-    pools = pools.select(*CLASS, "tier", F.transform("_p", lambda x: x["id"]).alias("pool"))
-    rows = with_character_class(cast_order(cast)).join(pools, CLASS)
+    pools = cut_lineage(pools.select(*CLASS, "tier", F.transform("_p", lambda x: x["id"]).alias("pool")), "pools")
+    people = cut_lineage(with_character_class(cast_order(cast)).select("book_id", "id", "position", *CLASS), "cast")
+    rows = people.join(pools, CLASS)
     catalog_size = max(1, voices.count())
     contested = O.top_by(rows.filter("tier < 5"), ["book_id", *CLASS], [F.col("position")], catalog_size, "turn").filter(
         F.col("turn") <= F.size("pool"))

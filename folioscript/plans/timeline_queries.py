@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioscript.functions import domains as D
 from folioscript.operators import cost as C
 from folioscript.operators import timeline as T
+from folioscript.session import cut_lineage
 from folioscript.sources.derived import LINE_SEGMENTS_SQL, PLAYHEADS_SQL, line_segments, playheads
 from folioscript.sources.model import Model
 from folioscript.sources.sql_model import WS, with_model
@@ -73,7 +74,7 @@ def segment_start_times(spark, d):
 
 def playhead_lookup(spark, d):
     m = Model(spark, d)
-    timed = T.start_times(m.segments, m.chapters)
+    timed = cut_lineage(T.start_times(m.segments, m.chapters).select("chapter_id", "idx", "start_sec"), "timeline")
     return T.playhead_segment(timed, playheads(m)).select("probe_id", "chapter_id", "t", "idx")
 
 
