@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,9 +133,9 @@ def with_voice_class(voices: DataFrame) -> DataFrame:
 
 def class_tiers(voice_classes: DataFrame) -> DataFrame:
     """Every character class with the tier (1 best .. 5) each voice class has for it."""
-    domain = F.array(*[F.struct(F.lit(g).alias("c_gender"), F.lit(a).alias("c_age"), F.lit(x).alias("c_accent"))
-                       for g, a, x in product(["any", "male", "female", "other"], AGES, ACCENTS)])
-    df = voice_classes.select("*", F.inline_outer(domain))
+    each = lambda values: F.explode_outer(F.array(*[F.lit(v) for v in values]))
+    df = voice_classes.withColumn("c_gender", each(["any", "male", "female", "other"])).withColumn(
+        "c_age", each(AGES)).withColumn("c_accent", each(ACCENTS))
     gender = (F.col("v_gender") == "") | (F.col("c_gender") == "any") | (F.col("v_gender") == F.col("c_gender"))
     age = ~D.age_clash(F.nullif(F.col("c_age"), F.lit("")), F.nullif(F.col("v_age"), F.lit("")))
     exact = (F.col("c_accent") != "") & (F.col("v_accent") == F.col("c_accent"))
