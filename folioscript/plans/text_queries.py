@@ -58,7 +58,8 @@ HASHED = "SELECT doc_id, idx, length(text) AS n_chars, md5(text) AS text_hash FR
 
 def book_chunk_summary(spark, d):
     """Per book: number of analysis chunks, characters, and speech credits."""
-    chunks = _pieces(Model(spark, d).documents, P.pack_text(X.normalize(F.col("text")), P.ANALYSIS_CHUNKS))
+    clean = Model(spark, d).documents.withColumn("text", X.normalize(F.col("text")))
+    chunks = _pieces(clean, P.pack_text(F.col("text"), P.ANALYSIS_CHUNKS))
     return chunks.groupBy("doc_id").agg(
         F.count("*").alias("chunk_count"), F.sum(F.length("text")).cast("long").alias("chars"),
     ).withColumn("credits", D.speech_credits(F.col("chars"), F.lit(D.HALF_RATE_MODEL)))
@@ -104,8 +105,8 @@ NORMAL_SQL = EMPHASIS_SQL.format(trim_ws(
 
 
 def normalize_text(spark, d):
-    return raw_text(Model(spark, d).documents).select("doc_id", F.md5(X.normalize(F.col("text"))).alias("text_hash"),
-                                                      F.length(X.normalize(F.col("text"))).cast("long").alias("n_chars"))
+    clean = raw_text(Model(spark, d).documents).withColumn("text", X.normalize(F.col("text")))
+    return clean.select("doc_id", F.md5("text").alias("text_hash"), F.length("text").cast("long").alias("n_chars"))
 
 
 def underscores_left(spark, d):
