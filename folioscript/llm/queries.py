@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from folioscript.llm import sharding, simhash, token_counts
+from folioscript.llm import sharding, simhash, token_counts, warc
 
 QUERIES = {
     "op4_sharding": (sharding.op4_sharding, None),
     "op6_simhash": (simhash.op6_simhash, None),
+    "op7_warc": (warc.op7_warc, warc.SQL),
     "op8_token_counts": (token_counts.op8_token_counts, None),
 }
