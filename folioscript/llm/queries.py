@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from folioscript.llm import decontamination, embedding_dedup, sentencepiece_bpe, sharding, simhash, token_counts, warc
+from folioscript.llm import decontamination, embedding_dedup, line_dedup, sentencepiece_bpe, sharding, simhash, token_counts, warc
 
 QUERIES = {
     "op1_decontamination": (decontamination.op1_decontamination, None),
     "op2_sentencepiece": (sentencepiece_bpe.op2_sentencepiece, None),
+    "op3_line_dedup": (line_dedup.op3_line_dedup, None),
     "op4_sharding": (sharding.op4_sharding, None),
     "op6_simhash": (simhash.op6_simhash, None),
     "op7_warc": (warc.op7_warc, warc.SQL),
