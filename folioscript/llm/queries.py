@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscript.llm import decontamination, embedding_dedup, line_dedup, sentencepiece_bpe, sharding, simhash, token_counts, warc
+from folioscript.llm import decontamination, embedding_dedup, html_extract, line_dedup, sentencepiece_bpe, sharding, simhash, token_counts, warc
 
 QUERIES = {
     "op1_decontamination": (decontamination.op1_decontamination, None),
@@ -12,5 +12,6 @@ QUERIES = {
     "op6_simhash": (simhash.op6_simhash, None),
     "op7_warc": (warc.op7_warc, warc.SQL),
     "op8_token_counts": (token_counts.op8_token_counts, None),
+    "op9_html_extract": (html_extract.op9_html_extract, None),
     "op10_embedding_dedup": (embedding_dedup.op10_embedding_dedup, embedding_dedup.SQL),
 }
