@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from folioscript.llm import decontamination, embedding_dedup, html_extract, line_dedup, sentencepiece_bpe, sharding, simhash, token_counts, warc
+from folioscript.llm import decontamination, embedding_dedup, html_extract, line_dedup, sentencepiece_bpe, sharding, simhash, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": (decontamination.op1_decontamination, None),
     "op2_sentencepiece": (sentencepiece_bpe.op2_sentencepiece, None),
     "op3_line_dedup": (line_dedup.op3_line_dedup, None),
     "op4_sharding": (sharding.op4_sharding, None),
+    "op5_toxicity": (toxicity.op5_toxicity, None),
     "op6_simhash": (simhash.op6_simhash, None),
     "op7_warc": (warc.op7_warc, warc.SQL),
     "op8_token_counts": (token_counts.op8_token_counts, None),
