@@ -6,7 +6,7 @@ rules that must hold for any language go through this module.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the whitespace set every trim and collapse below uses.
@@ -52,3 +52,12 @@ def first_char_upper(c: Column) -> Column:
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times inside ``body``."""
     return F.transform(F.array(value), body)[0]
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with column ``name`` computed before anything that reads it.
+
+    A generator over one element keeps Spark from merging the projections, which
+    it must not do where a Python function reads what a lambda has made.
+    """
+    return df.withColumn(name, F.explode(F.array(F.col(name))))

@@ -1,8 +1,7 @@
-"""Quote scanner for styles whose quotations may cross paragraphs.
+"""Quote scanner.
 
 One pass over the marks and paragraph breaks of a text, as a small per-row
-helper behind an Arrow UDF. Straight double quotes never come here; they are
-split by a native expression.
+helper behind an Arrow UDF.
 """
 
 from __future__ import annotations
@@ -13,6 +12,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
+from folioscript.session import travels
+
+travels(__name__)
+
 # White space, mark contexts, and how far a quotation may run.
 SPACE = " \t\n\v\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 OPENS_AFTER = set(SPACE) | set("([{—–-\"“")

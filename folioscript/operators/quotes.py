@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscript.functions.js import WS, let
+from folioscript.functions.assemble import mark_passages
+from folioscript.functions.js import WS
 from folioscript.functions.quote_scan import scan_quotes
 
 # Chunk and context limits of the attribution step.
 MAX_QUOTES, MAX_COVER, CONTEXT_PAD = 30, 12_000, 400
-STRAIGHT_QUOTE = r'"[^"\n]*+(?:\n(?!\n)[^"\n]*+)*+"?'
 SINGLE_OPENER = rf"(?<![^{WS}(\[{{—–\-\"“])[‘']"
-NATIVE_MARKS = 4_000
 
 
 def quote_style(text: Column) -> Column:
@@ -24,54 +23,19 @@ def quote_style(text: Column) -> Column:
             .when((curly == 0) & (straight == 0) & (singles >= 4), "single").otherwise("none"))
 
 
-def _straight_pieces(text: Column) -> Column:
-    """Pieces for straight double quotes; an unclosed quote ends with its paragraph."""
-    cut = F.split(F.regexp_replace(text, STRAIGHT_QUOTE, "\u0001$0\u0001"), "\u0001")
-    blank_gap = rf"\A\n\n+(?:[{WS}&&[^\n]]|\n(?!\n))*\z"
-
-    def describe(parts):
-        def one(p, i):
-            quote = p.startswith('"')
-            closed = (F.length(p) > 1) & p.endswith('"')
-            reopened = F.coalesce(F.get(parts, i + 1).rlike(blank_gap) & F.get(parts, i + 2).startswith('"'), F.lit(False))
-            return F.struct(p.alias("text"), quote.alias("quote"), (quote & ~closed & ~reopened).alias("flagged"))
-
-        return F.transform(parts, one)
-
-    return let(F.filter(cut, lambda p: p != ""), describe)
-
-
-def _numbered(pieces: Column) -> Column:
-    """Give pieces their offsets and quote ordinals, in order."""
-    kind = "array<struct<kind:string,start:bigint,end:bigint,text:string,flagged:boolean,q:bigint>>"
-    zero = F.struct(F.array().cast(kind).alias("out"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("q"))
-
-    def step(s, p):
-        stop = s["at"] + F.length(p["text"])
-        span = F.struct(
-            F.when(p["quote"], "quote").otherwise("narration").alias("kind"), s["at"].alias("start"), stop.alias("end"),
-            p["text"].alias("text"), p["flagged"].alias("flagged"), F.when(p["quote"], s["q"]).alias("q"))
-        return F.struct(F.concat(s["out"], F.array(span)).alias("out"), stop.alias("at"),
-                        (s["q"] + F.when(p["quote"], 1).otherwise(0)).alias("q"))
-
-    return F.aggregate(pieces, zero, step, lambda s: s["out"])
-
-
 def with_spans(chapters: DataFrame, text: str = "text") -> DataFrame:
     """Add ``style`` and ``spans`` (kind, start, end, text, flagged, q), tiling the text.
 
-    Only rows whose quotes may cross paragraphs ship their text to the Arrow
-    scanner; straight style is split natively. The native fold copies its list
-    as it grows, so a text with very many marks goes to the scanner as well.
+    Texts with quotes go through the Arrow scanner, one pass each; a text without
+    any is a single span and stays in the JVM.
     """
     t = F.col(text)
     df = chapters.withColumn("style", quote_style(t))
-    many = (F.regexp_count(t, F.lit('"')) > NATIVE_MARKS) | t.contains("\u0001")
-    df = df.withColumn("_scan", F.col("style").isin("curly", "single") | ((F.col("style") == "straight") & many))
-    df = df.withColumn("_py", scan_quotes(F.when(F.col("_scan"), t), F.when(F.col("_scan"), F.col("style"))))
-    plain = F.array(F.struct(t.alias("text"), F.lit(False).alias("quote"), F.lit(False).alias("flagged")))
-    pieces = F.when(F.col("style") == "straight", _straight_pieces(t)).when(F.length(t) > 0, plain).otherwise(F.slice(plain, 1, 0))
-    return df.withColumn("spans", F.when(F.col("_scan"), F.col("_py")).otherwise(_numbered(pieces))).drop("_scan", "_py")
+    quoted = F.col("style") != "none"
+    plain = F.array(F.struct(F.lit("narration").alias("kind"), F.lit(0).cast("long").alias("start"), F.length(t).cast("long").alias("end"),
+                             t.alias("text"), F.lit(False).alias("flagged"), F.lit(None).cast("long").alias("q")))
+    df = df.withColumn("_py", scan_quotes(F.when(quoted, t), F.when(quoted, F.col("style"))))
+    return df.withColumn("spans", F.when(quoted, F.col("_py")).when(F.length(t) > 0, plain).otherwise(F.slice(plain, 1, 0))).drop("_py")
 
 
 def span_rows(spanned: DataFrame, keep: list[str]) -> DataFrame:
@@ -108,18 +72,7 @@ def attribution_chunks(spanned: DataFrame, keep: list[str]) -> DataFrame:
 
 def passages(spanned: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Marked passage of each chunk with context on both sides and ellipses where clipped."""
-    t = F.col(text)
-
-    def passage(c):
-        lo = F.greatest(F.lit(0), c["start"] - CONTEXT_PAD)
-        hi = F.least(F.length(t), c["stop"] + CONTEXT_PAD)
-        inside = F.filter("spans", lambda s: (s["start"] >= c["start"]) & (s["end"] <= c["stop"]))
-        marked = F.transform(inside, lambda s: F.when(s["kind"] == "quote", F.concat(
-            F.lit("⟦"), s["q"].cast("string"), F.lit("⟧"), s["text"], F.lit("⟦/"), s["q"].cast("string"), F.lit("⟧"))).otherwise(s["text"]))
-        sub = lambda a, b: t.substr((a + 1).cast("int"), (b - a).cast("int"))
-        return F.concat(F.when(lo > 0, "…").otherwise(""), sub(lo, c["start"]), F.array_join(marked, ""), sub(c["stop"], hi),
-                        F.when(hi < F.length(t), "…").otherwise(""))
-
-    df = spanned.withColumn("_c", quote_chunks(F.col("spans"))).withColumn("_p", F.transform("_c", passage))
+    df = spanned.withColumn("_c", quote_chunks(F.col("spans")))
+    df = df.withColumn("_p", mark_passages(F.col(text), F.col("spans"), F.col("_c"), F.lit(CONTEXT_PAD)))
     return df.select(*keep, F.posexplode_outer("_p").alias("chunk", "passage")).filter("passage IS NOT NULL").select(
         *keep, F.col("chunk").cast("long"), "passage")

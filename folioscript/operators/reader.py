@@ -5,48 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscript.functions.js import WS, is_blank, let
+from folioscript.functions.assemble import find_boundaries, gather_blocks
+from folioscript.functions.js import WS, settled
 from folioscript.operators.timeline import split_phrases
 
 KEY = ["chapter_id"]
 BREAK_GAP = rf"\n[{WS}]*\n"
 
 
-def _locate(part: Column, text: Column, start: Column) -> Column:
-    """1-based position of ``part`` at or after ``start``; 0 when absent."""
-    return F.position(part, text, start)
-
-
-def find_boundaries(text: Column, announcement: Column, segs: Column) -> Column:
-    """Per segment (para_break, space_before, is_title), found by walking the text forward.
-
-    A segment that is not found degrades to a paragraph break for narration and
-    a space otherwise.
-    """
-    flags = "array<struct<para_break_before:boolean,space_before:boolean,is_title:boolean>>"
-    zero = F.struct(F.array().cast(flags).alias("out"), F.lit(0).alias("cursor"), F.lit(False).alias("matched"))
-
-    def step(s, seg):
-        title = (seg["kind"] == "narration") & F.coalesce(seg["text"] == announcement, F.lit(False))
-        outside = title | (seg["kind"] == "sfx")
-
-        def place(at):
-            hit = at > 0
-            gap = text.substr(s["cursor"] + 1, at - 1 - s["cursor"])
-            brk = F.when(outside, True).when(~hit, seg["kind"] == "narration").otherwise(~s["matched"] | gap.rlike(BREAK_GAP))
-            return let(brk, lambda b: F.struct(
-                F.concat(s["out"], F.array(F.struct(
-                    b.alias("para_break_before"),
-                    F.when(outside, False).when(~hit, ~b).otherwise(~b & (at - 1 > s["cursor"])).alias("space_before"),
-                    title.alias("is_title")))).alias("out"),
-                F.when(~outside & hit, at - 1 + F.length(seg["text"])).otherwise(s["cursor"]).alias("cursor"),
-                (s["matched"] | (~outside & hit)).alias("matched")))
-
-        return let(F.when(outside, F.lit(0)).otherwise(_locate(seg["text"], text, s["cursor"] + 1)), place)
-
-    return F.aggregate(segs, zero, step, lambda s: s["out"])
-
-
 def boundaries(segments: DataFrame, chapters: DataFrame) -> DataFrame:
     """Add the three boundary flags to ``segments``.
 
@@ -57,15 +23,12 @@ def boundaries(segments: DataFrame, chapters: DataFrame) -> DataFrame:
     df = packed.join(chapters.select("chapter_id", "clean_text", "announcement"), "chapter_id")
     df = df.withColumn("_b", find_boundaries(F.col("clean_text"), F.col("announcement"), F.col("_segs")))
     rows = df.select("chapter_id", F.inline_outer(F.arrays_zip(F.transform("_segs", lambda x: x["idx"]).alias("idx"), F.col("_b").alias("b"))))
-    return segments.join(rows.select("chapter_id", "idx", "b.*"), ["chapter_id", "idx"])
+    return segments.join(rows.select("chapter_id", "idx", "b.para_break_before", "b.space_before", "b.is_title"), ["chapter_id", "idx"])
 
 
 def bounded_script(scripted: DataFrame) -> DataFrame:
     """Boundary flags of a chapter's own script, without leaving its row: rows per segment."""
-    df = scripted.withColumn("_b", find_boundaries(F.col("clean_text"), F.col("announcement"), F.col("script")))
-    return df.withColumn("_rows", F.zip_with("script", "_b", lambda s, b: F.struct(
-        s["kind"].alias("kind"), s["text"].alias("text"), b["para_break_before"].alias("para_break_before"),
-        b["space_before"].alias("space_before"), b["is_title"].alias("is_title")))).drop("_b")
+    return scripted.withColumn("_rows", find_boundaries(F.col("clean_text"), F.col("announcement"), F.col("script")))
 
 
 def boundary_rows(bounded: DataFrame) -> DataFrame:
@@ -100,21 +63,6 @@ def page_blocks(bounded: DataFrame) -> DataFrame:
     Titles and sound effects stand alone; paragraphs open at a paragraph break,
     after a standing block, and at a blank line inside a phrase.
     """
-    kind = "array<struct<kind:string,text:string>>"
-    zero = F.struct(F.array().cast(kind).alias("out"), F.lit("").alias("cur"), F.lit(False).alias("has"))
-    block = lambda k, t: F.struct(k.alias("kind"), t.alias("text"))
-    closed = lambda s: F.when(s["has"], F.concat(s["out"], F.array(block(F.lit("para"), s["cur"])))).otherwise(s["out"])
-
-    def step(s, b):
-        shown = ~is_blank(b["text"])
-        text = F.when(shown, b["text"]).otherwise("")
-        grown = F.concat(s["cur"], F.when(b["space"] & s["has"], " ").otherwise(""), text)
-        alone = b["kind"] != "para"
-        return F.struct(
-            F.when(alone, F.concat(closed(s), F.array(block(b["kind"], b["text"])))).when(b["starts"], closed(s)).otherwise(s["out"]).alias("out"),
-            F.when(alone, "").when(b["starts"], text).otherwise(grown).alias("cur"),
-            F.when(alone, False).when(b["starts"], shown).otherwise(s["has"] | shown).alias("has"))
-
-    df = bounded.withColumn("_bits", let(F.col("_rows"), _bits)).withColumn("_blocks", F.aggregate("_bits", zero, step, closed))
+    df = settled(settled(bounded, "_rows").withColumn("_bits", _bits(F.col("_rows"))), "_bits").withColumn("_blocks", gather_blocks(F.col("_bits")))
     return df.select("chapter_id", F.posexplode_outer("_blocks").alias("block_idx", "_x")).filter("_x IS NOT NULL").select(
         "chapter_id", F.col("block_idx").cast("long"), "_x.*")

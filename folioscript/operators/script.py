@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscript.functions import domains as D
-from folioscript.functions.js import clamp, is_blank, let, round_half_up, trim_ws
+from folioscript.functions.assemble import SEGMENT, fold_spans
+from folioscript.functions.js import clamp, is_blank, round_half_up, settled, trim_ws
 from folioscript.functions.text import clean_chapter, title_announcement
 from folioscript.operators import ordered as O
 from folioscript.operators.pack import NARRATION, pack_text, run_list
@@ -30,9 +31,6 @@ def first_attributions(attributions: DataFrame) -> DataFrame:
         F.min_by(F.struct("speaker", "is_dialogue", "confidence"), "ord").alias("att"))
 
 
-SEGMENT = "struct<kind:string,character_id:bigint,text:string,flagged:boolean,prose:boolean>"
-
-
 def _segment(kind, character_id, text, flagged, prose) -> Column:
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     return F.struct(lit(kind).alias("kind"), lit(character_id).alias("character_id"), lit(text).alias("text"),
@@ -55,47 +53,6 @@ def resolved_attributions(chapters: DataFrame, attributions: DataFrame, dictiona
     return att.groupBy("chapter_id").agg(F.array_sort(F.collect_list(answer)).alias("atts"))
 
 
-def _fold_spans(spans: Column, atts: Column, pov: Column) -> Column:
-    """Segments of one chapter: text between spoken lines flows into one buffer.
-
-    A spoken line joins the line before it when only white space lies between
-    and the speaker is the same. ``p`` walks the answers, which are in quote order.
-    """
-    empty = F.array().cast(f"array<{SEGMENT}>")
-    zero = F.struct(empty.alias("out"), F.lit("").alias("buf"), F.lit(False).alias("flag"), F.lit(0).alias("p"))
-    state = lambda out, buf, flag, p: F.struct(out.alias("out"), buf.alias("buf"), flag.alias("flag"), p.alias("p"))
-    prose = lambda s: F.when(is_blank(s["buf"]), empty).otherwise(F.array(_segment("narration", pov, trim_ws(s["buf"]), s["flag"], True)))
-
-    def speak(s, span, a, used):
-        who = F.coalesce(a["found"], pov)
-        flagged = span["flagged"] | ~used | F.coalesce(a["low"] | a["unknown"], F.lit(False))
-        line = _segment(F.when(who.isNotNull(), "dialogue").otherwise("narration"), who, span["text"], flagged, False)
-
-        def add(last):
-            joins = is_blank(s["buf"]) & (last["kind"] == "dialogue") & (last["character_id"] == who)
-            gap = F.when(s["buf"] == "", " ").otherwise(s["buf"])
-            longer = _segment("dialogue", who, F.concat(last["text"], gap, span["text"]), last["flagged"] | flagged, False)
-            return F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(s["out"], 1, F.size(s["out"]) - 1), F.array(longer))).otherwise(
-                F.concat(s["out"], prose(s), F.array(line)))
-
-        return let(F.get(s["out"], F.size(s["out"]) - 1), add)
-
-    def step(s, span):
-        def with_answer(a):
-            used = a.isNotNull()
-            p = s["p"] + F.when(used, 1).otherwise(0)
-            quote = span["kind"] == "quote"
-            unspoken = ~quote | F.coalesce(~a["is_dialogue"], F.lit(False))
-            doubt = s["flag"] | (quote & (span["flagged"] | F.coalesce(a["low"], F.lit(False))))
-            return F.when(unspoken, state(s["out"], F.concat(s["buf"], span["text"]), doubt, p)).otherwise(
-                state(speak(s, span, a, used), F.lit(""), F.lit(False), p))
-
-        nxt = F.get(atts, s["p"])
-        return let(F.when(nxt["q"] == span["q"], nxt), with_answer)
-
-    return F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], prose(s)))
-
-
 def _split_prose(segments: Column) -> Column:
     """Long narration is cut at paragraphs; everything else passes through."""
     def parts(x):
@@ -114,11 +71,11 @@ def with_script(chapters: DataFrame, answers: DataFrame, pov: DataFrame) -> Data
     """
     df = chapters.join(answers, "chapter_id", "left").join(pov, "chapter_id", "left")
     none = F.array().cast("array<struct<q:bigint,found:bigint,unknown:boolean,is_dialogue:boolean,low:boolean>>")
-    df = df.withColumn("_a", F.coalesce("atts", none)).withColumn("_raw", _fold_spans(F.col("spans"), F.col("_a"), F.col("pov_character_id")))
+    df = df.withColumn("_a", F.coalesce("atts", none)).withColumn("_raw", fold_spans(F.col("spans"), F.col("_a"), F.col("pov_character_id")))
     title = F.when(F.col("announcement").isNull(), F.slice("_raw", 1, 0)).otherwise(
         F.array(_segment("narration", F.lit(None), F.col("announcement"), False, False)))
     rows = F.filter(F.concat(title, _split_prose(F.col("_raw"))), lambda x: x["text"] != "")
-    return df.withColumn("script", rows).drop("_a", "_raw", "atts")
+    return settled(df.withColumn("script", rows), "script").drop("_a", "_raw", "atts")
 
 
 def script_rows(scripted: DataFrame) -> DataFrame:

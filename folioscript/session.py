@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+import sys
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# Arrow batches that reach Python: rows, and bytes where texts are long.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def travels(name: str) -> None:
+    """Pickle the functions of module ``name`` by value: executors need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[name])
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Turn on the runtime re-planning every operator here relies on.
@@ -22,21 +31,20 @@ def tune(spark: SparkSession) -> SparkSession:
     conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     conf.set("spark.sql.session.timeZone", "UTC")
     conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` names that folder. Only when it is unset (local
-    tests) is a temporary folder chosen and written back to the session.
+    ``spark.checkpoint.dir`` names that folder; without it there is no place that
+    all executors can read, and the call fails.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="folioscript-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

@@ -103,9 +103,26 @@ def test_quote_rules():
     assert quotes("single", "single") == [("‘a’", False), ("‘don't’", False), ("'d'", False), ("'e'", False)]
 
 
-def test_many_marks_take_the_scanner_with_the_same_result(spark, monkeypatch):
-    text = " ".join(f'"q{i}" n' for i in range(40)) + ' "open'
-    df = spark.createDataFrame([("a", text)], "name string, text string")
-    native = QT.with_spans(df).first()["spans"]
-    monkeypatch.setattr(QT, "NATIVE_MARKS", 5)
-    assert QT.with_spans(df).first()["spans"] == native
+def _chapter_times(spark, quotes):
+    """Seconds for script, boundaries, blocks and passages of one chapter with so many quotes."""
+    import time
+
+    from folioscript.functions import assemble as A
+    from folioscript.functions.quote_scan import quote_spans
+
+    text = " ".join(f'He went on for a while. "Quote number {i}," she said.' + ("\n\n" if i % 5 == 0 else "") for i in range(quotes))
+    started = time.process_time()
+    spans = quote_spans(text, "straight")
+    answers = [{"q": i, "found": i % 3 or None, "unknown": False, "is_dialogue": i % 7 != 0, "low": False} for i in range(quotes)]
+    segments = A.segments_of(spans, answers, None)
+    flags = A.boundaries_of(text, None, segments)
+    bits = [{"kind": "para", "starts": f["para_break_before"], "space": f["space_before"], "text": s["text"]} for s, f in zip(segments, flags)]
+    A.blocks_of(bits)
+    A.passages_of(text, spans, [{"start": s["start"], "stop": s["end"]} for s in spans if s["kind"] == "quote"][::30], 400)
+    return time.process_time() - started
+
+
+def test_long_chapters_take_time_in_proportion(spark):
+    _chapter_times(spark, 500)
+    small, large = min(_chapter_times(spark, 2_000) for _ in range(3)), min(_chapter_times(spark, 16_000) for _ in range(2))
+    assert large < 20 * small  # eight times the chapter; a quadratic pass takes 64 times
