@@ -10,7 +10,6 @@ from folioscript.operators import ordered as O
 from folioscript.session import cut_lineage
 
 QUOTE_MAX = 300
-CAST_LIMIT = 40
 QUOTES_PER_CHARACTER = 5
 
 
@@ -86,11 +85,13 @@ def share_block(share: Column, width: int = 64) -> Column:
     return -F.floor(share / width).cast("long")
 
 
-def merge_mentions(mentions: DataFrame) -> DataFrame:
-    """Fold per-chunk mentions into one row per (book, name key).
+def merge_mentions(mentions: DataFrame, quotes_per_name: int = QUOTES_PER_CHARACTER) -> DataFrame:
+    """Fold per-chunk mentions into one row per (book, name key), every name with its rank in the book.
 
-    Long value lists are reduced to distinct values and the first five quotes
-    before they are gathered, so a very common name stays bounded.
+    ``rank`` counts from 1 by mentions, then key; who wants the leading names only
+    filters on it. Long value lists are reduced to distinct values and the first
+    ``quotes_per_name`` quotes before they are gathered. Names with the same number
+    of mentions are a block of their own, so a book is never ranked in one task.
     """
     keyed = mentions.withColumn("key", lower_key(F.col("name"))).filter("key <> ''")
     per = ["book_id", "key"]
@@ -100,11 +101,12 @@ def merge_mentions(mentions: DataFrame) -> DataFrame:
     votes = keyed.groupBy(*per, "gender_hint").agg(F.count("*").alias("n"))
     gender = votes.groupBy(*per).agg(F.min_by("gender_hint", F.struct(-F.col("n"), F.col("gender_hint"))).alias("gender"))
     spoken = keyed.select(*per, "chunk_idx", F.posexplode_outer("quotes").alias("p", "q")).filter("q IS NOT NULL")
-    best = O.top_by(spoken, per, [F.col("chunk_idx"), F.col("p"), F.col("q")], QUOTES_PER_CHARACTER)
+    best = O.top_by(spoken, per, [F.col("chunk_idx"), F.col("p"), F.col("q")], quotes_per_name)
     quotes = best.groupBy(*per).agg(F.array_sort(F.collect_list(F.struct("rank", "q"))).alias("_q")).select(
         *per, F.transform("_q", lambda x: x["q"]).alias("quotes"))
     merged = counts.join(aliases, per, "left").join(gender, per, "left").join(quotes, per, "left")
-    return O.top_by(merged, ["book_id"], [F.col("mention_count").desc(), F.col("key")], CAST_LIMIT)
+    ranked = O.dense_index(merged, ["book_id"], [F.col("mention_count").desc(), F.col("key")], "rank", -F.col("mention_count"))
+    return ranked.withColumn("rank", F.col("rank") + 1)
 
 
 def _fingerprint(edges: DataFrame) -> tuple:

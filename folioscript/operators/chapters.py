@@ -27,7 +27,6 @@ HEADING_MAX = 60
 MIN_AVERAGE = 800
 FRONT_MATTER_MIN = 500
 SECTIONS_OVER = 25_000
-PICK_LIMIT = 200
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -95,7 +94,7 @@ def _chapters_at(lines: Column, trimmed: Column, picked: Column) -> Column:
 def detect(docs: DataFrame, supplied: DataFrame | None = None) -> DataFrame:
     """Rows (doc_id, method, idx, title, text).
 
-    ``supplied`` (doc_id, heading_indexes) names headings among the first 200
+    ``supplied`` (doc_id, heading_indexes) names headings by their number among the
     standalone lines and is used where the patterns find no plausible split.
     """
     df = docs.select("doc_id", "text").withColumn("_lines", F.split("text", "\n"))
@@ -104,8 +103,7 @@ def detect(docs: DataFrame, supplied: DataFrame | None = None) -> DataFrame:
     df = df.withColumn("_found", F.filter("_free", lambda i: is_heading(F.col("_trim")[i])))
     if supplied is not None:
         df = df.join(supplied.select("doc_id", "heading_indexes"), "doc_id", "left")
-        reach = F.least(F.size("_free"), F.lit(PICK_LIMIT))
-        inside = F.filter(F.array_sort("heading_indexes"), lambda k: (k >= 0) & (k < reach))
+        inside = F.filter(F.array_sort("heading_indexes"), lambda k: (k >= 0) & (k < F.size("_free")))
         df = df.withColumn("_given", F.transform(inside, lambda k: F.col("_free")[k]))
     else:
         df = df.withColumn("_given", F.lit(None).cast("array<int>"))

@@ -93,9 +93,8 @@ def setup_stage(books: DataFrame, cast: DataFrame, assignments: DataFrame) -> Da
 def stage_health(books: DataFrame, chapters: DataFrame, jobs: DataFrame) -> DataFrame:
     """Failed or orphaned setup stages and the message to show, by precedence.
 
-    Only a book's 25 newest jobs count.
+    A stage is alive if any job of the book is, however old.
     """
-    jobs = recent_jobs(jobs).drop("rank")
     stage = F.col("pipeline_stage")
     job_type = None
     for s, t in STAGE_JOBS.items():

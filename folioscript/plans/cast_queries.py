@@ -456,7 +456,7 @@ QUERIES = {
         JOIN (SELECT book_id, key, arg_min(gender_hint, (-n, gender_hint)) AS gender FROM (SELECT book_id, {key('name')} AS key, gender_hint, count(*) AS n FROM mentions GROUP BY 1, 2, 3) GROUP BY 1, 2) g USING (book_id, key)
         JOIN (SELECT book_id, key, string_agg(a, '|' ORDER BY a) AS aliases FROM (SELECT DISTINCT book_id, {key('name')} AS key, aliases[1] AS a FROM mentions) GROUP BY 1, 2) a USING (book_id, key)
         JOIN (SELECT book_id, key, string_agg(quote, '|' ORDER BY r) AS quotes FROM (SELECT book_id, {key('name')} AS key, quote, row_number() OVER (PARTITION BY book_id, {key('name')} ORDER BY chunk_idx, quote) AS r FROM mentions) WHERE r <= 5 GROUP BY 1, 2) q USING (book_id, key)
-      ) WHERE cast_rank <= 40""")),
+      )""")),
     "alias_components": (alias_components, with_model("""SELECT book_id, n AS key, min(r) AS person FROM reach GROUP BY 1, 2""", {
         "am": """SELECT CAST(c_nationkey AS BIGINT) AS book_id, 'name ' || c_custkey AS n, unnest(CASE WHEN c_custkey % 3 = 0 THEN ['name ' || (c_custkey // 2), 'nick ' || (c_custkey % 40)]
              ELSE ['title ' || (c_custkey // 100)] END) AS a FROM customer""",

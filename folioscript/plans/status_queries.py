@@ -383,12 +383,12 @@ QUERIES = {
     "sample_chapter": (sample_chapter, W("SELECT book_id, id AS chapter_id FROM samples")),
     "setup_stage": (setup_stage, W("""SELECT b.id AS book_id, CASE WHEN count(c.id) = 0 THEN 'analyze' WHEN count(c.id) = count(a.character_id) THEN 'voice_review' ELSE 'cast_review' END AS stage,
         count(c.id) - count(a.character_id) AS missing_voices FROM books b LEFT JOIN characters c ON c.book_id = b.id LEFT JOIN assignments a ON a.character_id = c.id GROUP BY 1""")),
-    "stage_health": (stage_health, W(f"""SELECT book_id, pipeline_stage, failed, orphaned, CASE WHEN failed THEN coalesce(own, (SELECT arg_max(error, (created_s, id)) FROM recent r WHERE r.book_id = z.book_id AND r.status = 'failed'), 'The step failed.') END AS message FROM (
+    "stage_health": (stage_health, W(f"""SELECT book_id, pipeline_stage, failed, orphaned, CASE WHEN failed THEN coalesce(own, (SELECT arg_max(error, (created_s, id)) FROM jobs r WHERE r.book_id = z.book_id AND r.status = 'failed'), 'The step failed.') END AS message FROM (
         SELECT *, bf OR sf OR orphaned AS failed, CASE WHEN bf THEN berr WHEN sf THEN serr END AS own FROM (
         SELECT *, jt IS NOT NULL AND NOT alive AND NOT bf AND NOT sf AS orphaned FROM (
         SELECT b.id AS book_id, pipeline_stage, b.error AS berr, c.error AS serr, jt, pipeline_stage IN ('analyzing', 'casting') AND b.status = 'error' AS bf,
           coalesce(pipeline_stage IN ('scripting_sample', 'generating_sample') AND c.status = 'error', false) AS sf,
-          EXISTS (SELECT 1 FROM recent r WHERE r.book_id = b.id AND r.type = jt AND {LIVE} AND (jt NOT IN ('script', 'generate') OR r.chapter_id = s.id)) AS alive
+          EXISTS (SELECT 1 FROM jobs r WHERE r.book_id = b.id AND r.type = jt AND {LIVE} AND (jt NOT IN ('script', 'generate') OR r.chapter_id = s.id)) AS alive
         FROM (SELECT *, CASE pipeline_stage WHEN 'analyzing' THEN 'analyze' WHEN 'casting' THEN 'cast' WHEN 'scripting_sample' THEN 'script' WHEN 'generating_sample' THEN 'generate' END AS jt FROM books) b
         LEFT JOIN samples s ON s.book_id = b.id LEFT JOIN chapters c ON c.id = s.id))) z""")),
     "chapter_flags": (chapter_flags, W(f"""SELECT c.id AS chapter_id, j.id AS job_id, c.status IN ('scripting', 'generating') OR j.id IS NOT NULL AS busy, c.status NOT IN ('pending', 'scripting') AS has_script

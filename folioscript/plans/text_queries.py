@@ -146,8 +146,7 @@ def chapter_detection(spark, d):
 def chapter_detection_supplied(spark, d):
     m = Model(spark, d)
     given = m.table("documents").select("doc_id", F.array(F.lit(-1), F.lit(900), (F.col("doc_id") % 3 + 2).cast("int"), F.lit(1)).alias("heading_indexes"))
-    docs = m.headed_documents.filter(F.length("text") > 0)
-    return _hashed(CH.detect(docs, given))
+    return _hashed(CH.detect(m.headed_documents, given))
 
 
 def title_announcements(spark, d):
@@ -187,9 +186,9 @@ CHAPTER_CTES = {
     "cands": f"SELECT *, regexp_matches(t, '{H}') AS hit, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS nth FROM all_lines WHERE length(t) BETWEEN 1 AND 60 AND (i = 0 OR prev_t = '')",
     "given": "SELECT doc_id, unnest([-1, 900, doc_id % 3 + 2, 1]) AS nth FROM documents",
     "split1": "SELECT doc_id, count(*) AS k FROM cands WHERE hit GROUP BY 1",
-    "split2": "SELECT c.doc_id, count(*) AS k FROM cands c JOIN given g ON g.doc_id = c.doc_id AND g.nth = c.nth WHERE c.nth < 200 GROUP BY 1",
+    "split2": "SELECT c.doc_id, count(*) AS k FROM cands c JOIN given g ON g.doc_id = c.doc_id AND g.nth = c.nth GROUP BY 1",
     "picked": f"""SELECT c.*, m.method FROM cands c JOIN methods m ON m.doc_id = c.doc_id
-        WHERE (m.method = 'heuristic' AND hit) OR (m.method = 'llm' AND c.nth < 200 AND (c.doc_id, c.nth) IN (SELECT doc_id, nth FROM given))""",
+        WHERE (m.method = 'heuristic' AND hit) OR (m.method = 'llm' AND (c.doc_id, c.nth) IN (SELECT doc_id, nth FROM given))""",
     "subs": f"""SELECT *, CASE WHEN t1 <> '' THEN CASE WHEN length(t1) <= 60 AND coalesce(t2, '') = '' AND NOT regexp_matches(t1, '{H}') THEN i + 1 END
           WHEN t2 <> '' THEN CASE WHEN length(t2) <= 60 AND coalesce(t3, '') = '' AND NOT regexp_matches(t2, '{H}') THEN i + 2 END END AS sub,
           lead(i, 1, n) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM picked""",

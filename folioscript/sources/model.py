@@ -23,17 +23,6 @@ def pick(values, idx):
     return F.element_at(arr, (idx % len(values) + 1).cast("int"))
 
 
-TEXT_TABLES = ("documents", "conversations", "pages")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for in-row text work when the scan has fewer splits than cores.
-
-    A large table has many splits and is left alone: text is never shuffled there.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
 
 class Model:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -42,8 +31,7 @@ class Model:
         self.shared: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-        return spread(df) if name in TEXT_TABLES else df
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     # -- library ---------------------------------------------------------
     @cached_property
