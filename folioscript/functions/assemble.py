@@ -134,6 +134,21 @@ def passages_of(text: str, spans: list[dict], chunks: list[dict], pad: int) -> l
     return out
 
 
+def tiles(text: str, spans: list[dict]) -> bool:
+    """Whether the spans, in order, cover the text without gap or overlap and each holds its own slice."""
+    at = 0
+    for s in spans:
+        if s["start"] != at or s["end"] < at or s["text"] != text[at : s["end"]]:
+            return False
+        at = s["end"]
+    return at == len(text)
+
+
+@F.arrow_udf(from_arrow_type(pa.bool_()))
+def spans_tile(text: pa.Array, spans: pa.Array) -> pa.Array:
+    return pa.array([tiles(t or "", s or []) for t, s in zip(text.to_pylist(), spans.to_pylist())], pa.bool_())
+
+
 @F.arrow_udf(from_arrow_type(_SEGMENT))
 def fold_spans(spans: pa.Array, answers: pa.Array, pov: pa.Array) -> pa.Array:
     return pa.array([None if s is None else segments_of(s, a or [], p) for s, a, p in zip(spans.to_pylist(), answers.to_pylist(), pov.to_pylist())], _SEGMENT)

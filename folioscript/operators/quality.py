@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscript.functions.assemble import spans_tile
 from folioscript.functions.domains import DELIVERY_NAMES
 
 
@@ -13,13 +14,25 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def index_gaps(segments: DataFrame) -> DataFrame:
-    """Chapters whose segment positions are not exactly 0..n-1."""
-    per = segments.groupBy("chapter_id").agg(
-        F.count("*").alias("n"), F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.sum("idx").alias("total"))
-    dense = (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (F.col("total") * 2 == F.col("n") * (F.col("n") - 1))
+    """Chapters whose segment positions are not exactly 0..n-1, each once."""
+    per = segments.groupBy("chapter_id", "idx").agg(F.count("*").alias("times")).groupBy("chapter_id").agg(
+        F.sum("times").alias("n"), F.count("*").alias("places"), F.min("idx").alias("lo"), F.max("idx").alias("hi"))
+    dense = (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (F.col("places") == F.col("n"))
     return per.filter(~dense).select("chapter_id", "n", "lo", "hi")
 
 
+def duplicate_labels(cast: DataFrame) -> DataFrame:
+    """Variant labels that two characters of one group share."""
+    return duplicate_keys(cast.filter(F.col("variant_group").isNotNull() & F.col("variant_label").isNotNull()), ["book_id", "variant_group", "variant_label"])
+
+
+def duration_mismatch(durations: DataFrame, stored: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """(chapter_id, off_by_sec) where the stored total (chapter_id, stored_sec) differs from the sum of clips and pauses, or is missing."""
+    df = durations.join(stored, "chapter_id", "left")
+    off = F.col("duration_sec") - F.coalesce("stored_sec", F.lit(0.0))
+    return df.filter(F.abs(off) > tolerance).select("chapter_id", F.round(off, 6).alias("off_by_sec"))
+
+
 def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
     """Child rows whose (non-null) reference has no parent."""
     keys = parent.select(F.col(pk).alias(fk))
@@ -47,15 +60,6 @@ def flagged_segments(segments: DataFrame) -> DataFrame:
     return segments.filter("flagged").groupBy("chapter_id", "kind").agg(F.count("*").alias("n"))
 
 
-def broken_partitions(texts: DataFrame, spans: DataFrame, key: str = "chapter_id") -> DataFrame:
-    """Texts whose spans do not tile them: gaps, overlaps or different characters.
-
-    ``spans`` carry (start, end, text). Each span is compared with its own slice
-    by offset, and the tiles must reach from 0 to the end; the text is not rebuilt.
-    """
-    tiles = spans.groupBy(key).agg(
-        F.sum(F.length("text")).alias("_chars"), F.min("start").alias("_lo"), F.max("end").alias("_hi"),
-        F.sum(F.col("end") - F.col("start")).alias("_width"))
-    df = texts.select(key, F.length("text").alias("_len")).join(tiles, key, "left")
-    z = lambda c: F.coalesce(c, F.lit(0))
-    return df.filter((z("_chars") != F.col("_len")) | (z("_width") != F.col("_len")) | (z("_lo") != 0) | (z("_hi") != F.col("_len"))).select(key)
+def broken_spans(chapters: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
+    """Rows whose spans do not tile their text: a gap, an overlap, or characters that differ from the span's own slice."""
+    return chapters.filter(~spans_tile(F.col(text), F.col(spans)))

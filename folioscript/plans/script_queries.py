@@ -89,13 +89,17 @@ def quote_spans(spark, d):
 
 
 def span_tiling_breaks(spark, d):
-    """Per quote style: chapters, and chapters whose spans do not tile their text."""
-    m = Model(spark, d)
-    ch = spanned(m)
-    texts = ch.select("chapter_id", "style", F.col("clean_text").alias("text"))
-    broken = QA.broken_partitions(texts, QT.span_rows(ch, ["chapter_id"])).withColumn("_broken", F.lit(1))
-    return texts.select("chapter_id", "style").join(broken, "chapter_id", "left").groupBy("style").agg(
-        F.count("*").alias("chapters"), F.coalesce(F.sum("_broken"), F.lit(0)).cast("long").alias("broken"))
+    """Per quote style: chapters, and chapters whose spans do not tile their text, three in seven being damaged."""
+    ch = spanned(Model(spark, d)).select("chapter_id", "style", "clean_text", "spans")
+    first = lambda change: F.transform("spans", lambda s, i: F.when(i == 0, change(s)).otherwise(s))
+    kind = F.col("chapter_id") % 7
+    damaged = (F.when(kind == 1, first(lambda s: s.withField("text", F.repeat(F.lit("\u0000"), F.length(s["text"])))))
+               .when(kind == 2, first(lambda s: s.withField("end", s["end"] + 1)))
+               .when(kind == 3, F.slice("spans", 2, F.greatest(F.size("spans") - 1, F.lit(0)))).otherwise(F.col("spans")))
+    seeded = ch.withColumn("spans", damaged)
+    broken = QA.broken_spans(seeded, "clean_text").groupBy("style").agg(F.count("*").alias("broken"))
+    return ch.groupBy("style").agg(F.count("*").alias("chapters")).join(broken, "style", "left").select(
+        "style", "chapters", F.coalesce("broken", F.lit(0)).cast("long").alias("broken"))
 
 
 def attribution_chunks(spark, d):
@@ -336,7 +340,8 @@ _TH = lambda c: f"CAST(CAST(round({c}::DOUBLE * 1000) AS BIGINT) AS VARCHAR)"
 QUERIES = {
     "quote_styles": (quote_styles, SQ("SELECT chapter_id, style FROM styles", {"clean": "SELECT chapter_id, text FROM quoted"})),
     "quote_spans": (quote_spans, SQ('SELECT chapter_id, span_idx, kind, s0 AS start, s1 AS "end", md5(text) AS text_hash, flagged, q FROM spans')),
-    "span_tiling_breaks": (span_tiling_breaks, SQ("SELECT style, count(*) AS chapters, CAST(0 AS BIGINT) AS broken FROM styles GROUP BY 1")),
+    "span_tiling_breaks": (span_tiling_breaks, SQ("""SELECT s.style, count(*) AS chapters, count(*) FILTER (WHERE s.chapter_id % 7 IN (1, 2, 3) AND length(c.text) > 0) AS broken
+        FROM styles s JOIN clean c ON c.chapter_id = s.chapter_id GROUP BY 1""")),
     "attribution_chunks": (attribution_chunks, SQ("SELECT * FROM chunks")),
     "marked_passages": (marked_passages, SQ("""SELECT chapter_id, chunk, md5(x) AS passage_hash, length(x) AS n FROM (
         SELECT k.chapter_id, k.chunk, CASE WHEN start > 400 THEN '…' ELSE '' END || substring(c.text, greatest(0, start - 400) + 1, start - greatest(0, start - 400))

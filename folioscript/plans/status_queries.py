@@ -308,12 +308,20 @@ def latest_job_rows(spark, d):
 
 
 def duplicate_assignments(spark, d):
-    """Keys used twice: order lines per (order, line number)."""
-    return Q.duplicate_keys(Model(spark, d).table("lineitem"), ["l_orderkey", "l_linenumber"])
+    """Characters cast twice, where every ninth has been given a second row."""
+    a = Model(spark, d).assignments.select("character_id", "voice_id")
+    return Q.duplicate_keys(a.unionByName(a.filter("character_id % 9 = 0")), ["character_id"])
+
+
+def duplicate_labels(spark, d):
+    return Q.duplicate_labels(Model(spark, d).characters)
 
 
 def index_gaps(spark, d):
-    return Q.index_gaps(Model(spark, d).segments)
+    """Chapters with broken numbering: a doubled position in one of five, a gap in another."""
+    c, i = F.col("chapter_id"), F.col("idx")
+    seeded = F.when((c % 5 == 1) & (i == 1), 0).when((c % 5 == 2) & (i >= 2), i + 1).when((c % 5 == 3) & (i % 3 == 1), i - 1).otherwise(i)
+    return Q.index_gaps(Model(spark, d).segments.select("chapter_id", seeded.alias("idx")))
 
 
 def orphan_speakers(spark, d):
@@ -459,8 +467,14 @@ QUERIES = {
     "silent_jobs": (silent_jobs, W(f"""SELECT job_id, seq, gap_sec FROM (SELECT *, coalesce(lead(ts_s) OVER (PARTITION BY job_id ORDER BY seq), {EVENTS_AS_OF}) - ts_s AS gap_sec FROM ev) WHERE status = 'running' AND gap_sec >= {GAP_SEC}""")),
     "status_changes": (status_changes, W("SELECT job_id, seq, p AS from_status, status FROM (SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY seq) AS p FROM ev) WHERE p IS NULL OR p <> status")),
     "latest_job_rows": (latest_job_rows, W("SELECT job_id, seq, status, done FROM ev QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) = 1")),
-    "duplicate_assignments": (duplicate_assignments, "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1"),
-    "index_gaps": (index_gaps, W("SELECT chapter_id, count(*) AS n, min(idx) AS lo, max(idx) AS hi FROM segments GROUP BY 1 HAVING NOT (min(idx) = 0 AND max(idx) = count(*) - 1)")),
+    "duplicate_assignments": (duplicate_assignments, W("""SELECT character_id, 2 * count(*) AS n FROM assignments WHERE character_id % 9 = 0 GROUP BY 1""")),
+    "duplicate_labels": (duplicate_labels, W("""SELECT DISTINCT book_id, variant_group, variant_label, count(*) OVER w AS n FROM characters
+        WHERE variant_group IS NOT NULL AND variant_label IS NOT NULL WINDOW w AS (PARTITION BY book_id, variant_group, variant_label) QUALIFY count(*) OVER w > 1""")),
+    "index_gaps": (index_gaps, W("""SELECT chapter_id, count(*) AS n, min(idx) AS lo, max(idx) AS hi FROM (
+        SELECT chapter_id, idx, idx - lag(idx) OVER (PARTITION BY chapter_id ORDER BY idx) AS step FROM (
+          SELECT chapter_id, CASE WHEN chapter_id % 5 = 1 AND idx = 1 THEN 0 WHEN chapter_id % 5 = 2 AND idx >= 2 THEN idx + 1
+            WHEN chapter_id % 5 = 3 AND idx % 3 = 1 THEN idx - 1 ELSE idx END AS idx FROM segments)) GROUP BY 1
+        HAVING min(idx) <> 0 OR bool_or(step <> 1)""")),
     "orphan_speakers": (orphan_speakers, W("SELECT chapter_id, idx, character_id FROM segments WHERE character_id IS NOT NULL AND character_id NOT IN (SELECT id FROM characters)")),
     "domain_violations": (domain_violations, W("SELECT chapter_id, idx, kind, delivery FROM segments WHERE delivery = 'mumbled'")),
     "setting_violations": (setting_violations, W("SELECT character_id, round((speed + (character_id % 3) / 10.0)::DOUBLE, 4) AS speed FROM assignments WHERE speed::DOUBLE + ((character_id % 3) / 10.0)::DOUBLE > 1.2")),
