@@ -219,17 +219,28 @@ def variant_siblings(cast: DataFrame) -> DataFrame:
 
 
 def remove_variants(cast: DataFrame, segments: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Drop the commanded variants (at most one per group).
+    """Drop the commanded variants, any number of a group.
 
-    Returns (segments re-pointed with their clip dropped, remaining cast where a
-    lone sibling is a plain character again).
+    Lines of a removed variant go to the group's strongest member that stays. A
+    group is never emptied: where all its members are commanded, the strongest one
+    stays. Returns (segments re-pointed with their clip dropped, remaining cast
+    where a member left alone is a plain character again).
     """
-    gone = variant_siblings(cast).join(commands.select(F.col("character_id").alias("id")), "id").filter("sibling_id IS NOT NULL")
-    moves = gone.select(F.col("id").alias("character_id"), F.col("sibling_id").alias("_to"))
-    moved = segments.join(moves, "character_id", "left").withColumns({
+    group = ["book_id", "variant_group"]
+    asked = commands.select(F.col("character_id").alias("id"), F.lit(True).alias("_asked")).distinct()
+    members = cast.filter("variant_group IS NOT NULL").select(*group, "id", "dialogue_share", "name").join(asked, "id", "left")
+    strength = F.struct((-F.col("dialogue_share")).alias("s"), "name", "id")
+    heads = members.groupBy(*group).agg(
+        F.coalesce(F.min(F.when(F.col("_asked").isNull(), strength)), F.min(strength))["id"].alias("_to"),
+        F.greatest(F.sum(F.when(F.col("_asked").isNull(), 1).otherwise(0)), F.lit(1)).alias("_left"))
+    gone = members.filter("_asked").join(heads, group).filter("id <> _to").select("id", "_to", "_left")
+    moves = gone.select(F.col("id").alias("_who"), "_to")
+    # Lines without a speaker get spread keys, so they never meet in one task.
+    who = F.coalesce("character_id", -F.abs(F.xxhash64("chapter_id", "idx")) - 1)
+    moved = segments.withColumn("_who", who).join(moves, "_who", "left").withColumns({
         "character_id": F.coalesce("_to", "character_id"),
-        "audio_path": F.when(F.col("_to").isNull(), F.col("audio_path"))}).drop("_to")
-    lone = gone.filter("sibling_count = 1").select(F.col("sibling_id").alias("id"), F.lit(True).alias("_lone"))
+        "audio_path": F.when(F.col("_to").isNull(), F.col("audio_path"))}).drop("_to", "_who")
+    lone = gone.filter("_left = 1").select(F.col("_to").alias("id"), F.lit(True).alias("_lone")).distinct()
     base = F.col("variant_group")
     rest = cast.join(gone.select("id"), "id", "left_anti").join(lone, "id", "left")
     is_lone = F.col("_lone").isNotNull()
@@ -256,7 +267,8 @@ def reconcile(old_cast: DataFrame, old_assignments: DataFrame, new_cast: DataFra
 
 def repoint_segments(segments: DataFrame, moves: DataFrame) -> DataFrame:
     """Point segments at the new cast; a speaker that vanished leaves a flagged line."""
-    df = segments.join(moves.select(F.col("old_id").alias("character_id"), "new_id"), "character_id", "left")
+    who = F.coalesce("character_id", -F.abs(F.xxhash64("chapter_id", "idx")) - 1)  # lines without a speaker are spread
+    df = segments.withColumn("_who", who).join(moves.select(F.col("old_id").alias("_who"), "new_id"), "_who", "left").drop("_who")
     lost = F.col("character_id").isNotNull() & F.col("new_id").isNull()
     return df.withColumns({"flagged": F.col("flagged") | lost, "character_id": F.col("new_id")}).drop("new_id")
 

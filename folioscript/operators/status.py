@@ -199,8 +199,9 @@ def cascade_delete(deleted_books: DataFrame, chapters: DataFrame, segments: Data
 
 def null_missing_speakers(segments: DataFrame, cast: DataFrame) -> DataFrame:
     """Clear speakers that no longer exist and flag the lines that lost one."""
-    alive = cast.select(F.col("id").alias("character_id"), F.lit(True).alias("_ok"))
-    df = segments.join(alive, "character_id", "left")
+    alive = cast.select(F.col("id").alias("_who"), F.lit(True).alias("_ok"))
+    who = F.coalesce("character_id", -F.abs(F.xxhash64("chapter_id", "idx")) - 1)  # lines without a speaker are spread
+    df = segments.withColumn("_who", who).join(alive, "_who", "left").drop("_who")
     lost = F.col("character_id").isNotNull() & F.col("_ok").isNull()
     return df.withColumns({"flagged": F.col("flagged") | lost, "character_id": F.when(F.col("_ok"), F.col("character_id"))}).drop("_ok")
 

@@ -270,8 +270,9 @@ def variant_split(spark, d):
 
 
 def _removals(m):
-    """One variant per group: the smallest id."""
-    return m.characters.filter("variant_group IS NOT NULL").groupBy("book_id", "variant_group").agg(F.min("id").alias("character_id")).select("character_id")
+    """The two lowest ids of each variant group."""
+    members = m.characters.filter("variant_group IS NOT NULL").select("book_id", "variant_group", "id")
+    return O.top_by(members, ["book_id", "variant_group"], [F.col("id")], 2).select(F.col("id").alias("character_id"))
 
 
 def variant_removal_segments(spark, d):
@@ -287,10 +288,14 @@ def variant_removal_cast(spark, d):
 
 
 REMOVALS = {
-    "gone": """SELECT id, book_id, variant_group, sibling_id, sibling_count FROM sib
-        WHERE id IN (SELECT min(id) FROM characters WHERE variant_group IS NOT NULL GROUP BY book_id, variant_group) AND sibling_id IS NOT NULL""",
     "sib": """SELECT c.id, c.book_id, c.variant_group, count(s.id) AS sibling_count, arg_min(s.id, (-s.dialogue_share, s.name, s.id)) AS sibling_id
         FROM characters c LEFT JOIN characters s ON s.book_id = c.book_id AND s.variant_group = c.variant_group AND s.id <> c.id WHERE c.variant_group IS NOT NULL GROUP BY 1, 2, 3""",
+    "cmd": """SELECT id FROM characters WHERE variant_group IS NOT NULL QUALIFY row_number() OVER (PARTITION BY book_id, variant_group ORDER BY id) <= 2""",
+    "heads": """SELECT book_id, variant_group, count(*) FILTER (WHERE id NOT IN (SELECT id FROM cmd)) AS stay,
+        arg_min(id, (-dialogue_share, name, id)) FILTER (WHERE id NOT IN (SELECT id FROM cmd)) AS strong, arg_min(id, (-dialogue_share, name, id)) AS any_one
+        FROM characters WHERE variant_group IS NOT NULL GROUP BY 1, 2""",
+    "gone": """SELECT c.id, c.book_id, c.variant_group, coalesce(h.strong, h.any_one) AS sibling_id, greatest(h.stay, 1) AS sibling_count
+        FROM characters c JOIN heads h ON h.book_id = c.book_id AND h.variant_group = c.variant_group WHERE c.id IN (SELECT id FROM cmd) AND c.id <> coalesce(h.strong, h.any_one)""",
 }
 
 
@@ -478,10 +483,10 @@ QUERIES = {
               SELECT id AS source_id, *, list_transform(['child', 'adult', lower({spick(["Elderly", "adult", ""], 'id')})][1:CAST(id % 5 AS INT)], lambda x: x) AS labels FROM characters WHERE id % 2 = 0))))""")),
     "variant_removal_segments": (variant_removal_segments, Q("""SELECT chapter_id, idx, coalesce(g.sibling_id, character_id) AS character_id,
         CASE WHEN g.id IS NULL THEN audio_path END AS audio_path FROM segments s LEFT JOIN gone g ON g.id = s.character_id""", REMOVALS)),
-    "variant_removal_cast": (variant_removal_cast, Q("""SELECT c.id, CASE WHEN g.id IS NOT NULL THEN c.variant_group ELSE c.name END AS name, CASE WHEN g.id IS NULL THEN c.variant_group END AS variant_group,
-        CASE WHEN g.id IS NULL THEN c.variant_label END AS variant_label,
-        array_to_string(CASE WHEN g.id IS NOT NULL THEN list_filter(c.aliases, lambda a: lower(trim(a)) <> lower(c.variant_group)) ELSE c.aliases END, '|') AS aliases
-        FROM characters c LEFT JOIN (SELECT * FROM gone WHERE sibling_count = 1) g ON g.sibling_id = c.id WHERE c.id NOT IN (SELECT id FROM gone)""", REMOVALS)),
+    "variant_removal_cast": (variant_removal_cast, Q("""SELECT c.id, CASE WHEN g.sibling_id IS NOT NULL THEN c.variant_group ELSE c.name END AS name, CASE WHEN g.sibling_id IS NULL THEN c.variant_group END AS variant_group,
+        CASE WHEN g.sibling_id IS NULL THEN c.variant_label END AS variant_label,
+        array_to_string(CASE WHEN g.sibling_id IS NOT NULL THEN list_filter(c.aliases, lambda a: lower(trim(a)) <> lower(c.variant_group)) ELSE c.aliases END, '|') AS aliases
+        FROM characters c LEFT JOIN (SELECT DISTINCT sibling_id, variant_group FROM gone WHERE sibling_count = 1) g ON g.sibling_id = c.id WHERE c.id NOT IN (SELECT id FROM gone)""", REMOVALS)),
     "reconciled_assignments": (reconciled_assignments, Q("""SELECT new_id, voice_id, voice_name, overridden, character_id AS old_id FROM assignments a JOIN moves m ON m.old_id = a.character_id
         QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY overridden DESC, character_id) = 1""")),
     "reconciled_profiles": (reconciled_profiles, Q("""SELECT n.new_id, arg_max(o.age_range, o.id) AS age_range FROM old_cast o JOIN (
