@@ -149,16 +149,18 @@ class Model:
 
     @cached_property
     def voices(self) -> DataFrame:
-        """One voice per (brand, size class): at most 25 x 12 whatever the input size."""
+        """One voice per part; the first part of a (brand, size class) has the short id that other tables refer to."""
         s = F.col("s")
         b = F.col("b")
+        parts = self.table("part").select(
+            F.regexp_extract("p_brand", r"(\d+)", 1).cast("long").alias("b"), (F.col("p_size") % 12).cast("long").alias("s"),
+            F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("n"), F.col("p_type").alias("t"))
+        first = parts.groupBy("b", "s").agg(F.min("ordinal").alias("ordinal")).withColumn("_first", F.lit(True))
+        short = F.concat(F.lit("v"), b.cast("string"), F.lit("-"), s.cast("string"))
         return (
-            self.table("part")
-            .groupBy(F.regexp_extract("p_brand", r"(\d+)", 1).cast("long").alias("b"),
-                     (F.col("p_size") % 12).cast("long").alias("s"))
-            .agg(F.min("p_partkey").alias("ordinal"), F.min("p_name").alias("n"), F.max("p_type").alias("t"))
+            parts.join(first, ["b", "s", "ordinal"], "left")
             .select(
-                F.concat(F.lit("v"), b.cast("string"), F.lit("-"), s.cast("string")).alias("id"),
+                F.when(F.col("_first"), short).otherwise(F.concat(short, F.lit("-"), F.col("ordinal").cast("string"))).alias("id"),
                 "ordinal", F.concat(F.initcap("n"), F.lit(" "), (b % 9).cast("string")).alias("name"),
                 F.lower("t").alias("category"),
                 F.concat(F.lit("A "), F.col("n"), F.lit(" voice")).alias("description"),

@@ -86,13 +86,13 @@ CTES: dict[str, str] = {
         {pick(S.ACCENT_HINTS, 'c_custkey')} AS accent_hint, {pick(S.HERITAGES, 'c_custkey')} AS heritage,
         c_custkey % 6 = 0 AS profile_edited
         FROM (SELECT *, min(c_custkey) OVER (PARTITION BY c_nationkey) AS nid FROM customer)""",
-    "voices": f"""SELECT 'v' || b || '-' || s AS id, ordinal,
+    "voices": f"""SELECT 'v' || b || '-' || s || CASE WHEN ordinal = min(ordinal) OVER (PARTITION BY b, s) THEN '' ELSE '-' || ordinal END AS id, ordinal,
         array_to_string(list_transform(string_split(n, ' '), lambda w: upper(w[1]) || w[2:]), ' ') || ' ' || (b % 9) AS name,
         lower(t) AS category, 'A ' || n || ' voice' AS description, {pick(S.VOICE_GENDERS, 's')} AS gender,
         CASE WHEN b % 5 <> 0 THEN {pick(S.VOICE_AGES, 's // 4')} END AS age, {pick(S.VOICE_ACCENTS, 'b')} AS accent,
         CASE WHEN s % 5 <> 0 THEN 'tone ' || s END AS descriptive, {pick(S.USE_CASES, 'b + s')} AS use_case
         FROM (SELECT CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT) AS b, CAST(p_size % 12 AS BIGINT) AS s,
-                     min(p_partkey) AS ordinal, min(p_name) AS n, max(p_type) AS t FROM part GROUP BY 1, 2)""",
+                     p_partkey AS ordinal, p_name AS n, p_type AS t FROM part)""",
     "assignments": """SELECT c_custkey AS character_id, 'v' || (c_custkey % 27) || '-' || (c_custkey * 5 % 12) AS voice_id,
         'Voice ' || (c_custkey % 27) AS voice_name, (c_custkey % 101) / 100.0 AS stability, 0.75 AS similarity_boost,
         (c_custkey % 50) / 100.0 AS style, 0.8 + (c_custkey % 40) / 100.0 AS speed, c_custkey * 7919 % 2147483647 AS seed,
