@@ -10,6 +10,9 @@ from pyspark.sql.types import ArrayType, LongType
 
 from folioscript.functions.js import WS, collapse_ws, trim_ws
 from folioscript.operators.pack import SECTIONS, pack_text
+from folioscript.session import travels
+
+travels(__name__)
 
 # Heading patterns and the limits around them.
 UNITS = "one|two|three|four|five|six|seven|eight|nine"

@@ -10,7 +10,9 @@ from folioscript.functions import domains as D
 from folioscript.functions.js import is_blank, lower_key
 from folioscript.operators import ordered as O
 from folioscript.operators.cast import cast_order
-from folioscript.session import cut_lineage
+from folioscript.session import cut_lineage, travels
+
+travels(__name__)
 
 # Catalog and search limits, rationale rules.
 SEARCH_LIMIT, SEARCH_MAX, LOCAL_FIRST_MAX, LIVE_MAX = 14, 25, 80, 40
@@ -153,41 +155,66 @@ def best_voice(cast: DataFrame, voices: DataFrame) -> DataFrame:
     return with_character_class(cast).join(picked, CLASS)
 
 
-def distinct_voices(cast: DataFrame, voices: DataFrame) -> DataFrame:
-    """Best voice per character, avoiding voices already taken in the book.
+def settle_voices(cast: DataFrame, voices: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
+    """(book_id, id, voice_id): voices in casting order, avoiding those already taken in the book.
 
-    Characters choose in casting order. All characters of a class choose from
-    one pool (its best tier), so once a class has had as many turns as its pool
-    has voices the pool is used up and the rest all get its first voice: those
-    rows are joined, in parallel. Only the earlier, contested rows (at most the
-    pool size per class and book) are walked in order, one book per group.
+    ``fixed`` (id, fixed_id) holds accepted picks; they take their voice when their
+    turn comes. Anyone else takes the first free voice of their class's best tier, or
+    its first voice when none is free. Only what can matter is walked in order, one
+    book per group: the first holder of each fixed voice, and of each class as many
+    turns as its pool has voices. So a group is bounded by the catalogue, not by the
+    cast; everyone later is joined to the first voice of a pool that is used up.
     """
     classed = with_voice_class(voices)
     tiers = class_tiers(classed.select("v_gender", "v_age", "v_accent").distinct())
     top = tiers.groupBy(*CLASS).agg(F.min("tier").alias("tier"))
-    pools = tiers.join(top, [*CLASS, "tier"]).join(classed, ["v_gender", "v_age", "v_accent"]).groupBy(*CLASS, "tier").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", "id"))).alias("_p"))
-    pools = cut_lineage(pools.select(*CLASS, "tier", F.transform("_p", lambda x: x["id"]).alias("pool")), "pools")
-    people = cut_lineage(with_character_class(cast_order(cast)).select("book_id", "id", "position", *CLASS), "cast")
-    rows = people.join(pools, CLASS)
-    catalog_size = max(1, voices.count())
-    contested = O.top_by(rows.filter("tier < 5"), ["book_id", *CLASS], [F.col("position")], catalog_size, "turn").filter(
-        F.col("turn") <= F.size("pool"))
-    settled = rows.join(contested.select("id"), "id", "left_anti").select("book_id", "id", F.col("pool")[0].alias("voice_id"))
-    walked = contested.select("book_id", "id", "position", "pool").groupBy("book_id").applyInPandas(
-        _take_in_order, "book_id long, id long, voice_id string")
-    return walked.unionByName(settled)
-
-
-def _take_in_order(rows: pd.DataFrame) -> pd.DataFrame:
-    """Give each row, by position, the first voice of its pool nobody holds yet."""
+    cls = F.concat_ws("|", *CLASS)
+    entries = tiers.join(top, [*CLASS, "tier"]).join(classed, ["v_gender", "v_age", "v_accent"]).select(
+        cls.alias("cls"), "tier", "ordinal", F.col("id").alias("voice_id"))
+    entries = cut_lineage(O.dense_index(entries, ["cls"], [F.col("ordinal"), F.col("voice_id")], "r", O.rank_block(F.col("ordinal"))), "pools")
+    pools = entries.groupBy("cls", "tier").agg(F.count("*").alias("size"), F.min(F.struct("r", "voice_id"))["voice_id"].alias("first"))
+    people = with_character_class(cast_order(cast)).select("book_id", "id", "position", cls.alias("cls"))
+    given = fixed.select("id", "fixed_id") if fixed is not None else people.select("id", F.lit(None).cast("string").alias("fixed_id"))
+    rows = people.join(given, "id", "left").join(pools, "cls")
+    # Without any compatible voice everyone gets the catalogue's first one, free or not.
+    rows = cut_lineage(rows.withColumn("fixed_id", F.coalesce("fixed_id", F.when(F.col("tier") == 5, F.col("first")))), "cast")
+    holders = rows.filter("fixed_id IS NOT NULL").groupBy("book_id", F.col("fixed_id").alias("voice_id")).agg(F.min("position").alias("position"))
+    open_rows = rows.filter("fixed_id IS NULL").select("book_id", "id", "position", "cls", "size", "first")
+    turns = cut_lineage(O.dense_index(open_rows, ["book_id", "cls"], [F.col("position")], "turn", O.rank_block(F.col("position"))), "turns")
+    contested = turns.filter("turn < size")
+    reach = contested.groupBy("book_id", "cls").agg((F.max("position") + 1).alias("reach"))
+    steps = contested.select("book_id", "id", "position", "cls", F.lit(None).cast("string").alias("voice_id")).unionByName(
+        holders.select("book_id", F.lit(None).cast("long").alias("id"), "position", F.lit(None).cast("string").alias("cls"), "voice_id"))
+    needed = cut_lineage(reach.join(entries.select("cls", "r", "voice_id"), "cls").filter("r < reach").select("book_id", "cls", "r", "voice_id"), "needed")
+    walked = steps.groupBy("book_id").cogroup(needed.groupBy("book_id")).applyInPandas(_take_in_order, "book_id long, id long, voice_id string")
+    late = turns.filter("turn >= size").select("book_id", "id", F.col("first").alias("voice_id"))
+    held = rows.filter("fixed_id IS NOT NULL").select("book_id", "id", F.col("fixed_id").alias("voice_id"))
+    return walked.unionByName(late).unionByName(held)
+
+
+def distinct_voices(cast: DataFrame, voices: DataFrame) -> DataFrame:
+    """Compatible voices in casting order, none shared while another is free."""
+    return settle_voices(cast, voices)
+
+
+def _take_in_order(steps: pd.DataFrame, pools: pd.DataFrame) -> pd.DataFrame:
+    """Walk the steps of one book by position; a step with a voice takes it, others take the first free one of their class."""
+    by = {c: p.sort_values("r")["voice_id"].tolist() for c, p in pools.groupby("cls")}
+    at = dict.fromkeys(by, 0)
     taken: set[str] = set()
-    chosen = {}
-    for i, pool in rows.sort_values("position")["pool"].items():
-        voice = next((v for v in pool if v not in taken), pool[0])
+    out = []
+    for row in steps.sort_values("position").itertuples(index=False):
+        if row.voice_id is not None:
+            taken.add(row.voice_id)
+            continue
+        pool, k = by[row.cls], at[row.cls]
+        while k < len(pool) and pool[k] in taken:
+            k += 1
+        at[row.cls] = k
+        voice = pool[k] if k < len(pool) else pool[0]
         taken.add(voice)
-        chosen[i] = voice
-    return rows[["book_id", "id"]].assign(voice_id=pd.Series(chosen))
+        out.append((row.book_id, int(row.id), voice))
+    return pd.DataFrame(out, columns=["book_id", "id", "voice_id"])
 
 
 # ---- picks and assignments -----------------------------------------------
@@ -212,16 +239,16 @@ def resolve_picks(picks: DataFrame, voices: DataFrame) -> DataFrame:
 
 
 def cast_from_picks(cast: DataFrame, picks: DataFrame, voices: DataFrame) -> DataFrame:
-    """Validated picks with their settings; failed picks get the compatible fallback."""
-    fallback = best_voice(cast, voices).select(F.col("id"), F.col("voice_id").alias("_fallback"))
-    df = cast.join(resolve_picks(picks, voices), "id", "left").join(fallback, "id")
+    """Validated picks with their settings; failed picks get a compatible voice that is still free in casting order."""
+    df = cast.join(resolve_picks(picks, voices), "id", "left")
     problem = (F.when(F.col("pick_id").isNull(), "not assigned").when(F.col("voice").isNull(), "unknown voice")
                .otherwise(pick_problem(cast["gender"], cast["age_range"], F.col("voice.gender"), F.col("voice.age"), F.col("rationale"))))
-    df = df.withColumn("problem", problem)
+    df = cut_lineage(df.withColumn("problem", problem), "picks")
     ok = F.col("problem").isNull()
+    settled = settle_voices(cast, voices, df.filter(ok).select("id", F.col("voice.id").alias("fixed_id")))
+    df = df.join(settled.select("id", F.col("voice_id").alias("_voice")), "id")
     return df.select(
-        "book_id", "id", "problem",
-        F.when(ok, F.col("voice.id")).otherwise(F.col("_fallback")).alias("voice_id"),
+        "book_id", "id", "problem", F.col("_voice").alias("voice_id"),
         F.when(ok, F.col("rationale")).otherwise(F.concat(F.lit("Auto-matched by gender/age (model pick was "), F.col("problem"), F.lit(")"))).alias("rationale"),
         F.coalesce(F.when(ok, F.col("pick_stability")), F.when(F.col("is_narrator"), D.NARRATOR_STABILITY).otherwise(D.DEFAULT_STABILITY)).alias("stability"),
         F.lit(D.DEFAULT_SIMILARITY).alias("similarity_boost"), F.lit(D.DEFAULT_STYLE).alias("style"),

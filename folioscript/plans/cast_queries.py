@@ -94,6 +94,14 @@ DICT = {
         FROM (SELECT c.*, v.id AS vid, vg = '' OR gender IN ('unknown', 'nonbinary') OR vg = gender AS g,
                 NOT coalesce((ca = 'old' AND va = 'young') OR (ca = 'young' AND va = 'old'), false) AS a, vf FROM cclass c, (SELECT id, vg, va, vf FROM vclass) v) c
         JOIN voices v ON v.id = c.vid) QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, ordinal) = 1""",
+    "pools": """SELECT gender, ca, cf, list(vid ORDER BY ordinal) AS pool FROM (SELECT *, min(tier) OVER (PARTITION BY gender, ca, cf) AS best FROM (
+          SELECT k.gender, k.ca, k.cf, v.id AS vid, v.ordinal, CASE WHEN g AND a AND coalesce(vf = cf, false) THEN 1 WHEN g AND a AND (cf IS NULL OR vf IS NULL) THEN 2 WHEN g AND a THEN 3 WHEN g THEN 4 ELSE 5 END AS tier
+          FROM (SELECT k.*, v.id AS vid, v.vf, vg = '' OR k.gender IN ('unknown', 'nonbinary') OR vg = k.gender AS g,
+                  NOT coalesce((ca = 'old' AND va = 'young') OR (ca = 'young' AND va = 'old'), false) AS a
+                FROM (SELECT DISTINCT gender, ca, cf FROM cclass) k CROSS JOIN vclass v) k JOIN voices v ON v.id = k.vid))
+        WHERE tier = best AND (tier < 5 OR ordinal = (SELECT min(ordinal) FROM voices)) GROUP BY 1, 2, 3""",
+    "turns": """SELECT c.id, c.book_id, p.pool, row_number() OVER (PARTITION BY c.book_id ORDER BY is_narrator DESC, dialogue_share DESC, name, c.id) AS pos
+        FROM cclass c JOIN pools p ON p.gender IS NOT DISTINCT FROM c.gender AND p.ca IS NOT DISTINCT FROM c.ca AND p.cf IS NOT DISTINCT FROM c.cf""",
     "by_name": f"SELECT {key('name')} AS key, arg_min(struct_pack(id := id, name := name, gender := gender, age := age), ordinal) AS v FROM voices GROUP BY 1",
     "resolved": f"""SELECT p.*, CASE WHEN a.id IS NOT NULL AND {key('a.name')} = {key('p.pick_name')} THEN struct_pack(id := a.id, name := a.name, gender := a.gender, age := a.age)
           WHEN b.v IS NOT NULL THEN b.v WHEN a.id IS NOT NULL THEN struct_pack(id := a.id, name := a.name, gender := a.gender, age := a.age) END AS v
@@ -109,6 +117,14 @@ DICT = {
     "ordered_cast": """SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY is_narrator DESC, dialogue_share DESC, name, id) - 1 AS position FROM characters""",
 }
 Q = lambda sql, extra=None, **k: with_model(sql, {**DICT, **(extra or {})}, **k)
+QR = lambda sql, extra: Q(sql, extra, recursive=True)
+WALK = {
+    "seats": "SELECT t.id, t.book_id, t.pos, t.pool, h.fixed FROM turns t JOIN held h ON h.id = t.id",
+    "walk": """SELECT book_id, id, pos, coalesce(fixed, pool[1]) AS voice_id, [coalesce(fixed, pool[1])] AS taken FROM seats WHERE pos = 1
+        UNION ALL SELECT book_id, id, pos, v, list_append(taken, v) FROM (SELECT s.book_id, s.id, s.pos, w.taken,
+            coalesce(s.fixed, list_filter(s.pool, lambda x: NOT list_contains(w.taken, x))[1], s.pool[1]) AS v
+          FROM walk w JOIN seats s ON s.book_id = w.book_id AND s.pos = w.pos + 1)""",
+}
 
 
 def name_dictionary(spark, d):
@@ -434,13 +450,14 @@ QUERIES = {
           LEFT JOIN characters c ON c.book_id = s.book_id AND c.id = s.character_id
         WHERE s.kind <> 'sfx' AND s.character_id IS NOT NULL AND o.voice_id IS NULL AND s.book_id NOT IN (SELECT book_id FROM narr)""")),
     "best_voice": (best_voice, Q("SELECT id, CAST(tier AS BIGINT) AS tier, voice_id FROM ranked")),
-    "distinct_voices": (distinct_voices, None),
+    "distinct_voices": (distinct_voices, QR("SELECT book_id, id, voice_id FROM walk", {"held": "SELECT id, NULL AS fixed FROM characters", **WALK})),
     "resolved_picks": (resolved_picks, Q("SELECT id, v.id AS voice_id FROM resolved")),
     "pick_validation": (pick_validation, Q("SELECT id, problem FROM judged")),
-    "assignment_settings": (assignment_settings, Q("""SELECT id, CASE WHEN problem IS NULL THEN v.id ELSE fallback END AS voice_id,
+    "assignment_settings": (assignment_settings, QR("""SELECT j.id, w.voice_id,
         CASE WHEN problem IS NULL THEN rationale ELSE 'Auto-matched by gender/age (model pick was ' || problem || ')' END AS rationale,
         round(CASE WHEN problem IS NULL THEN pick_stability WHEN is_narrator THEN 0.65 ELSE 0.5 END::DOUBLE, 4) AS stability, 0.75 AS similarity_boost, 0.0 AS style,
-        round(CASE WHEN problem IS NULL THEN pick_speed ELSE 1.0 END::DOUBLE, 4) AS speed FROM judged""")),
+        round(CASE WHEN problem IS NULL THEN pick_speed ELSE 1.0 END::DOUBLE, 4) AS speed FROM judged j JOIN walk w ON w.id = j.id""",
+        {"held": "SELECT id, CASE WHEN problem IS NULL THEN v.id END AS fixed FROM judged", **WALK})),
     "age_and_accent_classes": (age_and_accent_classes, Q(f"SELECT id, {AGE_TEXT('age_range')} AS age_bucket, {ACCENT('accent_hint')} AS accent, {ACCENT('heritage')} AS heritage FROM characters")),
     "voice_classes": (voice_classes, Q("SELECT id, va AS age_bucket, vf AS accent FROM vclass")),
     "variant_siblings": (variant_siblings, Q("SELECT id, sibling_id, sibling_count FROM sib", REMOVALS)),
