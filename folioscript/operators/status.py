@@ -221,17 +221,22 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full").select(key, F.coalesce("_b", "_a").alias("_r")).select(key, "_r.*")
 
 
-def book_pages(books: DataFrame, chapters: DataFrame, jobs: DataFrame) -> DataFrame:
-    """One nested document per book, in pages of at most 1000 chapters.
+def book_pages(books: DataFrame, chapters: DataFrame, jobs: DataFrame, cast: DataFrame, assignments: DataFrame) -> DataFrame:
+    """One nested document per book, in pages of at most 1000 chapters and 1000 characters.
 
-    Page 0 also carries the newest jobs. Paging keeps every array bounded.
+    Page 0 also carries the newest jobs. Paging keeps every array bounded; a page
+    that only one of the two lists reaches has null for the other.
     """
-    pos = O.dense_index(chapters, ["book_id"], [F.col("idx"), F.col("id")], "_pos", O.rank_block(F.col("idx")))
+    def paged(df: DataFrame, order: list, block, item, name: str) -> DataFrame:
+        pos = O.dense_index(df, ["book_id"], order, "_pos", block)
+        return pos.groupBy("book_id", F.floor(F.col("_pos") / PAGE_ROWS).cast("long").alias("page")).agg(F.array_sort(F.collect_list(item)).alias(name))
+
     ch = F.struct("idx", "id", "title", "status", F.col("audio_path").isNotNull().alias("has_audio"))
-    pages = pos.groupBy("book_id", F.floor(F.col("_pos") / PAGE_ROWS).cast("long").alias("page")).agg(
-        F.array_sort(F.collect_list(ch)).alias("chapters"))
+    pages = paged(chapters, [F.col("idx"), F.col("id")], O.rank_block(F.col("idx")), ch, "chapters")
+    voiced = cast.join(assignments.select(F.col("character_id").alias("id"), "voice_id", "voice_name"), "id", "left")
+    people = paged(voiced, [F.col("id")], O.rank_block(F.col("id")), F.struct("id", "name", "role", "is_narrator", "voice_id", "voice_name"), "characters")
     last = recent_jobs(jobs).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "type", "status"))).alias("jobs"))
-    df = rename(books, "id", "book_id").join(pages, "book_id", "left").withColumn("page", F.coalesce("page", F.lit(0)))
+    df = rename(books, "id", "book_id").join(pages.join(people, ["book_id", "page"], "full"), "book_id", "left").withColumn("page", F.coalesce("page", F.lit(0)))
     return df.join(last.withColumn("page", F.lit(0).cast("long")), ["book_id", "page"], "left")
 
 

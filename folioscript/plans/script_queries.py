@@ -19,6 +19,7 @@ from folioscript.operators.pack import NARRATION
 from folioscript.plans.timeline_queries import HARD, PHRASE_CTES, SOFT
 from folioscript.session import cut_lineage
 from folioscript.sources import samples as S
+from folioscript.sources.derived import LINE_SEGMENTS_SQL, line_segments
 from folioscript.sources.model import Model, pick
 from folioscript.sources.sql_model import WS, key, trim_ws, with_model
 from folioscript.sources.sql_model import pick as spick
@@ -200,6 +201,12 @@ def render_batches(spark, d):
     return C.batches(Model(spark, d).segments, 4).groupBy("chapter_id", "batch").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"))
 
 
+def render_waves(spark, d):
+    """Batches of 25 lines and waves of three batches, over every document line."""
+    rows = C.batches(line_segments(Model(spark, d)), 25).groupBy("chapter_id", "batch").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"))
+    return rows.withColumn("wave", F.floor(F.col("batch") / 3).cast("long"))
+
+
 def preview_and_intro_keys(spark, d):
     m = Model(spark, d)
     s = [F.col(c) for c in C.SETTINGS]
@@ -367,6 +374,8 @@ QUERIES = {
     "stitch_chains": (stitch_chains, PQ("""SELECT chapter_id, idx, CAST(chain AS BIGINT) AS chain, CASE WHEN fresh AND NOT v3 THEN coalesce(array_to_string(list_transform(list_filter(l, lambda x: x.c = chain), lambda x: x.i), ','), '') ELSE '' END AS follows
         FROM (SELECT *, list(struct_pack(i := idx, c := chain)) OVER (PARTITION BY chapter_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS l FROM chained)""")),
     "render_batches": (render_batches, with_model("SELECT chapter_id, p // 4 AS batch, count(*) AS n, min(idx) AS first_idx FROM (SELECT chapter_id, idx, row_number() OVER (PARTITION BY chapter_id ORDER BY idx) - 1 AS p FROM segments) GROUP BY 1, 2")),
+    "render_waves": (render_waves, f"""SELECT chapter_id, p // 25 AS batch, count(*) AS n, min(idx) AS first_idx, p // 25 // 3 AS wave
+        FROM (SELECT chapter_id, idx, row_number() OVER (PARTITION BY chapter_id ORDER BY idx) - 1 AS p FROM ({LINE_SEGMENTS_SQL})) GROUP BY 1, 2, 5"""),
     "preview_and_intro_keys": (preview_and_intro_keys, with_model(f"""SELECT character_id, sha256(concat_ws(chr(31), voice_id, left(repeat(rationale, 40), 300), {_TH('stability')}, {_TH('similarity_boost')}, {_TH('style')}, {_TH('speed')}, 'eleven_flash_v2_5')) AS preview_key,
         left(sha256(concat_ws(chr(31), voice_name, rationale, voice_id, {_TH('stability')}, {_TH('similarity_boost')}, {_TH('style')}, {_TH('speed')}, 'eleven_v3', 'intro-v3')), 16) AS intro_key FROM assignments""")),
     "clip_durations": (clip_durations, "SELECT l_orderkey, n_bytes, n_bytes * 8 / 128000.0 AS duration_sec FROM (SELECT l_orderkey, CAST(sum(floor(l_extendedprice)) AS BIGINT) AS n_bytes FROM lineitem GROUP BY 1)"),

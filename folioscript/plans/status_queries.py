@@ -164,8 +164,10 @@ def nested_book_pages(spark, d):
     m = Model(spark, d)
     flat = lambda c: F.md5(F.array_join(F.transform(c, lambda x: F.concat_ws("~", x["idx"], x["id"], x["title"], x["status"], x["has_audio"].cast("string"))), "|"))
     jobs = F.array_join(F.transform("jobs", lambda x: F.concat_ws("~", x["id"], x["type"], x["status"])), "|")
-    return S.book_pages(m.books, m.chapters, m.jobs).select(
-        "book_id", "page", F.size("chapters").cast("long").alias("n_chapters"), flat(F.col("chapters")).alias("chapters_hash"), F.md5(jobs).alias("jobs_hash"))
+    people = F.array_join(F.transform("characters", lambda x: F.concat_ws("~", x["id"], x["name"], x["role"], x["voice_id"], x["voice_name"])), "|")
+    return S.book_pages(m.books, m.chapters, m.jobs, m.characters, m.assignments).select(
+        "book_id", "page", F.when(F.col("chapters").isNotNull(), F.size("chapters")).cast("long").alias("n_chapters"), flat(F.col("chapters")).alias("chapters_hash"),
+        F.when(F.col("characters").isNotNull(), F.size("characters")).cast("long").alias("n_characters"), F.md5(people).alias("characters_hash"), F.md5(jobs).alias("jobs_hash"))
 
 
 def export_manifest(spark, d):
@@ -426,9 +428,11 @@ QUERIES = {
         FROM chapters c LEFT JOIN jobs j ON j.id = c.id AND j.chapter_id = j.id""")),
     "upsert_clips": (upsert_clips, W("""SELECT character_id, voice_id, voice_name FROM assignments WHERE character_id NOT IN (SELECT id + 7 FROM characters WHERE id % 4 = 0)
         UNION ALL SELECT id + 7, 'v1-1', NULL FROM characters WHERE id % 4 = 0""")),
-    "nested_book_pages": (nested_book_pages, W("""SELECT b.id AS book_id, coalesce(c.page, 0) AS page, c.n_chapters, c.chapters_hash, j.jobs_hash FROM books b
-        LEFT JOIN (SELECT book_id, p // 1000 AS page, count(*) AS n_chapters, md5(string_agg(idx || '~' || id || '~' || title || '~' || status || '~' || CASE WHEN audio_path IS NOT NULL THEN 'true' ELSE 'false' END, '|' ORDER BY idx)) AS chapters_hash
-           FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY idx) - 1 AS p FROM chapters) GROUP BY 1, 2) c ON c.book_id = b.id
+    "nested_book_pages": (nested_book_pages, W("""SELECT b.id AS book_id, coalesce(c.page, 0) AS page, c.n_chapters, c.chapters_hash, c.n_characters, c.characters_hash, j.jobs_hash FROM books b
+        LEFT JOIN (SELECT * FROM (SELECT book_id, p // 1000 AS page, count(*) AS n_chapters, md5(string_agg(idx || '~' || id || '~' || title || '~' || status || '~' || CASE WHEN audio_path IS NOT NULL THEN 'true' ELSE 'false' END, '|' ORDER BY idx)) AS chapters_hash
+           FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY idx) - 1 AS p FROM chapters) GROUP BY 1, 2)
+           FULL JOIN (SELECT book_id, p // 1000 AS page, count(*) AS n_characters, md5(string_agg(concat_ws('~', id, name, role, voice_id, voice_name), '|' ORDER BY id)) AS characters_hash
+           FROM (SELECT c.*, a.voice_id, a.voice_name, row_number() OVER (PARTITION BY c.book_id ORDER BY c.id) - 1 AS p FROM characters c LEFT JOIN assignments a ON a.character_id = c.id) GROUP BY 1, 2) USING (book_id, page)) c ON c.book_id = b.id
         LEFT JOIN (SELECT book_id, 0 AS page, md5(string_agg(id || '~' || type || '~' || status, '|' ORDER BY rank)) AS jobs_hash FROM recent GROUP BY 1) j ON j.book_id = b.id AND j.page = coalesce(c.page, 0)""")),
     "export_manifest": (export_manifest, W(f"""SELECT book_id, id AS chapter_id, idx, audio_path, CASE WHEN idx + 1 < 10 THEN '0' ELSE '' END || (idx + 1) || ' - ' || {SAFE('title', "'Chapter ' || (idx + 1)")} || '.mp3' AS file_name
         FROM chapters WHERE audio_path IS NOT NULL AND status IN ('ready', 'stale')""")),

@@ -39,12 +39,10 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` names that folder; without it there is no place that
-    all executors can read, and the call fails.
+    ``spark.checkpoint.dir`` names that folder. Where it is unset, the warehouse is
+    used: every executor writes tables there, so all of them can read it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
