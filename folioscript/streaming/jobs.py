@@ -25,8 +25,9 @@ SILENT_SCHEMA = "job_id long, seq long, gap_sec long"
 class JobTracker:
     """Tracks a stream of job updates below ``root``.
 
-    Updates at or before the last one seen of their job are dropped as late or
-    replayed.
+    Progress never goes back, so an update that arrives late or again still counts
+    for it. Status, silence and outcome follow the order of the log: there, updates
+    at or before the last one seen of their job change nothing.
     """
 
     def __init__(self, spark: SparkSession, root: str, timeout: int = S.STALE_AFTER_SEC):
@@ -61,14 +62,14 @@ class JobTracker:
         silent.write.mode("overwrite").parquet(self._path("silent", batch_id))
         silent = self.spark.read.schema(SILENT_SCHEMA).parquet(self._path("silent", batch_id))
 
-        self._next_state(known, rows, fresh, silent).write.mode("overwrite").parquet(self._path("state", batch_id))
+        self._next_state(known, rows, fresh, silent, batch).write.mode("overwrite").parquet(self._path("state", batch_id))
 
-    def _next_state(self, known: DataFrame, rows: DataFrame, fresh: DataFrame, silent: DataFrame) -> DataFrame:
+    def _next_state(self, known: DataFrame, rows: DataFrame, fresh: DataFrame, silent: DataFrame, batch: DataFrame) -> DataFrame:
         keep = known.select("job_id", F.col("started_seq").alias("_s"), F.col("end_seq").alias("_e"), F.col("end_status").alias("_es"),
                             F.col("silent_seq").alias("_q"))
-        progress = rows.groupBy("job_id").agg(
-            F.max("done").alias("done"), F.max("chars_used").alias("chars_used"),
-            F.max_by(F.struct("seq", "ts_s", "status", "note"), "seq").alias("_r"))
+        most = known.select("job_id", "done", "chars_used").unionByName(batch.select("job_id", "done", "chars_used")).groupBy("job_id").agg(
+            F.max("done").alias("done"), F.max("chars_used").alias("chars_used"))
+        progress = rows.groupBy("job_id").agg(F.max_by(F.struct("seq", "ts_s", "status", "note"), "seq").alias("_r")).join(most, "job_id")
         begun = fresh.filter("status = 'running'").groupBy("job_id").agg(F.min("seq").alias("_b"))
         started = progress.select("job_id").join(keep, "job_id", "left").join(begun, "job_id", "left").select(
             "job_id", "_e", "_es", "_q", F.coalesce("_s", "_b").alias("started_seq"))
@@ -98,7 +99,13 @@ class JobTracker:
     def state(self, batch_id: int) -> DataFrame:
         return self.spark.read.schema(STATE_SCHEMA).parquet(self._path("state", batch_id))
 
-    def outcome(self, batch_id: int) -> DataFrame:
+    def last_batch(self) -> int:
+        """Number of the newest state, read from the folder names."""
+        return self.spark.read.option("basePath", f"{self.root}/state").parquet(f"{self.root}/state").agg(F.max("batch")).first()[0]
+
+    def outcome(self, batch_id: int | None = None) -> DataFrame:
+        """Outcome per job after batch ``batch_id``, by default the last one."""
+        batch_id = self.last_batch() if batch_id is None else batch_id
         status = F.coalesce("end_status", F.when(F.col("started_seq").isNotNull(), "running").otherwise("queued"))
         return self.state(batch_id).select("job_id", status.alias("status"), "end_seq")
 

@@ -52,3 +52,13 @@ def test_progress_stream(spark, log, tmp_path):
          .queryName("progress_rows").trigger(availableNow=True).start())
     q.awaitTermination()
     assert rows(spark.table("progress_rows")) == rows(S.job_progress(events))
+
+
+def test_late_progress_counts(spark, tmp_path):
+    tracker = JobTracker(spark, str(tmp_path))
+    tracker.handle(spark.createDataFrame([(1, 5, 100, "running", 10, 1, "a")], EVENT_SCHEMA), 0)
+    tracker.handle(spark.createDataFrame([(1, 3, 60, "queued", 50, 7, "b")], EVENT_SCHEMA), 1)
+    assert tracker.last_batch() == 1
+    row = tracker.state(1).first()
+    assert (row.done, row.chars_used, row.status, row.note, row.seq) == (50, 7, "running", "a", 5)
+    assert tracker.outcome().first().status == "running"
