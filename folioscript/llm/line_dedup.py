@@ -5,8 +5,8 @@ A line is removed when an earlier line (by doc_id, then line number) has a Jacca
 similarity of 0.8 or more; lines of equal token sets are similarity 1.
 
 1. Token counts over all lines, in a table of fixed size, give one total order,
-   rare first. Lines are reduced to distinct token sets; each is owned by its
-   first occurrence.
+   rare first. Lines of the same tokens are reduced to one, owned by its first
+   occurrence.
 2. Two sets that reach the threshold share a token among the first n - ceil(0.8 n)
    + 1 of their ordered tokens (prefix filter). Only these are shuffled, by token;
    tokens of one set alone drop out.
@@ -66,7 +66,7 @@ class Powers:
 
 
 def line_tokens(blob: bytes, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(line, token) of the distinct tokens of every line of ``blob``, in order of lines."""
+    """(line, token) of the tokens of every line of ``blob``, repeats included, in order of lines."""
     data = np.frombuffer(blob.lower(), np.uint8)
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
@@ -92,10 +92,13 @@ def line_tokens(blob: bytes, words: int = WORDS) -> tuple[np.ndarray, np.ndarray
                 break
             run, at = mix(run[:-1]) * np.uint64(3) + word[at:], at + 1
     line, token = np.concatenate(lines), np.concatenate(tokens)
-    order = np.lexsort((token, line))
-    line, token = line[order], token[order]
-    new = np.concatenate([[True], (line[1:] != line[:-1]) | (token[1:] != token[:-1])])
-    return line[new], token[new]
+    order = np.argsort(line, kind="stable")
+    return line[order], token[order]
+
+
+def starts(line: np.ndarray) -> np.ndarray:
+    """Where each line's tokens begin."""
+    return np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
 
 
 def pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, bytes]]:
@@ -133,7 +136,7 @@ def token_counts(rows: DataFrame, words: int) -> np.ndarray:
 
 
 def set_ids(token: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Identity of each line's token set: an order-free hash."""
+    """Identity of each line's tokens: an order-free hash, repeats included."""
     with np.errstate(over="ignore"):
         size = np.diff(np.concatenate([first, [len(token)]])).astype(np.uint64)
         return mix(np.add.reduceat(mix(token), first) + size).view(np.int64)
@@ -151,9 +154,12 @@ def line_rows(rows: DataFrame, counts: np.ndarray, words: int, num: int, den: in
                 line, token = line_tokens(blob, words)
                 if not len(line):
                     continue
+                sid = set_ids(token, starts(line))
                 order = np.lexsort((token, seen[bucket_of(token)], line))
                 token = token[order]
-                first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+                new = np.concatenate([[True], (line[1:] != line[:-1]) | (token[1:] != token[:-1])])
+                line, token = line[new], token[new]
+                first = starts(line)
                 n = np.diff(np.concatenate([first, [len(line)]]))
                 keep = n - -(-num * n // den) + 1
                 ends = np.cumsum(keep)
@@ -163,14 +169,15 @@ def line_rows(rows: DataFrame, counts: np.ndarray, words: int, num: int, den: in
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(token[at].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(take), b.column(1).take(take), pa.array((line[first] - begins[own]).astype(np.int32)),
-                     pa.array(set_ids(token, first)), pa.array(n.astype(np.int32)), prefix], ["doc_id", "rid", "line", "sid", "n", "prefix"])
+                     pa.array(sid), pa.array(n.astype(np.int32)), prefix], ["doc_id", "rid", "line", "sid", "n", "prefix"])
 
     return rows.select("doc_id", "rid", "text").mapInArrow(run, f"doc_id {kind}, rid bigint, line int, sid bigint, n int, prefix array<bigint>")
 
 
-def filter_words(sids: DataFrame) -> np.ndarray:
-    """A bit table of fixed size in which the bits of all given ids are set."""
-    bits = sids.select(F.shiftrightunsigned("sid", 64 - FILTER_BITS).alias("p")).select(
+def filter_words(owners: DataFrame) -> np.ndarray:
+    """A bit table of fixed size in which the bits of all given lines (sid, doc_id, line) are set."""
+    place = F.col("sid").bitwiseXOR(F.xxhash64("doc_id")).bitwiseXOR(F.shiftleft(F.col("line").cast("long"), 64 - FILTER_BITS))
+    bits = owners.select(F.shiftrightunsigned(place, 64 - FILTER_BITS).alias("p")).select(
         F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 AS int))").alias("b"))
     words = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
@@ -178,30 +185,29 @@ def filter_words(sids: DataFrame) -> np.ndarray:
     return out
 
 
-def token_sets(rows: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
-    """(sid, tokens) of the wanted sets, and of some more that the filter lets through."""
-    shared = rows.sparkSession.sparkContext.broadcast(filter_words(wanted))
+def token_sets(rows: DataFrame, words: int, owners: DataFrame) -> DataFrame:
+    """(sid, tokens): the whole sets of the given lines (sid, doc_id, line), and of some more that the filter lets through."""
+    shared = rows.sparkSession.sparkContext.broadcast(filter_words(owners))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = shared.value
+        seen = shared.value.view(np.uint64)
         for b in batches:
-            for _, _, blob in pieces(b):
+            doc = b.column(0).to_numpy(False)
+            for row, begins, blob in pieces(b):
                 line, token = line_tokens(blob, words)
                 if not len(line):
                     continue
-                first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+                first = starts(line)
                 sid = set_ids(token, first)
-                place = sid.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-                hit = np.flatnonzero((seen[(place >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (place & np.uint64(63))) & np.uint64(1))
-                if not len(hit):
-                    continue
-                n = np.diff(np.concatenate([first, [len(line)]]))[hit]
-                ends = np.cumsum(n)
-                at = np.repeat(first[hit] - (ends - n), n) + np.arange(ends[-1])
-                sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(token[at].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(sid[hit]), sets], ["sid", "tokens"])
+                own = np.searchsorted(begins, line[first], side="right") - 1
+                place = (sid ^ doc[row[own]] ^ ((line[first] - begins[own]) << (64 - FILTER_BITS))).view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+                hit = np.flatnonzero((seen[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1))
+                ends = np.append(first[1:], len(line))
+                if len(hit):
+                    sets = [np.unique(token[i:j]).view(np.int64) for i, j in zip(first[hit].tolist(), ends[hit].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(sid[hit]), pa.array(sets, pa.list_(pa.int64()))], ["sid", "tokens"])
 
-    return rows.select("text").mapInArrow(run, "sid bigint, tokens array<bigint>").groupBy("sid").agg(F.first("tokens").alias("tokens"))
+    return rows.select(F.xxhash64("doc_id").alias("doc"), "text").mapInArrow(run, "sid bigint, tokens array<bigint>").groupBy("sid").agg(F.first("tokens").alias("tokens"))
 
 
 def may_reach(n: Column, pos: Column, xn: Column, xpos: Column, num: int, den: int) -> Column:
@@ -231,7 +237,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", word
     shared = cut_lineage(postings.withColumns({
         "many": F.count("*").over(same), "lead": F.min(F.struct(*[F.col(c) for c in ("doc_id", "line", "sid", "n", "pos")])).over(same)})
         .filter("many > 1").drop("many"), "postings")
-    whole = cut_lineage(token_sets(rows, words, shared.select("sid")), "sets")
+    whole = cut_lineage(token_sets(rows, words, shared.select("sid", "doc_id", "line")), "sets")
 
     def candidates(found: DataFrame, x: str) -> DataFrame:
         fits = may_reach(F.col("n"), F.col("pos"), F.col(f"{x}.n"), F.col(f"{x}.pos"), num, den)
