@@ -210,10 +210,15 @@ def token_sets(rows: DataFrame, words: int, owners: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("doc_id").alias("doc"), "text").mapInArrow(run, "sid bigint, tokens array<bigint>").groupBy("sid").agg(F.first("tokens").alias("tokens"))
 
 
-def may_reach(n: Column, pos: Column, xn: Column, xpos: Column, num: int, den: int) -> Column:
-    """Length filter, and positional filter for sets whose first common token stands at the given positions."""
+def may_reach(at: Column, xat: Column, num: int, den: int) -> Column:
+    """Length filter, and positional filter for sets whose first common token stands at the given positions.
+
+    ``at`` holds a set's size in its upper and the token's position in its lower 32 bits.
+    """
+    n, xn = F.shiftright(at, 32), F.shiftright(xat, 32)
+    rest, xrest = n - at.bitwiseAND(F.lit(0xFFFFFFFF)), xn - xat.bitwiseAND(F.lit(0xFFFFFFFF))
     least = F.ceil(F.lit(num) * (n + xn) / F.lit(num + den))
-    return (num * F.greatest(n, xn) <= den * F.least(n, xn)) & (F.least(n - pos, xn - xpos) >= least)
+    return (num * F.greatest(n, xn) <= den * F.least(n, xn)) & (F.least(rest, xrest) >= least)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -231,23 +236,25 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", word
     owner = F.struct("doc_id", "line")
     sets = lines.groupBy("sid").agg(F.min(owner).alias("owner"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
 
-    postings = sets.select("sid", "n", F.col("owner.doc_id").alias("doc_id"), F.col("owner.line").alias("line"), F.posexplode("prefix").alias("pos", "token"))
+    # Set size and position travel as one number: these rows are the bulk of what is shuffled.
+    postings = sets.select("sid", "n", F.col("owner.doc_id").alias("doc_id"), F.col("owner.line").alias("line"), F.posexplode("prefix").alias("pos", "token")).select(
+        "token", "sid", "doc_id", "line", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
     place = F.struct("doc_id", "line", "sid")
     same = Window.partitionBy("token")
     shared = cut_lineage(postings.withColumns({
-        "many": F.count("*").over(same), "lead": F.min(F.struct(*[F.col(c) for c in ("doc_id", "line", "sid", "n", "pos")])).over(same)})
+        "many": F.count("*").over(same), "lead": F.min(F.struct("doc_id", "line", "sid", "at")).over(same)})
         .filter("many > 1").drop("many"), "postings")
     whole = cut_lineage(token_sets(rows, words, shared.select("sid", "doc_id", "line")), "sets")
 
     def candidates(found: DataFrame, x: str) -> DataFrame:
-        fits = may_reach(F.col("n"), F.col("pos"), F.col(f"{x}.n"), F.col(f"{x}.pos"), num, den)
+        fits = may_reach(F.col("at"), F.col(f"{x}.at"), num, den)
         return found.filter(fits).select("sid", F.col(f"{x}.sid").alias("xsid"), F.struct(F.col(f"{x}.doc_id").alias("doc"), F.col(f"{x}.line").alias("line")).alias("by")).distinct()
 
     first = cut_lineage(verified(candidates(shared.filter(F.col("lead.sid") != F.col("sid")), "lead"), whole, num, den), "matches")
     rest = shared.join(first.select("sid").distinct(), "sid", "left_anti")
-    other = shared.select("token", F.struct("doc_id", "line", "sid", "n", "pos").alias("x"))
+    other = shared.select("token", F.struct("doc_id", "line", "sid", "at").alias("x"))
     earlier = F.struct("x.doc_id", "x.line", "x.sid") < place
-    fits = may_reach(F.col("n"), F.col("pos"), F.col("x.n"), F.col("x.pos"), num, den)
+    fits = may_reach(F.col("at"), F.col("x.at"), num, den)
     met = rest.withColumn("not_lead", F.col("lead.sid")).join(other, "token").filter(earlier & (F.col("x.sid") != F.col("not_lead")) & fits)
     second = verified(candidates(met, "x"), whole, num, den)
     matched = first.unionByName(second).groupBy("sid").agg(F.min("by").alias("by"))
