@@ -9,7 +9,8 @@ the vector of its kernels with them, times the inverse root of their own kernels
 
 A linear squared-hinge machine is trained on sentences: all of clean documents,
 and of each toxic document the one that the machine itself finds most toxic,
-chosen anew in each round. Its weights give every word a score, so a text is read
+chosen anew in each round. Toxic documents are also shown with a sign or letter put
+into their telling words, clean ones with one into any word. The weights give every word a score, so a text is read
 once and each word is scored once. A document's score is a logistic function,
 fitted on documents the machine has not seen, of its words' excess over a margin
 per square root of their number, and of its most toxic sentence.
@@ -46,20 +47,26 @@ HASH_BITS = 18
 SIGNAL, COMMON, OTHER = 64, 16, 24  # landmarks: telling words, frequent words, other words
 REGULAR, ROUNDS, MARGIN = 1e-4, 4, 0.5
 WINDOW = 32
-MEMO = 300_000
+MEMO = 800_000  # words whose scores a task remembers
 THRESHOLD = 0.3
 
-SENTENCE = re.compile(r"[.!?\n]+")
-SPACED = re.compile(r"(?<!\S)(?:[^\W\d_] ){2,}[^\W\d_](?!\S)")
 EDGES = re.compile(r"^\W+|\W+$")
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """Words of each sentence, in lower case."""
-    t = (text or "").lower()
-    out = [w for w in (s.split() for s in SENTENCE.split(t)) if w]
-    spaced = [m.replace(" ", "") for m in SPACED.findall(t)]
-    return [*out, *([w] for w in spaced)]
+    """Words of each sentence, in lower case; a sentence ends with a line, or at . ! or ? before a space."""
+    t = (text or "").lower().replace("\n", ". ").replace("! ", ". ").replace("? ", ". ")
+    out = [w for w in map(str.split, t.split(". ")) if w]
+    for w in out:
+        if len(min(w, key=len)) == 1:
+            w += spelled_out(w)
+    return out
+
+
+def spelled_out(words: list[str]) -> list[str]:
+    """Runs of three or more single letters, each as one word."""
+    runs = "".join(w if len(w) == 1 and w.isalpha() else " " for w in words).split()
+    return [r for r in runs if len(r) > 2]
 
 
 def trimmed(word: str) -> str:
@@ -173,23 +180,25 @@ class Model:
     def figures(self, sents: list[list[str]], score: dict[str, float]) -> tuple[float, float]:
         if not sents:
             return 0.0, 0.0
-        g = np.fromiter((score[w] for s in sents for w in s), np.float64)
-        ends = np.cumsum([len(s) for s in sents])
+        ends = np.cumsum(list(map(len, sents)))
+        g = np.fromiter(map(score.__getitem__, itertools.chain.from_iterable(sents)), np.float64, ends[-1])
         sums = np.add.reduceat(g, np.concatenate([[0], ends[:-1]]))
         return float(np.maximum(0, g - MARGIN).sum() / np.sqrt(len(g))), float(np.clip(sums.max() + self.bias, 0, 4))
 
     def scores(self, texts: list[str | None], memo: dict[str, float]) -> list[float]:
-        """Score of each text; ``memo`` keeps word scores between calls."""
+        """Score of each text; ``memo`` keeps word scores, with and without signs at the ends, between calls."""
         if self.landmarks is None:
             return [0.0] * len(texts)
         docs = [sentences(t) for t in texts]
-        new = list({w for d in docs for s in d for w in s} - memo.keys())
-        if len(memo) + len(new) > MEMO:
+        words = set(itertools.chain.from_iterable(itertools.chain.from_iterable(docs)))
+        if len(memo) > MEMO:
             memo.clear()
-            new = list({w for d in docs for s in d for w in s})
+        bare = {w: trimmed(w) for w in words if w not in memo}
+        new = [b for b in set(bare.values()) if b not in memo]
         for lo in range(0, len(new), 4096):
             part = new[lo : lo + 4096]
             memo.update(zip(part, self.word_scores(part).tolist(), strict=True))
+        memo.update({w: memo[b] for w, b in bare.items()})
         out = []
         for d in docs:
             z = float(np.dot(self.figures(d, memo), self.final[:2]) + self.final[2])
@@ -212,6 +221,29 @@ def pick_landmarks(docs: list[list[list[str]]], toxic: np.ndarray) -> tuple[list
     return list(dict.fromkeys([*telling, *frequent, *others])), {w: odds[w] for w in telling}
 
 
+def disturbed(doc: list[list[str]], chosen) -> list[list[str]]:
+    """The document with a sign or letter put into each word that ``chosen`` names."""
+    out = []
+    for nth, sent in enumerate(doc):
+        now = []
+        for w in sent:
+            if len(w) > 3 and chosen(w):
+                h = hash_of(f"{w}{nth}")
+                at = 1 + h % (len(w) - 1)
+                w = w[:at] + "-.*_x"[h // 64 % 5] + w[at:]
+            now.append(w)
+        out.append(now)
+    return out
+
+
+def with_disturbed(docs: list, toxic: np.ndarray, rows: list[int], telling) -> tuple[list, np.ndarray]:
+    """The given documents; each toxic one once more with its telling words disturbed, and as many clean ones with one word in ten."""
+    bad = [i for i in rows if toxic[i]]
+    good = [i for i in rows if not toxic[i]][: len(bad)]
+    more = [disturbed(docs[i], lambda w: trimmed(w) in telling) for i in bad] + [disturbed(docs[i], lambda w: hash_of(w) % 10 == 0) for i in good]
+    return [docs[i] for i in rows] + more, np.concatenate([toxic[rows], np.ones(len(bad), bool), np.zeros(len(good), bool)])
+
+
 def hash_of(word: str) -> int:
     import zlib
 
@@ -227,28 +259,29 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     if not toxic[train].any() or toxic[train].all() or not toxic[check].any() or toxic[check].all():
         return Model(None)
     words, odds = pick_landmarks([docs[i] for i in train], toxic[train])
+    fitted, known = with_disturbed(docs, toxic, train, odds)
     marks = Landmarks(words)
     own = marks.kernel(words)
     values, vectors = np.linalg.eigh((own + own.T) / 2 + 1e-3 * np.eye(len(words)))
     root = (vectors / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
 
     sents, at = [], []
-    for i in train:
-        sents += docs[i]
-        at += [i] * len(docs[i])
+    for i, d in enumerate(fitted):
+        sents += d
+        at += [i] * len(d)
     at = np.array(at)
     if len(sents) > FIT_SENTENCES:  # all of toxic documents, an even choice of the others
-        clean = np.flatnonzero(~toxic[at])
-        room = max(1, FIT_SENTENCES - int(toxic[at].sum()))
-        keep = np.sort(np.concatenate([np.flatnonzero(toxic[at]), clean[np.linspace(0, len(clean) - 1, min(room, len(clean))).astype(int)]]))
+        clean = np.flatnonzero(~known[at])
+        room = max(1, FIT_SENTENCES - int(known[at].sum()))
+        keep = np.sort(np.concatenate([np.flatnonzero(known[at]), clean[np.linspace(0, len(clean) - 1, min(room, len(clean))).astype(int)]]))
         sents, at = [sents[k] for k in keep], at[keep]
     vocabulary = list(dict.fromkeys(trimmed(w)[:WINDOW] for s in sents for w in s))
     place = {w: k for k, w in enumerate(vocabulary)}
     kernels = np.concatenate([marks.kernel(vocabulary[lo : lo + 8192]).astype(np.float32) for lo in range(0, len(vocabulary), 8192)])
     x = np.stack([kernels[[place[trimmed(w)[:WINDOW]] for w in s]].sum(axis=0) for s in sents]) @ root
     score = np.array([max(odds.get(trimmed(w), 0.0) for w in s) for s in sents])
-    clean = np.flatnonzero(~toxic[at])
-    groups = [np.flatnonzero(at == i) for i in sorted(set(at[toxic[at]].tolist()))]
+    clean = np.flatnonzero(~known[at])
+    groups = [np.flatnonzero(at == i) for i in sorted(set(at[known[at]].tolist()))]
     for _ in range(ROUNDS):
         worst = np.array([g[score[g].argmax()] for g in groups])
         rows = np.concatenate([worst, clean])
@@ -258,12 +291,13 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         score = x @ w[:-1] + w[-1]
     model = Model(marks, root @ w[:-1], float(w[-1]))
     memo: dict[str, float] = {}
-    all_words = list({w for i in check for s in docs[i] for w in s})
+    checked, truth = with_disturbed(docs, toxic, check, odds)
+    all_words = list({w for d in checked for s in d for w in s})
     for lo in range(0, len(all_words), 8192):
         part = all_words[lo : lo + 8192]
         memo.update(zip(part, model.word_scores(part).tolist(), strict=True))
-    figures = np.array([model.figures(docs[i], memo) for i in check])
-    model.final = logistic(figures, toxic[check].astype(float))
+    figures = np.array([model.figures(d, memo) for d in checked])
+    model.final = logistic(figures, truth.astype(float))
     model.final[:2] = np.maximum(model.final[:2], 0)
     return model
 
