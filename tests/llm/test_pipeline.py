@@ -46,3 +46,35 @@ def test_stages_on_awkward_rows(spark, make_docs):
             at = stage(spark, at, DIR)
             assert name == "encode" or at.columns == columns
         assert at.count() == (0 if rows is not docs else 5)
+
+
+def test_near_dedup_links_at_a_similarity_of_four_fifths(spark, make_docs):
+    import random
+
+    draw = random.Random(5)
+    base = [f"w{draw.randrange(10 ** 6)}" for _ in range(200)]
+
+    def edited(words, n):
+        out = list(words)
+        for at in draw.sample(range(len(out)), n):
+            out[at] = f"e{draw.randrange(10 ** 6)}"
+        return out
+
+    texts = [" ".join(edited(base, n)) for n in (0, 1, 2, 3, 4, 5, 6, 9, 30)]
+    chain = [base[k : k + 150] + [f"t{i}" for i in range(50)] for k in (0, 10, 20, 30)]
+    rows = list(enumerate([*texts, *(" ".join(c) for c in chain), " ", "", None, "own text", "own  Text", *texts[:2]], 1)) + [(None, texts[0]), (4, "another text of this key")]
+
+    def tokens(t):
+        w = (t or "").lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    sets = [(i, t, tokens(t)) for i, t in rows if i is not None]
+    label = list(range(len(sets)))
+    for _ in sets:
+        label = [min(label[j] for j, b in enumerate(sets) if 5 * len(a[2] & b[2]) >= 4 * len(a[2] | b[2])) for a in sets]
+    least = {g: min(i for (i, _, _), x in zip(sets, label, strict=True) if x == g) for g in label}
+    want = [(i, t) for (i, t, _), g in zip(sets, label, strict=True) if i == least[g]] + [(None, texts[0])]
+    far = [simhash.fingerprint(t, 5) ^ simhash.fingerprint(texts[0], 5) for t in texts[1:4]]
+    assert any(x.bit_count() > 2 for x in far) and 8 < len(want) < len(rows) - 5
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, make_docs(rows), DIR).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
