@@ -3,15 +3,15 @@
 Text is segmented as the model's own encoder does: every character is a symbol,
 an agenda holds the adjacent pairs that form a piece, and the best pair (score,
 then position) is merged until none is left. With dropout, each candidate that
-leaves the agenda is skipped if a hash of (seed, stream, chunk, place) falls below
-the rate; a skipped pair returns only as part of another merge. Every sequence of
-merges spells the same characters, so all segmentations decode to the same text.
+leaves the agenda is skipped if a hash of (seed, record, position, place) falls
+below the rate; a skipped pair returns only as part of another merge. Every sequence
+of merges spells the same characters, so all segmentations decode to the same text.
 
-A record belongs to one of ``STREAMS`` dropout streams by a hash of its key: other
-records get other segmentations of the same word, another seed (an epoch) gives new
-ones, and a repeated task gives the same. No piece of such a vocabulary crosses a
-space or a line end, so text is cut into chunks there and frequent chunks are
-segmented once per stream and task.
+The record is its key and text, the position is the chunk's number in the text: every
+occurrence of a word draws its own skips, another seed (an epoch) gives new ones, and
+a repeated task gives the same. No piece of such a vocabulary crosses a space or a
+line end, so text is cut into chunks there. What a chunk becomes under given skips
+does not depend on the record and is remembered; only the draws are made anew.
 
 Defined cases: null text gives null ids, decoded to null; the empty text gives no
 ids; characters without a piece are spelled in bytes, and so is a literal U+2581,
@@ -32,15 +32,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscript.llm.common import table, travels
+from folioscript.llm.common import mix, table, travels
 
 travels(__name__)
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-RATE, SEED, STREAMS = 0.1, 20_240_101, 4
-MEMO = 250_000  # chunks remembered per stream and generation
+RATE, SEED = 0.1, 20_240_101
+MEMO = 300_000  # segmentations remembered per generation
 MARK = "▁"
 SHORT = 32  # symbols
-MASK, NONE = (1 << 64) - 1, 1 << 60
+MASK, NONE, SPREAD = (1 << 64) - 1, 1 << 60, 0xD6E8FEB86659FD93
 
 
 class Vocabulary:
@@ -91,7 +91,7 @@ def segment(symbols: str, ranks: dict[str, int], rate: float = 0.0, key: int = 0
         right = parts[j]
         if len(left) + len(right) != size:
             continue
-        if bound and ((key ^ (i << 20) + size) * 0xD6E8FEB86659FD93 & MASK) >> 32 < bound:
+        if bound and ((key ^ (i << 20) + size) * SPREAD & MASK) >> 32 < bound:
             continue
         parts[i] = left = left + right
         parts[j] = ""
@@ -122,7 +122,7 @@ def segment_short(symbols: str, ranks: dict[str, int], rate: float = 0.0, key: i
             break
         k = agenda.index(best)
         grown = parts[k] + parts[k + 1]
-        if bound and ((key ^ (place[k] << 20) + len(grown)) * 0xD6E8FEB86659FD93 & MASK) >> 32 < bound:
+        if bound and ((key ^ (place[k] << 20) + len(grown)) * SPREAD & MASK) >> 32 < bound:
             agenda[k] = NONE
             continue
         parts[k] = grown
@@ -134,39 +134,130 @@ def segment_short(symbols: str, ranks: dict[str, int], rate: float = 0.0, key: i
     return parts
 
 
-class Encoder(dict):
-    """Chunk -> packed ids of one dropout stream; remembers the chunks of the last two generations."""
+def trace(symbols: str, ranks: dict[str, int], skips: tuple[int, ...] = ()) -> tuple[list[str], list[int]]:
+    """Pieces when just the candidates of the given numbers are skipped, and the places of all that left the agenda, in order."""
+    known = ranks.get
+    parts, place = list(symbols), list(range(len(symbols)))
+    agenda = [known(pair, NONE) for pair in map(str.__add__, symbols, symbols[1:])]
+    places = []
+    while agenda:
+        best = min(agenda)
+        if best == NONE:
+            break
+        k = agenda.index(best)
+        grown = parts[k] + parts[k + 1]
+        places.append((place[k] << 20) + len(grown))
+        if len(places) - 1 in skips:
+            agenda[k] = NONE
+            continue
+        parts[k] = grown
+        del parts[k + 1], place[k + 1], agenda[k]
+        if k:
+            agenda[k - 1] = known(parts[k - 1] + grown, NONE)
+        if k < len(agenda):
+            agenda[k] = known(grown + parts[k + 1], NONE)
+    return parts, places
+
 
-    def __init__(self, vocabulary: Vocabulary, rate: float, seed: int, stream: int):
+class Memo(dict):
+    """Short chunk -> (packed ids, packed places, branches): its segmentation without dropout, and those met so far with some.
+
+    ``branches`` leads from the number of the next skipped place to (packed ids, places after it, branches). What is
+    remembered depends on the chunk and the skips alone, never on a record; the chunks of the last two generations stay.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.v, self.rate, self.seed, self.old = vocabulary, rate, xxhash.xxh64_intdigest(f"{seed}|{stream}"), {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        packed = self.old.get(chunk)
-        if packed is None:
-            v = self.v
-            merge = segment_short if len(chunk) <= SHORT else segment
-            pieces = merge(chunk.replace(" ", MARK), v.ranks, self.rate, xxhash.xxh64_intdigest(chunk.encode("utf-8", "surrogatepass"), self.seed))
-            ids = list(map(v.ids.get, pieces))
-            if None in ids:
-                ids = [x for p, i in zip(pieces, ids, strict=True) for x in ([v.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")] if i is None else [i])]
-            packed = array(v.code, ids).tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= MEMO:
-                self.old = dict(self)
-                self.clear()
-            self[chunk] = packed
-        return packed
+        self.v, self.old, self.size = vocabulary, {}, 0
+        self.mark = (self.pack([], MARK.encode()), b"", {})
+
+    def pack(self, pieces: list[str], spelled: bytes = b"") -> bytes:
+        v = self.v
+        ids = list(map(v.ids.get, pieces))
+        if None in ids:
+            ids = [x for p, i in zip(pieces, ids, strict=True) for x in ([v.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")] if i is None else [i])]
+        return array(v.code, ids + [v.byte_ids[b] for b in spelled]).tobytes()
+
+    def __missing__(self, chunk: str) -> tuple:
+        if chunk == MARK:
+            return self.mark
+        if len(chunk) > SHORT:  # segmented where it occurs
+            return b"", b"", {}
+        state = self.old.get(chunk)
+        if state is None:
+            pieces, places = trace(chunk.replace(" ", MARK), self.v.ranks)
+            state = self.pack(pieces), array("Q", places).tobytes(), {}
+        else:
+            state = *state[:2], {}
+        self.grown()
+        self[chunk] = state
+        return state
+
+    def grown(self) -> None:
+        self.size += 1
+        if self.size > MEMO:
+            self.old, self.size = dict(self), 1
+            self.clear()
+
+    def branch(self, chunk: str, branches: dict, nth: int, key: int, bound: int) -> bytes:
+        """Packed ids of one occurrence whose first skip is number ``nth``; ``branches`` are those of the chunk."""
+        skips, base = (nth,), nth + 1
+        while True:
+            state = branches.get(nth)
+            if state is None:
+                pieces, places = trace(chunk.replace(" ", MARK), self.v.ranks, skips)
+                state = branches[nth] = self.pack(pieces), tuple(places[base:]), {}
+                self.grown()
+            packed, places, branches = state
+            for nth, place in enumerate(places):  # noqa: B007  read after the loop
+                if ((key ^ place) * SPREAD & MASK) >> 32 < bound:
+                    break
+            else:
+                return packed
+            skips, base = (*skips, base + nth), base + nth + 1
+
+
+class Encoder:
+    """Text -> ids in one dropout stream, which is a record's; each occurrence of a chunk draws its own skips."""
+
+    def __init__(self, vocabulary: Vocabulary, rate: float, seed: int, stream: int, memo: Memo | None = None):
+        self.v, self.rate, self.memo = vocabulary, rate, Memo(vocabulary) if memo is None else memo
+        self.seed = xxhash.xxh64_intdigest(f"{seed}|{stream}")
+
+    def occurrences(self, text: str) -> tuple[list[str], np.ndarray]:
+        """The chunks of a text, literal marks included, and each one's hash of seed, record and position."""
+        parts = (" " + text).split(MARK)
+        chunks = self.v.cut.findall(parts[0])
+        for part in parts[1:]:
+            chunks.append(MARK)
+            chunks += self.v.cut.findall(part)
+        record = np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed))
+        with np.errstate(over="ignore"):
+            return chunks, mix(record + np.arange(len(chunks), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text; a word-start mark is put in front, as the model does."""
         if not text:
             return np.array([], self.v.kind)
-        out = []
-        for nth, part in enumerate((" " + text).split(MARK)):
-            if nth:
-                out.append(np.array([self.v.byte_ids[b] for b in MARK.encode()], self.v.kind).tobytes())
-            out += map(self.__getitem__, self.v.cut.findall(part))
+        chunks, keys = self.occurrences(text)
+        memo, bound = self.memo, int(self.rate * (1 << 32))
+        out, places, branches = map(list, zip(*map(memo.__getitem__, chunks), strict=True))
+        if bound:
+            size = np.fromiter(map(len, places), np.int64, len(places)) >> 3
+            ends = np.cumsum(size)
+            with np.errstate(over="ignore"):
+                draw = ((np.repeat(keys, size) ^ np.frombuffer(b"".join(places), np.uint64)) * np.uint64(SPREAD)) >> np.uint64(32)
+            hit = np.flatnonzero(draw < bound)
+            if len(hit):
+                at = np.searchsorted(ends, hit, side="right")
+                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                at = at[first]
+                for i, nth, key in zip(at.tolist(), (hit[first] - ends[at] + size[at]).tolist(), keys[at].tolist(), strict=True):
+                    out[i] = memo.branch(chunks[i], branches[i], nth, key, bound)
+        if max(map(len, chunks)) > SHORT:
+            for i, c in enumerate(chunks):
+                if len(c) > SHORT:
+                    out[i] = memo.pack(segment(c.replace(" ", MARK), self.v.ranks, self.rate, int(keys[i])))
         return np.frombuffer(b"".join(out), self.v.kind)
 
 
@@ -175,12 +266,18 @@ def decode_ids(ids, vocabulary: Vocabulary) -> bytes:
     return b"".join(map(vocabulary.spell.__getitem__, ids))[1:]
 
 
-def stream_of(key: object, streams: int = STREAMS) -> int:
-    return xxhash.xxh64_intdigest(str(key)) % streams
+def stream_of(key: object) -> int:
+    return xxhash.xxh64_intdigest(str(key))
+
+
+class _encoders:
+    """Stream -> its encoder; all share what does not depend on the stream."""
 
+    def __init__(self, vocabulary: Vocabulary, rate: float, seed: int):
+        self.v, self.rate, self.seed, self.memo = vocabulary, rate, seed, Memo(vocabulary)
 
-def _encoders(vocabulary: Vocabulary, rate: float, seed: int) -> list[Encoder]:
-    return [Encoder(vocabulary, rate, seed, s) for s in range(STREAMS)]
+    def __getitem__(self, stream: int) -> Encoder:
+        return Encoder(self.v, self.rate, self.seed, stream, self.memo)
 
 
 def encode(docs: DataFrame, model: str = MODEL, rate: float = RATE, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:

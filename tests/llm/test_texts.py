@@ -216,3 +216,19 @@ def test_both_agendas_merge_alike():
         for rate in (0.0, 0.1, 0.7):
             key = rng.getrandbits(64)
             assert sentencepiece_bpe.segment(chunk, v.ranks, rate, key) == sentencepiece_bpe.segment_short(chunk, v.ranks, rate, key)
+
+
+def test_every_occurrence_draws_its_own_skips(monkeypatch):
+    v = sentencepiece_bpe.Vocabulary()
+    by = sentencepiece_bpe._encoders(v, 0.3, 7)
+    text = "international " * 400
+    one = [tuple(sentencepiece_bpe.segment(c.replace(" ", "▁"), v.ranks, 0.3, int(k))) for c, k in zip(*by[1].occurrences(text), strict=True)]
+    assert len(set(one)) > 10
+    assert len({tuple(by[sentencepiece_bpe.stream_of(k)].encode("international").tolist()) for k in range(400)}) > 10
+    monkeypatch.setattr(sentencepiece_bpe, "MEMO", 40)
+    rng = random.Random(8)
+    for stream, t in enumerate([text, prose(rng, 300), "a▁b " + "long" * 30 + " é日 ", *SAMPLES[1:]]):
+        encoder = by[stream]
+        want = [sentencepiece_bpe.segment(c.replace(" ", "▁"), v.ranks, 0.3, int(k)) if c != "▁" else ["\0▁"] for c, k in zip(*encoder.occurrences(t), strict=True)]
+        ids = [x for pieces in want for p in pieces for x in ([v.ids[p]] if p in v.ids else [v.byte_ids[b] for b in p.removeprefix("\0").encode()] if p[0] != "\0" or len(p) > 1 else [v.byte_ids[0]])]
+        assert encoder.encode(t).tolist() == ids and by[stream].encode(t).tolist() == ids
