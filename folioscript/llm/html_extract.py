@@ -12,12 +12,13 @@ separates the rest.
 
 Each page is a row of its own, so there is no shuffle. Markup is read in one
 linear pass; comments, scripts, styles, form controls and embedded objects go with
-their content, references are decoded, white space inside a block becomes one
+their content (raw text or subtree), references are decoded, white space inside a block becomes one
 space, and blocks are joined by line ends in page order.
 
 Defined cases: null and empty html give the empty text; text without any tag is
 one block; unclosed and crossing tags are closed by the next end that fits; raw
-text elements without an end run to the end of the page; repeated pages give
+text elements without an end run to the end of the page, form controls and embedded
+objects without one hold nothing; repeated pages give
 equal rows; null ids and URLs are carried.
 """
 
@@ -37,7 +38,9 @@ from folioscript.llm.common import table, travels
 travels(__name__)
 
 # Elements of HTML by their treatment.
-RAW = "script style noscript template textarea title svg math iframe object canvas audio video select button xmp noframes datalist"
+RAW = frozenset("script style textarea title xmp noframes".split())  # their content is no markup
+APART = frozenset("noscript template svg math iframe object canvas audio video select button datalist".split())  # go with their subtree
+FOREIGN = frozenset(("svg", "math"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
                     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table "
@@ -59,9 +62,10 @@ HIDING = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|disp
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
-    rf"|<(?P<raw>{RAW.replace(' ', '|')})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
     r"|</?[a-zA-Z][^>]*>?", re.S | re.I)
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+EMPTY = re.compile(r"(?:^|[\s\"'])/$")
 NAMING = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
@@ -70,12 +74,16 @@ BIAS, IN_ARTICLE, TEXT_TAG, PER_WORD, MOST_WORDS, SENTENCE, LINKS, NOISY, BODY,
 NEXT, SIBLING = 1.0, 0.5  # smoothness: blocks in sequence, blocks in sequence under the same parent
 
 
+RAW_GAP = "#"  # stands for an element that is left out
+
+
 class Element:
-    __slots__ = ("article", "body", "depth", "link", "noisy", "parent", "tag")
+    __slots__ = ("apart", "article", "body", "depth", "link", "noisy", "parent", "tag")
 
     def __init__(self, tag: str, attrs: str, parent: Element | None):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
+        self.apart = tag in APART or bool(parent and parent.apart)
         self.article = bool(parent and parent.article)
         self.noisy = bool(parent and parent.noisy)
         self.body = bool(parent and parent.body)
@@ -103,6 +111,37 @@ class Block:
         self.text, self.linked, self.chars, self.element = text, linked, chars, element
 
 
+def read_tags(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, end, tag, whether an end tag, attributes) of all markup; no tag for comments, raw text and elements
+    apart that are empty or have no end, which are read as empty."""
+    out, at, open_, foreign = [], 0, {}, 0
+    while m := TOKEN.search(page, at):
+        tag, at = (m["tag"] or "").lower(), m.end()
+        end, attrs = bool(m["end"]), m["attrs"] or ""
+        if tag in RAW:
+            if not end and not (foreign and EMPTY.search(attrs)):
+                closing = RAW_END[tag].search(page, at)
+                at = closing.end() if closing else len(page)
+            tag = RAW_GAP
+        elif tag in APART:
+            if not end:
+                if EMPTY.search(attrs):
+                    tag = RAW_GAP
+                else:
+                    open_.setdefault(tag, []).append(len(out))
+                    foreign += tag in FOREIGN
+            elif open_.get(tag):
+                open_[tag].pop()
+                foreign -= tag in FOREIGN
+            else:
+                tag = RAW_GAP
+        out.append((m.start(), at, tag, end, attrs))
+    for rest in open_.values():
+        for i in rest:
+            out[i] = (*out[i][:2], RAW_GAP, False, "")
+    return out
+
+
 def read_blocks(page: str) -> list[Block]:
     """Text blocks of a page, in order."""
     root = Element("", "", None)
@@ -121,6 +160,8 @@ def read_blocks(page: str) -> list[Block]:
 
     def say(raw: str) -> None:
         nonlocal linked, chars
+        if here.apart:
+            return
         text = entities.unescape(raw) if "&" in raw else raw
         parts.append(text)
         n = len(text.strip())
@@ -140,30 +181,39 @@ def read_blocks(page: str) -> list[Block]:
             here = at.parent
 
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
+    for start, end, tag, closing, attrs in read_tags(page):
+        if start > at:
+            say(page[at:start])
+        at = end
         if not tag:
-            if m["raw"] and parts:
-                parts.append(" ")
             continue
-        if tag in BLOCKS:
+        if tag == RAW_GAP or tag in APART:
+            if parts:
+                parts.append(" ")
+            if tag == RAW_GAP:
+                continue
+        if here.apart:
+            inside = here
+        elif tag in BLOCKS:
             close()
         elif tag in ("br", "wbr"):
             parts.append(" " if tag == "br" else "")
-        if m["end"]:
+        if closing:
             if tag in ("html", "body"):
                 continue
-            leave({tag}, frozenset() if tag in BLOCKS else BLOCKS)
+            apart = here.apart
+            leave({tag}, frozenset() if tag in BLOCKS or tag in APART else BLOCKS)
+            if apart and not here.apart and tag in BLOCKS:  # a block ends around an element apart
+                here, outer = inside, here
+                close()
+                here = outer
         elif tag not in VOID:
             if tag in CLOSES_P:
-                leave({"p"}, BLOCKS - {"p"})
+                leave({"p"}, BLOCKS - {"p"} | APART)
             if tag in ALIKE:
-                leave(ALIKE[tag], SCOPES)
-            if not m["attrs"].endswith("/") or tag in BLOCKS or tag == "a":
-                here = Element(tag, m["attrs"], here)
+                leave(ALIKE[tag], SCOPES | APART)
+            if not attrs.endswith("/") or tag in BLOCKS or tag == "a" or tag in APART:
+                here = Element(tag, attrs, here)
     if at < len(page):
         say(page[at:])
     close()

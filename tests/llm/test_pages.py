@@ -152,3 +152,12 @@ def test_recall_on_the_given_table(spark):
     want = int(((x @ x.T) >= 0.9).sum() - len(x))
     got = sum(r.n_links for r in E.near_vectors(spark.read.parquet(d)).collect())
     assert got >= 0.9 * want and got <= want
+
+
+@pytest.mark.parametrize("mark", [
+    '<svg class="i"/>', "<math/>", "<canvas/>", '<iframe src="x" />', "<video-js></video-js>", "<audio-player>", "<button-group></button-group>", "<template-x/>",
+    "<button>", "<select>", "<object data=x>", "<video>", "<canvas>", "<svg><title/><path d='M0'/></svg>", "<svg><style>p{}</style><g></g></svg>",
+    "<button><div>no</div></button>", "<video><p>no</p><source src=x></video>", "<object><object>no</object>no</object>", "<script>'<p>no'</script >", "<BUTTON>no</Button>"])
+def test_elements_apart_end_where_they_end(mark):
+    assert H.main_text(f"<article><p>one {mark} two</p><p>three</p></article>") == "one two\nthree"
+    assert H.main_text(f"<article><p>one</p>{mark}<p>two</p></article><footer><p>no <video></video></p></footer>") == "one\ntwo"
