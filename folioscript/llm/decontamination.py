@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscript.llm.common import table, travels
+from folioscript.llm.line_dedup import row_id
 
 travels(__name__)
 Q = 10
@@ -207,9 +208,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without those that hold a benchmark passage."""
-    leaks = find_leaks(docs, benchmark, key, text).select(key).distinct()
-    return docs.join(leaks, key, "left_anti").select(*docs.columns)
+    """``docs`` without those that hold a benchmark passage; rows go by key and text, null keys included."""
+    own = docs.withColumn("_rid", row_id(key, text))
+    leaks = find_leaks(own, benchmark, "_rid", text).select("_rid").distinct()
+    return own.join(leaks, "_rid", "left_anti").select(*docs.columns)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

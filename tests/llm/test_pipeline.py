@@ -78,3 +78,10 @@ def test_near_dedup_links_at_a_similarity_of_four_fifths(spark, make_docs):
     assert any(x.bit_count() > 2 for x in far) and 8 < len(want) < len(rows) - 5
     got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, make_docs(rows), DIR).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_leaks_go_by_row(spark, make_docs):
+    leak = spark.read.parquet(f"{DIR}/benchmark.parquet").first().text
+    rows = [(None, leak), (None, "clean text of no one"), (1, leak), (1, "another text under this key"), (2, None)]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_leaked(spark, make_docs(rows), DIR).collect()]
+    assert sorted(got, key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
