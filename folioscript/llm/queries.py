@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscript.llm import decontamination, embedding_dedup, html_extract, line_dedup, sentencepiece_bpe, sharding, simhash, token_counts, toxicity, warc
+from folioscript.llm import decontamination, embedding_dedup, html_extract, line_dedup, periodic_runs, sentencepiece_bpe, sharding, simhash, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": (decontamination.op1_decontamination, None),
@@ -15,4 +15,5 @@ QUERIES = {
     "op8_token_counts": (token_counts.op8_token_counts, None),
     "op9_html_extract": (html_extract.op9_html_extract, None),
     "op10_embedding_dedup": (embedding_dedup.op10_embedding_dedup, embedding_dedup.SQL),
+    "op11_periodic_runs": (periodic_runs.op11_periodic_runs, None),
 }
