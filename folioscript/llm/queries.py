@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscript.llm import decontamination, embedding_dedup, fingerprints, html_extract, line_dedup, periodic_runs, sentencepiece_bpe, sharding, simhash, token_counts, toxicity, warc
+from folioscript.llm import decontamination, embedding_dedup, fingerprints, html_extract, line_dedup, periodic_runs, prefix_trie, sentencepiece_bpe, sharding, simhash, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": (decontamination.op1_decontamination, None),
@@ -17,4 +17,5 @@ QUERIES = {
     "op10_embedding_dedup": (embedding_dedup.op10_embedding_dedup, embedding_dedup.SQL),
     "op11_periodic_runs": (periodic_runs.op11_periodic_runs, None),
     "op12_fingerprints": (fingerprints.op12_fingerprints, fingerprints.SQL),
+    "op13_prefix_trie": (prefix_trie.op13_prefix_trie, prefix_trie.SQL),
 }
