@@ -48,26 +48,83 @@ def test_stream_ingest_picks_up_new_files_once(spark, tmp_path):
     assert read("chapters").count() == 2 and read("quarantine").count() == 2
 
 
-def test_replace_chapters_keeps_the_others(spark, tmp_path):
-    path = str(tmp_path / "segments")
-    row = lambda b, c, i, t: (b, c, i, t)
-    schema = "book_id long, chapter_id long, idx long, text string"
-    sinks.replace_chapters(spark.createDataFrame([row(b, b * 10 + c, i, "old") for b in range(4) for c in range(2) for i in range(2)], schema), path, 2)
-    sinks.replace_chapters(spark.createDataFrame([row(1, 10, 0, "new")], schema), path, 2)
-    got = spark.read.parquet(path)
-    assert got.filter("chapter_id = 10").select("text").collect() == [("new",)]
-    assert got.filter("text = 'old'").count() == 14
-
-
-def test_versions_and_snapshot(spark, tmp_path):
-    v1, v2 = str(tmp_path / "v1"), str(tmp_path / "v2")
-    sinks.upsert_version(None, spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), "k", v1)
-    out = sinks.upsert_version(v1, spark.createDataFrame([(2, "B"), (3, "c")], "k long, v string"), "k", v2)
-    assert sorted(map(tuple, out.collect())) == [(1, "a"), (2, "B"), (3, "c")] and spark.read.parquet(v1).count() == 2
-    snap = str(tmp_path / "snap")
-    sinks.write_snapshot(spark.createDataFrame([("v",)], "id string"), snap, 1_000)
-    due = lambda t: [r["needs_refresh"] for r in sinks.read_snapshot(spark, snap, t).collect()]
-    assert due(1_000 + 3600) == [False] and due(1_000 + 3601) == [True] and due(1_000 + 86_400) == []
+SCRIPT = "book_id long, chapter_id long, idx long, text string"
+
+
+def _scripts(spark, path):
+    return sinks.StoredTable(spark, path, SCRIPT, ["book_id"], 4)
+
+
+def _rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_replaced_and_emptied_chapters(spark, tmp_path):
+    table = _scripts(spark, str(tmp_path / "segments"))
+    assert table.read().count() == 0 and table.manifest() == (-1, {})
+    old = [(b, b * 10 + c, i, "old") for b in range(6) for c in range(2) for i in range(2)]
+    keys = lambda pairs: spark.createDataFrame(pairs, "book_id long, chapter_id long")
+    frame = lambda rows: spark.createDataFrame(rows, SCRIPT)
+    sinks.replace_scripts(table, keys([r[:2] for r in old]), frame(old))
+    assert sinks.replace_scripts(table, keys([(1, 10), (2, 21)]), frame([(1, 10, 0, "new")])) == 1
+    want = sorted([r for r in old if r[1] not in (10, 21)] + [(1, 10, 0, "new")])
+    assert _rows(table.read()) == want and _rows(table.read(0)) == sorted(old)
+    held = table.manifest()[1]
+    assert {v for v, _ in held.values()} == {0, 1} or len(held) <= 2  # untouched buckets stay where they were
+    sinks.replace_scripts(table, keys([r[:2] for r in want]), frame([]))
+    assert table.read().count() == 0 and _rows(table.read(1)) == want
+    sinks.replace_scripts(table, keys([(7, 70)]), frame([(7, 70, 0, "again")]))
+    assert _rows(table.read()) == [(7, 70, 0, "again")]
+
+
+def test_a_writer_that_dies_before_the_switch_changes_nothing(spark, tmp_path, monkeypatch):
+    import pytest
+
+    table = _scripts(spark, str(tmp_path / "segments"))
+    keys = spark.createDataFrame([(1, 10), (2, 20)], "book_id long, chapter_id long")
+    frame = lambda t: spark.createDataFrame([(1, 10, 0, t), (2, 20, 0, t)], SCRIPT)
+    sinks.replace_scripts(table, keys, frame("old"))
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(table, "switch", dies)
+        with pytest.raises(RuntimeError):
+            sinks.replace_scripts(table, keys, frame("half"))
+    assert _rows(table.read()) == [(1, 10, 0, "old"), (2, 20, 0, "old")]
+    assert sinks.replace_scripts(table, keys, frame("new")) == 1
+    assert _rows(table.read()) == [(1, 10, 0, "new"), (2, 20, 0, "new")]
+
+
+def test_scripted_chapters_lose_audio_and_error(spark):
+    chapters = spark.createDataFrame([(1, "ready", "a.mp3", 3.0, None), (2, "error", None, None, "bad"), (3, "ready", "c.mp3", 1.0, None)],
+                                     "id long, status string, audio_path string, duration_sec double, error string")
+    got = sinks.scripted(chapters, spark.createDataFrame([(0, 1), (0, 2), (0, 9)], "book_id long, chapter_id long"))
+    assert sorted(map(tuple, got.collect())) == [(1, "scripted", None, None, None), (2, "scripted", None, None, None), (3, "ready", "c.mp3", 1.0, None)]
+
+
+def test_upserts_rewrite_only_their_buckets(spark, tmp_path):
+    table = sinks.StoredTable(spark, str(tmp_path / "t"), "k long, v long, s string", ["k"], 8)
+    frame = lambda rows: spark.createDataFrame(rows, "k long, v long, s string")
+    grow = {"v": F.max("v")}
+    table.upsert(frame([(k, k, "a") for k in range(40)]), grow)
+    table.upsert(frame([(3, 1, "b"), (99, 5, "c")]), grow)
+    want = {k: (k, "a") for k in range(40)} | {3: (3, "b"), 99: (5, "c")}
+    assert {r.k: (r.v, r.s) for r in table.read().collect()} == want
+    assert sum(v == 1 for v, _ in table.manifest()[1].values()) <= 2
+    before = table.manifest()
+    table.upsert(frame([(3, 1, "b"), (99, 5, "c")]), grow, version=1)  # a repeated batch
+    assert table.manifest() == before and {r.k: (r.v, r.s) for r in table.read().collect()} == want
+
+
+def test_snapshots(spark, tmp_path):
+    table = sinks.StoredTable(spark, str(tmp_path / "snap"), "id string, name string, fetched_at_s long", ["id"], 2)
+    sinks.write_snapshot(table, spark.createDataFrame([("v", "x"), ("w", "y")], "id string, name string"), 1_000)
+    due = lambda t: sorted((r["id"], r["needs_refresh"]) for r in sinks.read_snapshot(table, t).collect())
+    assert due(1_000 + 3600) == [("v", False), ("w", False)] and due(1_000 + 3601)[0] == ("v", True) and due(1_000 + 86_400) == []
+    sinks.write_snapshot(table, spark.createDataFrame([("v", "z")], "id string, name string"), 90_000)
+    assert due(90_000) == [("v", False)]  # a voice that the new catalogue lacks is gone
 
 
 def test_annotate_isolates_failures(spark):
