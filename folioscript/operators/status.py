@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscript.functions.js import collapse_ws
 from folioscript.functions.text import safe_file_name, title_announcement
 from folioscript.operators import ordered as O
 
@@ -14,6 +13,7 @@ LIVE = ["queued", "running"]
 BUSY_CHAPTER = ["scripting", "generating"]
 ADMISSION_CAPS = {"generate": 2, "script": 3}
 STALE_AFTER_SEC = 90
+INTERRUPTED = "Interrupted — retry it"
 JOBS_PER_BOOK = 25
 PAGE_ROWS = 1000
 FRONT_MATTER = "Front Matter"
@@ -180,6 +180,33 @@ def roll_back(books: DataFrame, chapters: DataFrame, segments: DataFrame, cast:
     return ch, b.select(F.col("id").alias("book_id"), new.alias("status"))
 
 
+FAILED = "id long, status string, note string, error string, updated_s long"
+
+
+def failed_jobs(jobs: DataFrame, lost: DataFrame) -> DataFrame:
+    """What reconciling writes to the jobs in ``lost(id, failed_s)``: failed, their note cleared."""
+    return jobs.select("id").join(lost, "id").select(
+        "id", F.lit("failed").alias("status"), F.lit(None).cast("string").alias("note"), F.lit(INTERRUPTED).alias("error"), F.col("failed_s").alias("updated_s"))
+
+
+def stale_jobs(jobs: DataFrame, runs: DataFrame, as_of_s: int, timeout: int = STALE_AFTER_SEC) -> DataFrame:
+    """Running jobs without a word for more than ``timeout`` seconds whose run is gone: (id, failed_s).
+
+    ``runs(run_id, state)`` is what the run backend says; a job without a run, or with a run it does not know, is dead.
+    """
+    going = runs.filter(F.col("state").isin("running", "pending")).select("run_id").distinct()
+    quiet = jobs.filter((F.col("status") == "running") & (F.col("updated_s") < as_of_s - timeout)).select("id", "run_id")
+    return quiet.join(going, "run_id", "left_anti").select("id", F.lit(as_of_s).cast("long").alias("failed_s"))
+
+
+def reconcile(books: DataFrame, chapters: DataFrame, segments: DataFrame, cast: DataFrame, jobs: DataFrame,
+              lost: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Jobs, chapters and books after the jobs in ``lost(id, failed_s)`` were failed and what they held was rolled back."""
+    now = overlay(jobs, failed_jobs(jobs, lost), "id", ["status", "note", "error", "updated_s"])
+    ch, bk = roll_back(books, chapters, segments, cast, now, lost.select("id"))
+    return now, ch, bk
+
+
 def set_if(df: DataFrame, column: str, condition: Column, new: Column) -> DataFrame:
     """Guarded update: change rows meeting ``condition`` and mark them in ``changed``."""
     hit = F.coalesce(condition, F.lit(False))
@@ -272,14 +299,6 @@ def is_audio_path(path: Column) -> Column:
     return known & path.endswith(".mp3") & ~F.exists(F.split(path, "/"), lambda p: p.isin("", ".", ".."))
 
 
-def intro_line(title: Column, author: Column) -> Column:
-    return F.when(F.coalesce(author, F.lit("")) != "", F.concat(title, F.lit(", by "), author, F.lit("."))).otherwise(F.concat(title, F.lit(".")))
-
-
-def tidy(c: Column) -> Column:
-    return collapse_ws(c)
-
-
 # ---- job update log (batch form of the streaming operators) ---------------
 
 def job_progress(events: DataFrame) -> DataFrame:
@@ -310,6 +329,16 @@ def silent_gaps(events: DataFrame, as_of_s: int, timeout: int = STALE_AFTER_SEC)
     return after.withColumn("gap_sec", gap).filter((F.col("status") == "running") & (F.col("gap_sec") >= timeout)).select("job_id", "seq", "gap_sec")
 
 
+def lost_jobs(events: DataFrame, as_of_s: int, timeout: int = STALE_AFTER_SEC) -> DataFrame:
+    """Jobs that fell silent for ``timeout`` seconds after they had started and before they ended: (id, failed_s)."""
+    after = O.nearest(events, ["job_id"], [F.col("seq")], F.col("ts_s"), F.lit(True), "next_s", O.rank_block(F.col("seq")), ahead=True)
+    quiet = after.filter(F.coalesce("next_s", F.lit(as_of_s)) - F.col("ts_s") >= timeout)
+    begun = events.filter("status = 'running'").groupBy("job_id").agg(F.min("seq").alias("started_seq"))
+    span = begun.join(job_outcome(events).select("job_id", "end_seq"), "job_id")
+    first = quiet.join(span, "job_id").filter("seq >= started_seq AND (end_seq IS NULL OR seq < end_seq)").groupBy("job_id").agg(F.min("ts_s").alias("t"))
+    return first.select(F.col("job_id").alias("id"), (F.col("t") + timeout).alias("failed_s"))
+
+
 def status_changes(events: DataFrame) -> DataFrame:
     """Updates whose status differs from the one before (the first always counts)."""
     df = O.previous_row(events, ["job_id"], [F.col("seq")], ["status"], "prev", O.rank_block(F.col("seq")))

@@ -122,6 +122,31 @@ def rollback_books(spark, d):
     return S.roll_back(m.books, m.chapters, m.segments, m.characters, m.jobs, m.jobs.filter("status = 'running'").select("id"))[1]
 
 
+RECONCILE_AT = 788_918_400  # fixed value: 1995-01-01T00:00:00Z
+
+
+def run_states(m):
+    """What the run backend knows: two runs in seven are gone, one in seven has ended."""
+    runs = m.jobs.filter("run_id IS NOT NULL").select("run_id").distinct()
+    nth = F.substring("run_id", 5, 9).cast("long") % 7
+    return runs.filter(nth < 5).select("run_id", F.when(nth == 0, "completed").when(nth == 1, "pending").otherwise("running").alias("state"))
+
+
+def reconciled_rows(now, ch, bk):
+    """The three tables of a reconcile as one: kind, id, status, note, error."""
+    none = F.lit(None).cast("string")
+    return (now.select(F.lit("job").alias("kind"), "id", "status", "note", "error")
+            .unionByName(ch.select(F.lit("chapter").alias("kind"), F.col("chapter_id").alias("id"), "status", none.alias("note"), none.alias("error")))
+            .unionByName(bk.select(F.lit("book").alias("kind"), F.col("book_id").alias("id"), "status", none.alias("note"), none.alias("error"))))
+
+
+def reconcile_stale_jobs(spark, d):
+    """Silent jobs whose run is gone fail; their chapters and books go back to the last stable status."""
+    m = Model(spark, d)
+    lost = S.stale_jobs(m.jobs, run_states(m), RECONCILE_AT)
+    return reconciled_rows(*S.reconcile(m.books, m.chapters, m.segments, m.characters, m.jobs, lost))
+
+
 def guarded_stage_update(spark, d):
     jobs = S.set_if(Model(spark, d).jobs, "status", (F.col("status") == "running") & (F.col("id") % 2 == 0), F.lit("completed"))
     return jobs.groupBy("type", "status").agg(S.n(F.col("changed")).alias("changed"), F.count("*").alias("n"))
@@ -357,6 +382,14 @@ def dense_renumbering(spark, d):
     return O.dense_index(rows, ["chapter_id"], [F.col("idx"), F.col("is_cue")], "new_idx", O.rank_block(F.col("idx")))
 
 
+def lost_jobs(spark, d):
+    """Jobs of the update log that fell silent while they ran, and when they count as failed."""
+    return S.lost_jobs(job_events(Model(spark, d)), EVENTS_AS_OF, GAP_SEC)
+
+
+LOST_SQL = f"""SELECT job_id AS id, min(ts_s) + {GAP_SEC} AS failed_s FROM (SELECT *, min(seq) FILTER (WHERE status = 'cancelled' OR (status IN ('completed', 'failed') AND seq > s0)) OVER (PARTITION BY job_id) AS e0 FROM (
+        SELECT *, min(seq) FILTER (WHERE status = 'running') OVER (PARTITION BY job_id) AS s0, coalesce(lead(ts_s) OVER (PARTITION BY job_id ORDER BY seq), {EVENTS_AS_OF}) - ts_s AS gap FROM ev))
+        WHERE gap >= {GAP_SEC} AND seq >= s0 AND (e0 IS NULL OR seq < e0) GROUP BY 1"""
 SAFE = lambda e, fb: f"coalesce(nullif(substring({trim_ws(f'''regexp_replace({e}, '[^0-9A-Za-z_{WS}-]', '', 'g')''')}, 1, 80), ''), {fb})"
 LIVE = "status IN ('queued', 'running')"
 EX = {
@@ -373,6 +406,8 @@ EX = {
         FROM (SELECT e.*, s.chapter_id, s.kind, s.character_id, s.delivery, s.flagged, s.audio_path, c.book_id, p.book_id AS sbook
               FROM edit_cmds e LEFT JOIN segments s ON s.id = e.segment_id LEFT JOIN chapters c ON c.id = s.chapter_id LEFT JOIN characters p ON p.id = e.speaker)""",
     "judged_edits": """SELECT *, reject_reason IS NULL AND op = 'patch' AS act, reject_reason IS NULL AND op = 'patch' AND set_speaker AND speaker IS NULL AS to_narr FROM edits""",
+    "stale": f"""SELECT id FROM jobs WHERE status = 'running' AND updated_s < {RECONCILE_AT - S.STALE_AFTER_SEC}
+        AND NOT coalesce(CAST(substring(run_id, 5) AS BIGINT) % 7 IN (1, 2, 3, 4), false)""",
     "dead": "SELECT * FROM jobs WHERE status = 'running' AND run_id IS NULL",
 }
 W = lambda sql: with_model(sql, EX)
@@ -415,6 +450,13 @@ QUERIES = {
         THEN CASE WHEN id IN (SELECT chapter_id FROM segments) THEN 'scripted' ELSE 'pending' END ELSE status END AS status FROM chapters""")),
     "rollback_books": (rollback_books, W("""SELECT id AS book_id, CASE WHEN status IN ('analyzing', 'casting', 'generating') AND id IN (SELECT book_id FROM jobs WHERE status = 'running')
         THEN CASE WHEN status = 'generating' THEN 'cast' WHEN id IN (SELECT book_id FROM characters) THEN 'analyzed' ELSE 'parsed' END ELSE status END AS status FROM books""")),
+    "reconcile_stale_jobs": (reconcile_stale_jobs, W(f"""SELECT 'job' AS kind, id, CASE WHEN id IN (FROM stale) THEN 'failed' ELSE status END AS status, CASE WHEN id NOT IN (FROM stale) THEN note END AS note,
+          CASE WHEN id IN (FROM stale) THEN '{S.INTERRUPTED}' ELSE error END AS error FROM jobs
+        UNION ALL SELECT 'chapter', id, CASE WHEN status IN ('scripting', 'generating') AND id IN (SELECT chapter_id FROM jobs WHERE id IN (FROM stale) AND chapter_id IS NOT NULL)
+          THEN CASE WHEN id IN (SELECT chapter_id FROM segments) THEN 'scripted' ELSE 'pending' END ELSE status END, NULL, NULL FROM chapters
+        UNION ALL SELECT 'book', id, CASE WHEN status IN ('analyzing', 'casting', 'generating') AND id IN (SELECT book_id FROM jobs WHERE id IN (FROM stale))
+            AND id NOT IN (SELECT book_id FROM jobs WHERE status = 'running' AND id NOT IN (FROM stale))
+          THEN CASE WHEN status = 'generating' THEN 'cast' WHEN id IN (SELECT book_id FROM characters) THEN 'analyzed' ELSE 'parsed' END ELSE status END, NULL, NULL FROM books""")),
     "guarded_stage_update": (guarded_stage_update, W("""SELECT type, CASE WHEN c THEN 'completed' ELSE status END AS status, count(*) FILTER (WHERE c) AS changed, count(*) AS n
         FROM (SELECT *, status = 'running' AND id % 2 = 0 AS c FROM jobs) GROUP BY 1, 2""")),
     "cancel_book_jobs": (cancel_book_jobs, W(f"SELECT id, book_id, status, CASE WHEN status = 'running' THEN run_id END AS run_to_stop FROM jobs WHERE book_id % 2 = 0 AND {LIVE}")),
@@ -470,6 +512,7 @@ QUERIES = {
         min(seq) FILTER (WHERE status IN ('completed', 'failed') AND seq > s0 OR status = 'cancelled') AS end_seq FROM (SELECT *, min(seq) FILTER (WHERE status = 'running') OVER (PARTITION BY job_id) AS s0 FROM ev) GROUP BY job_id, s0""")),
     "silent_jobs": (silent_jobs, W(f"""SELECT job_id, seq, gap_sec FROM (SELECT *, coalesce(lead(ts_s) OVER (PARTITION BY job_id ORDER BY seq), {EVENTS_AS_OF}) - ts_s AS gap_sec FROM ev) WHERE status = 'running' AND gap_sec >= {GAP_SEC}""")),
     "status_changes": (status_changes, W("SELECT job_id, seq, p AS from_status, status FROM (SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY seq) AS p FROM ev) WHERE p IS NULL OR p <> status")),
+    "lost_jobs": (lost_jobs, W(LOST_SQL)),
     "latest_job_rows": (latest_job_rows, W("SELECT job_id, seq, status, done FROM ev QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) = 1")),
     "duplicate_assignments": (duplicate_assignments, W("""SELECT character_id, 2 * count(*) AS n FROM assignments WHERE character_id % 9 = 0 GROUP BY 1""")),
     "duplicate_labels": (duplicate_labels, W("""SELECT DISTINCT book_id, variant_group, variant_label, count(*) OVER w AS n FROM characters

@@ -84,6 +84,7 @@ class Model:
             F.floor(total * (o % 101) / 100).cast("long").alias("done"),
             F.when(o % 41 == 0, F.lit(0)).otherwise(total).cast("long").alias("total"),
             F.when(o % 17 == 0, F.concat(F.lit("job error "), o.cast("string"))).alias("error"),
+            F.when(o % 3 != 0, F.concat(F.lit("step "), (o % 101).cast("string"))).alias("note"),
             F.when(o % 5 != 0, F.concat(F.lit("run-"), (o % 1000).cast("string"))).alias("run_id"),
             (F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + o % 86400).alias("created_s"),
             (F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + o % 86400 + (o % 301)).alias("updated_s"),

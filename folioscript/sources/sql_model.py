@@ -58,6 +58,7 @@ CTES: dict[str, str] = {
         CAST(floor(CAST(floor(o_totalprice) AS BIGINT) * (o_orderkey % 101) / 100) AS BIGINT) AS done,
         CASE WHEN o_orderkey % 41 = 0 THEN 0 ELSE CAST(floor(o_totalprice) AS BIGINT) END AS total,
         CASE WHEN o_orderkey % 17 = 0 THEN 'job error ' || o_orderkey END AS error,
+        CASE WHEN o_orderkey % 3 <> 0 THEN 'step ' || (o_orderkey % 101) END AS note,
         CASE WHEN o_orderkey % 5 <> 0 THEN 'run-' || (o_orderkey % 1000) END AS run_id,
         CAST(epoch(o_orderdate) AS BIGINT) + o_orderkey % 86400 AS created_s,
         CAST(epoch(o_orderdate) AS BIGINT) + o_orderkey % 86400 + o_orderkey % 301 AS updated_s FROM orders""",

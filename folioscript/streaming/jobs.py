@@ -1,116 +1,231 @@
-"""Job update log as a stream: progress, lifecycle, silence and status changes.
+"""Job update log as a stream: lifecycle, silence and status changes on keyed state, progress, latest rows.
 
-Each micro-batch is joined with the small last-known row per job and handled by
-the same batch operators that serve the table form, so one job may hold any
-share of the events: its rows are cut into blocks, not handed to one task.
-State and output of batch ``n`` go to paths named after ``n``; running a batch
-again writes the same files, so a restart neither loses nor doubles rows.
+:func:`follow` holds a job's updates until the watermark has passed them, then applies
+them in the order of the log, so that late and replayed updates end in what the batch
+operators of :mod:`folioscript.operators.status` give for the whole log. What may still
+be late bounds the state of a job. A timer in event time reports silence without any
+further update of that job: the watermark alone, moved on by other jobs, fires it.
+
+Updates later than the watermark allows are dropped. ``seq`` is the place of an update
+in its job's log and never falls as time goes on; a second update of one place is a
+replay. Progress never goes back, so for it order does not matter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from folioscript.operators import ordered as O
 from folioscript.operators import status as S
+from folioscript.session import cut_lineage, travels
+from folioscript.sources.sinks import StoredTable
 
+travels(__name__)
 EVENT_SCHEMA = "job_id long, seq long, ts_s long, status string, done long, chars_used long, note string"
-STATE_SCHEMA = (EVENT_SCHEMA + ", started_seq long, end_seq long, end_status string, silent_seq long")
-CHANGE_SCHEMA = "job_id long, seq long, from_status string, status string"
-SILENT_SCHEMA = "job_id long, seq long, gap_sec long"
+FACTS = "job_id long, fact string, seq long, ts_s long, from_status string, status string"
+HELD = ("seqs array<bigint>, times array<bigint>, statuses array<string>, seq long, ts_s long, status string, "
+        "started long, ended long, lost boolean, quiet long")
+PROGRESS = "job_id long, done long, chars_used long, note string, note_seq long"
+LATEST = "job_id long, seq long, status string, done long"
+TERMINAL = ("completed", "failed", "cancelled")
+
+
+def with_watermark(stream: DataFrame, lateness_s: int) -> DataFrame:
+    return stream.withColumn("at", F.timestamp_seconds("ts_s")).withWatermark("at", f"{lateness_s} seconds")
+
+
+class Lifecycle:
+    """What is known of one job; ``apply`` takes its updates in order and notes the facts that follow."""
+
+    def __init__(self, known: tuple | None, timeout: int):
+        known = known or ([], [], [], None, None, None, None, None, False, None)
+        self.held = dict(zip(known[0], zip(known[1], known[2], strict=True), strict=True))
+        self.seq, self.ts, self.status, self.started, self.ended, self.lost, self.quiet = known[3:]
+        self.timeout, self.facts = timeout, []
+
+    def state(self) -> tuple:
+        held = sorted(self.held.items())
+        return ([s for s, _ in held], [t for _, (t, _) in held], [x for _, (_, x) in held],
+                self.seq, self.ts, self.status, self.started, self.ended, self.lost, self.quiet)
+
+    def hold(self, seq: int, ts: int, status: str) -> None:
+        if self.seq is None or seq > self.seq:
+            self.held.setdefault(seq, (ts, status))
+
+    def note(self, fact: str, seq: int, ts: int, before: str | None, status: str) -> None:
+        self.facts.append((fact, seq, ts, before, status))
+
+    def silence_until(self, now: int) -> None:
+        """The last applied update is followed by no other one before ``now``."""
+        if self.seq is None or now - self.ts < self.timeout or self.quiet == self.seq:
+            return
+        self.quiet = self.seq
+        if self.status == "running":
+            self.note("silent", self.seq, self.ts, None, "running")
+        if self.started is not None and self.ended is None and not self.lost:
+            self.lost = True  # started, not ended, no word for too long: failed where the timer ran out
+            self.note("lost", self.seq, self.ts + self.timeout, "running", "failed")
+
+    def apply(self, seq: int, ts: int, status: str) -> None:
+        self.silence_until(ts)
+        if self.status != status:
+            self.note("change", seq, ts, self.status, status)
+        if self.started is None and status == "running":
+            self.started = seq
+            self.note("started", seq, ts, None, "running")
+        if self.ended is None and (status == "cancelled" or (status in TERMINAL and self.started is not None and seq > self.started)):
+            self.ended = seq
+            self.note("ended", seq, ts, None, status)
+        if self.seq is None:
+            self.note("seen", seq, ts, None, status)
+        self.seq, self.ts, self.status = seq, ts, status
+
+    def advance(self, watermark: int) -> int | None:
+        """Apply what the watermark (seconds) has passed; the time at which to look again, if any."""
+        for seq in sorted(self.held):
+            ts, status = self.held[seq]
+            if ts > watermark:
+                break
+            del self.held[seq]
+            self.apply(seq, ts, status)
+        self.silence_until(watermark)
+        waits = [t for t, _ in self.held.values()]
+        if self.seq is not None and self.quiet != self.seq:
+            waits.append(self.ts + self.timeout)
+        return min(waits, default=None)
+
+
+def follow(stream: DataFrame, lateness_s: int, timeout: int = S.STALE_AFTER_SEC) -> DataFrame:
+    """Facts about every job, each once, as soon as the watermark allows: (job_id, fact, seq, ts_s, from_status, status).
+
+    ``seen``: its first update. ``change``: a status unlike the one before. ``started``, ``ended``: first running and first
+    accepted terminal update. ``silent``: a running update followed by ``timeout`` seconds without another. ``lost``: a started job
+    that has not ended falls silent and fails, at ts_s. Rows without a job_id only move the watermark on, like a clock.
+    """
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if pd.isna(key[0]):
+            return
+        job = Lifecycle(state.get if state.exists else None, timeout)
+        for part in parts:
+            for seq, ts, status in zip(part["seq"].tolist(), part["ts_s"].tolist(), part["status"].tolist(), strict=True):
+                job.hold(seq, ts, status)
+        passed = state.getCurrentWatermarkMs()
+        again = job.advance(passed // 1000)
+        state.update(job.state())
+        if again is not None:
+            state.setTimeoutTimestamp(max(again * 1000, passed + 1))
+        if job.facts:
+            facts = pd.DataFrame(job.facts, columns=["fact", "seq", "ts_s", "from_status", "status"])
+            facts.insert(0, "job_id", key[0])
+            yield facts
+
+    rows = with_watermark(stream, lateness_s).select("job_id", "seq", "ts_s", "status", "at")
+    return rows.groupBy("job_id").applyInPandasWithState(run, FACTS, HELD, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def start_facts(stream: DataFrame, root: str, lateness_s: int, timeout: int = S.STALE_AFTER_SEC) -> StreamingQuery:
+    """Keep the facts of ``stream`` below ``root``; a file sink, so each is kept once however often a batch is run."""
+    return (follow(stream, lateness_s, timeout).writeStream.format("parquet").outputMode("append")
+            .option("path", f"{root}/facts").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+
+
+def facts(spark, root: str) -> DataFrame:
+    return spark.read.schema(FACTS).parquet(f"{root}/facts")
+
+
+def status_changes(found: DataFrame) -> DataFrame:
+    return found.filter("fact = 'change'").select("job_id", "seq", "from_status", "status")
+
+
+def job_outcome(found: DataFrame) -> DataFrame:
+    """Status and end of each job: the first accepted terminal update, else whether it has started."""
+    rank = F.when(F.col("fact") == "ended", 2).when(F.col("fact") == "started", 1).otherwise(0)
+    last = found.filter("fact IN ('seen', 'started', 'ended')").groupBy("job_id").agg(F.max_by(F.struct("fact", "status", "seq"), rank).alias("r"))
+    return last.select("job_id", F.when(F.col("r.fact") == "seen", "queued").otherwise(F.col("r.status")).alias("status"),
+                       F.when(F.col("r.fact") == "ended", F.col("r.seq")).alias("end_seq"))
+
+
+def silent(found: DataFrame) -> DataFrame:
+    return found.filter("fact = 'silent'").select("job_id", "seq", "ts_s")
+
+
+def lost(found: DataFrame) -> DataFrame:
+    """Jobs that fell silent while they ran: (id, failed_s)."""
+    return found.filter("fact = 'lost'").select(F.col("job_id").alias("id"), F.col("ts_s").alias("failed_s"))
 
 
-class JobTracker:
-    """Tracks a stream of job updates below ``root``.
+def start_reconcile(stream: DataFrame, root: str, lateness_s: int, books: DataFrame, chapters: DataFrame, segments: DataFrame, cast: DataFrame,
+                    jobs: DataFrame, timeout: int = S.STALE_AFTER_SEC, alive: DataFrame | None = None) -> StreamingQuery:
+    """Fail jobs as they fall silent, roll their chapters and books back, and keep both as stored tables below ``root``.
 
-    Progress never goes back, so an update that arrives late or again still counts
-    for it. Status, silence and outcome follow the order of the log: there, updates
-    at or before the last one seen of their job change nothing.
+    Each batch stores the jobs it failed and rewrites the chapters and books these touch; a repeated batch ends in the same tables.
     """
+    spark = books.sparkSession
+    failed, chapter_table, book_table = reconcile_tables(spark, root)
 
-    def __init__(self, spark: SparkSession, root: str, timeout: int = S.STALE_AFTER_SEC):
-        self.spark, self.root, self.timeout = spark, root.rstrip("/"), timeout
-
-    def _path(self, name: str, batch_id: int) -> str:
-        return f"{self.root}/{name}/batch={batch_id:09d}"
-
-    def state_before(self, batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return self.spark.createDataFrame([], STATE_SCHEMA)
-        return self.spark.read.schema(STATE_SCHEMA).parquet(self._path("state", batch_id - 1))
-
-    def handle(self, batch: DataFrame, batch_id: int) -> None:
-        known = self.state_before(batch_id)
-        last = known.select("job_id", F.col("seq").alias("_last"))
-        fresh = batch.join(last, "job_id", "left").filter(F.col("_last").isNull() | (F.col("seq") > F.col("_last"))).drop("_last")
-        fresh = fresh.dropDuplicates(["job_id", "seq"])
-        events = [c.split()[0] for c in EVENT_SCHEMA.split(", ")]
-        rows = known.select(*events).withColumn("_old", F.lit(True)).unionByName(fresh.withColumn("_old", F.lit(False)))
-
-        order, block = [F.col("seq")], O.rank_block(F.col("seq"))
-        linked = O.previous_row(rows, ["job_id"], order, ["status"], "prev", block)
-        changes = linked.filter(~F.col("_old") & (F.col("prev").isNull() | (F.col("prev.status") != F.col("status"))))
-        changes.select("job_id", "seq", F.col("prev.status").alias("from_status"), "status").write.mode("overwrite").parquet(
-            self._path("changes", batch_id))
-
-        now = rows.agg(F.max("ts_s")).first()[0]
-        reported = known.select("job_id", "silent_seq")
-        silent = S.silent_gaps(rows, now or 0, self.timeout).join(reported, "job_id", "left").filter(
-            F.col("silent_seq").isNull() | (F.col("seq") > F.col("silent_seq"))).select("job_id", "seq", "gap_sec")
-        silent.write.mode("overwrite").parquet(self._path("silent", batch_id))
-        silent = self.spark.read.schema(SILENT_SCHEMA).parquet(self._path("silent", batch_id))
-
-        self._next_state(known, rows, fresh, silent, batch).write.mode("overwrite").parquet(self._path("state", batch_id))
-
-    def _next_state(self, known: DataFrame, rows: DataFrame, fresh: DataFrame, silent: DataFrame, batch: DataFrame) -> DataFrame:
-        keep = known.select("job_id", F.col("started_seq").alias("_s"), F.col("end_seq").alias("_e"), F.col("end_status").alias("_es"),
-                            F.col("silent_seq").alias("_q"))
-        most = known.select("job_id", "done", "chars_used").unionByName(batch.select("job_id", "done", "chars_used")).groupBy("job_id").agg(
-            F.max("done").alias("done"), F.max("chars_used").alias("chars_used"))
-        progress = rows.groupBy("job_id").agg(F.max_by(F.struct("seq", "ts_s", "status", "note"), "seq").alias("_r")).join(most, "job_id")
-        begun = fresh.filter("status = 'running'").groupBy("job_id").agg(F.min("seq").alias("_b"))
-        started = progress.select("job_id").join(keep, "job_id", "left").join(begun, "job_id", "left").select(
-            "job_id", "_e", "_es", "_q", F.coalesce("_s", "_b").alias("started_seq"))
-        ends = fresh.filter(F.col("status").isin("completed", "failed", "cancelled")).join(started, "job_id").filter(
-            F.col("_e").isNull() & ((F.col("status") == "cancelled") | (F.col("seq") > F.col("started_seq"))))
-        first_end = ends.groupBy("job_id").agg(F.min_by(F.struct("seq", "status"), "seq").alias("_n"))
-        quiet = silent.groupBy("job_id").agg(F.max("seq").alias("_sq"))
-        df = progress.join(started, "job_id").join(first_end, "job_id", "left").join(quiet, "job_id", "left")
-        return df.select(
-            "job_id", "_r.seq", "_r.ts_s", "_r.status", "done", "chars_used", "_r.note", "started_seq",
-            F.coalesce("_e", "_n.seq").alias("end_seq"), F.coalesce("_es", "_n.status").alias("end_status"),
-            F.greatest("_q", "_sq").alias("silent_seq"))
-
-    def start(self, stream: DataFrame) -> StreamingQuery:
-        return (stream.writeStream.foreachBatch(self.handle).option("checkpointLocation", f"{self.root}/checkpoint")
-                .trigger(availableNow=True).start())
-
-    def _all(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/batch=*")
-
-    def changes(self) -> DataFrame:
-        return self._all("changes", CHANGE_SCHEMA)
-
-    def silent(self) -> DataFrame:
-        return self._all("silent", SILENT_SCHEMA)
-
-    def state(self, batch_id: int) -> DataFrame:
-        return self.spark.read.schema(STATE_SCHEMA).parquet(self._path("state", batch_id))
-
-    def last_batch(self) -> int:
-        """Number of the newest state, read from the folder names."""
-        return self.spark.read.option("basePath", f"{self.root}/state").parquet(f"{self.root}/state").agg(F.max("batch")).first()[0]
-
-    def outcome(self, batch_id: int | None = None) -> DataFrame:
-        """Outcome per job after batch ``batch_id``, by default the last one."""
-        batch_id = self.last_batch() if batch_id is None else batch_id
-        status = F.coalesce("end_status", F.when(F.col("started_seq").isNotNull(), "running").otherwise("queued"))
-        return self.state(batch_id).select("job_id", status.alias("status"), "end_seq")
+    def handle(batch: DataFrame, n: int) -> None:
+        dead = lost(batch)
+        if alive is not None:
+            dead = dead.join(alive, "id", "left_anti")
+        failed.upsert(S.failed_jobs(jobs, dead), version=n)
+        hit = cut_lineage(jobs.join(dead.select("id"), "id", "left_semi").select("book_id", "chapter_id"), "hit")
+        all_failed = failed.read()
+        ch, bk = S.roll_back(
+            books.join(hit.select(F.col("book_id").alias("id")), "id", "left_semi"), chapters.join(hit.select(F.col("chapter_id").alias("id")), "id", "left_semi"),
+            segments, cast, S.overlay(jobs, all_failed, "id", ["status", "note", "error"]), all_failed.select("id"))
+        chapter_table.upsert(ch, version=n)
+        book_table.upsert(bk, version=n)
+
+    return (follow(stream, lateness_s, timeout).filter("fact = 'lost'").writeStream.outputMode("append").foreachBatch(handle)
+            .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+
+
+def reconcile_tables(spark, root: str) -> tuple[StoredTable, StoredTable, StoredTable]:
+    return (StoredTable(spark, f"{root}/failed", S.FAILED, ["id"]), StoredTable(spark, f"{root}/chapters", "chapter_id long, status string", ["chapter_id"]),
+            StoredTable(spark, f"{root}/books", "book_id long, status string", ["book_id"]))
 
 
 def progress_stream(stream: DataFrame) -> DataFrame:
-    """Monotone progress as a streaming aggregate (update mode); partials combine before the shuffle."""
-    return stream.groupBy("job_id").agg(
-        F.max("done").alias("done"), F.max("chars_used").alias("chars_used"), F.max_by("note", "seq").alias("note"))
+    """Monotone progress as a streaming aggregate; partials combine before the shuffle."""
+    latest = F.max(F.struct("seq", "note"))
+    return stream.groupBy("job_id").agg(F.max("done").alias("done"), F.max("chars_used").alias("chars_used"), latest.alias("l")).select(
+        "job_id", "done", "chars_used", F.col("l.note").alias("note"), F.col("l.seq").alias("note_seq"))
+
+
+def progress_table(spark, root: str) -> StoredTable:
+    return StoredTable(spark, f"{root}/rows", PROGRESS, ["job_id"])
+
+
+def start_progress(stream: DataFrame, root: str) -> StreamingQuery:
+    """Keep the progress of every job in a stored table; a batch sends the jobs it changed and rewrites their buckets."""
+    table = progress_table(stream.sparkSession, root)
+    return (progress_stream(stream.filter("job_id IS NOT NULL")).writeStream.outputMode("update").foreachBatch(lambda df, n: table.upsert(df, version=n))
+            .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+
+
+def latest_stream(stream: DataFrame, lateness_s: int) -> DataFrame:
+    """Updates without their replays."""
+    rows = with_watermark(stream.filter("job_id IS NOT NULL"), lateness_s)
+    return rows.dropDuplicatesWithinWatermark(["job_id", "seq"]).select("job_id", "seq", "status", "done")
+
+
+def latest_table(spark, root: str) -> StoredTable:
+    return StoredTable(spark, f"{root}/rows", LATEST, ["job_id"])
+
+
+def start_latest(stream: DataFrame, root: str, lateness_s: int) -> StreamingQuery:
+    """Keep the latest row of every job, whatever order and however often updates arrive."""
+    table = latest_table(stream.sparkSession, root)
+    newest = F.max(F.struct("seq", "status", "done"))
+
+    def handle(batch: DataFrame, n: int) -> None:
+        rows = batch.groupBy("job_id").agg(newest.alias("r")).select("job_id", "r.*")
+        table.upsert(rows, {c: F.max_by(c, "seq") for c in ("seq", "status", "done")}, version=n)
+
+    return (latest_stream(stream, lateness_s).writeStream.outputMode("append").foreachBatch(handle)
+            .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
