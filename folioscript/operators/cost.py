@@ -72,13 +72,14 @@ def render_plan(lines: DataFrame) -> DataFrame:
 
 
 def _canon(c: Column) -> Column:
-    """A setting as whole thousandths, so equal settings give equal keys."""
-    return F.round(c * 1000).cast("long").cast("string")
+    """A setting as its whole number, so that only equal settings give equal keys."""
+    return c.cast("double").cast("string")
 
 
 def content_key(*parts: Column) -> Column:
-    """SHA-256 over a canonical tuple; parts are separated by U+001F."""
-    return F.sha2(F.concat_ws("\u001f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+    """SHA-256 over a tuple: each part with its length in front, a null as a tilde, so that unlike tuples never spell alike."""
+    spelled = [F.coalesce(F.concat(F.length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string")), F.lit("~")) for p in parts]
+    return F.sha2(F.concat(*spelled), 256)
 
 
 def with_cache_key(plan: DataFrame) -> DataFrame:

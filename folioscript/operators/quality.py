@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscript.functions.assemble import spans_tile
 from folioscript.functions.domains import DELIVERY_NAMES
+from folioscript.functions.js import trim_ws
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -27,9 +28,9 @@ def duplicate_labels(cast: DataFrame) -> DataFrame:
 
 
 def duration_mismatch(durations: DataFrame, stored: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """(chapter_id, off_by_sec) where the stored total (chapter_id, stored_sec) differs from the sum of clips and pauses, or is missing."""
-    df = durations.join(stored, "chapter_id", "left")
-    off = F.col("duration_sec") - F.coalesce("stored_sec", F.lit(0.0))
+    """(chapter_id, off_by_sec) where the stored total (chapter_id, stored_sec) differs from the sum of clips and pauses."""
+    df = durations.join(stored, "chapter_id")
+    off = F.col("duration_sec") - F.col("stored_sec")
     return df.filter(F.abs(off) > tolerance).select("chapter_id", F.round(off, 6).alias("off_by_sec"))
 
 
@@ -60,6 +61,12 @@ def flagged_segments(segments: DataFrame) -> DataFrame:
     return segments.filter("flagged").groupBy("chapter_id", "kind").agg(F.count("*").alias("n"))
 
 
+def title_lines_left(chapters: DataFrame, text: str = "text", title: str = "title", longest: int = 60) -> DataFrame:
+    """Chapters whose first line is a part of their title that cleaning should have taken out."""
+    first = trim_ws(F.substring_index(F.col(text), "\n", 1))
+    return chapters.filter(F.lower(F.col(title)).contains(F.lower(first)) & (F.length(first) <= longest))
+
+
 def broken_spans(chapters: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """Rows whose spans do not tile their text: a gap, an overlap, or characters that differ from the span's own slice."""
     return chapters.filter(~spans_tile(F.col(text), F.col(spans)))

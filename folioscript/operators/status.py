@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscript.functions.text import safe_file_name, title_announcement
@@ -140,13 +140,17 @@ def to_enqueue(chapters: DataFrame, segments: DataFrame, jobs: DataFrame) -> Dat
     return rows.select("book_id", "chapter_id", (F.col("_scripted").isNull() | (F.col("status") == "pending")).alias("script_first"))
 
 
-def admission(jobs: DataFrame) -> DataFrame:
-    """Oldest queued jobs that fit under each type's cap right now."""
-    caps = F.create_map(*[F.lit(x) for kv in ADMISSION_CAPS.items() for x in kv])
-    typed = jobs.filter(F.col("type").isin(list(ADMISSION_CAPS)))
-    running = typed.groupBy("type").agg(n(F.col("status") == "running").alias("running"))
-    head = O.top_by(typed.filter("status = 'queued'"), ["type"], [F.col("created_s"), F.col("id")], max(ADMISSION_CAPS.values()))
-    return head.join(running, "type").filter(F.col("rank") <= caps[F.col("type")] - F.col("running")).select("type", "id", "rank")
+def admission(jobs: DataFrame, caps: DataFrame) -> DataFrame:
+    """Oldest queued jobs that fit under each type's cap right now; ``caps(type, cap)`` has one row per type that is capped."""
+    typed = jobs.join(caps, "type").select("id", "type", "status", "created_s", "cap")
+    running = typed.groupBy("type").agg((F.max("cap") - n(F.col("status") == "running")).alias("free"))
+    place = F.row_number().over(Window.partitionBy("type").orderBy("created_s", "id"))
+    head = typed.filter("status = 'queued'").join(running.filter("free > 0"), "type").withColumn("rank", place)
+    return head.filter("rank <= free").select("type", "id", "rank")
+
+
+def admission_caps(spark, caps: dict[str, int] = ADMISSION_CAPS) -> DataFrame:
+    return spark.createDataFrame(sorted(caps.items()), "type string, cap long")
 
 
 def recent_jobs(jobs: DataFrame, k: int = JOBS_PER_BOOK) -> DataFrame:

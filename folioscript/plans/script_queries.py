@@ -322,6 +322,7 @@ BLOCK_CTES = {
     "blocked": """SELECT *, p = 0 AND c = 0 AND NOT opens AND sb AS space, sum(CASE WHEN p = 0 AND c = 0 THEN CAST(opens AS INT) ELSE CAST(c > 0 AS INT) END) OVER (PARTITION BY chapter_id ORDER BY idx, p, c) AS b FROM bits""",
     "spaced": f"""SELECT *, regexp_matches(t, '[^{WS}]') AS shown, coalesce(bool_or(regexp_matches(t, '[^{WS}]')) OVER (PARTITION BY chapter_id, b ORDER BY idx, p, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS later FROM blocked""",
 }
+KEY = lambda *parts: "sha256(" + " || ".join(f"coalesce(length(CAST({p} AS VARCHAR)) || ':' || CAST({p} AS VARCHAR), '~')" for p in parts) + ")"
 PLAN_CTES = {
     **DICT,
     "plan0": """SELECT s.chapter_id, s.idx, s.kind, s.text, s.delivery, s.is_title, s.sfx_duration_sec, b.render_model, CASE WHEN o.voice_id IS NOT NULL THEN o.character_id ELSE n.character_id END AS vid
@@ -333,16 +334,15 @@ PLAN_CTES = {
           CASE WHEN v3 THEN CASE WHEN st < 0.25 THEN 0.0 WHEN st < 0.75 THEN 0.5 WHEN st IS NULL THEN 1.0 ELSE 1.0 END WHEN a IS NULL THEN st ELSE floor(least(1.0, greatest(0.0, st + a))::DOUBLE * 100 + 0.5) / 100 END AS rst,
           CASE WHEN v3 OR a IS NULL THEN sy ELSE floor(least(greatest(0.4, sy), greatest(0.0, sy + b))::DOUBLE * 100 + 0.5) / 100 END AS rsy,
           CASE WHEN v3 OR a IS NULL THEN sp ELSE floor(least(1.1, greatest(0.85, sp + c))::DOUBLE * 100 + 0.5) / 100 END AS rsp FROM plan1""",
-    "keyed": """SELECT *, CASE WHEN kind = 'sfx' THEN sha256(text || chr(31) || CAST(round(coalesce(sfx_duration_sec, 3.0) * 1000) AS BIGINT) || chr(31) || 'sfx-v2')
-          ELSE sha256(concat_ws(chr(31), rt, coalesce(voice_id, ''), coalesce(CAST(CAST(round(rst * 1000) AS BIGINT) AS VARCHAR), ''), coalesce(CAST(CAST(round(sim * 1000) AS BIGINT) AS VARCHAR), ''), coalesce(CAST(CAST(round(rsy * 1000) AS BIGINT) AS VARCHAR), ''),
-             coalesce(CAST(CAST(round(rsp * 1000) AS BIGINT) AS VARCHAR), ''), render_model, coalesce(CAST(seed AS VARCHAR), ''))) END AS cache_key FROM plan""",
+    "keyed": f"""SELECT *, CASE WHEN kind = 'sfx' THEN {KEY("text", "coalesce(sfx_duration_sec, 3.0)::DOUBLE", "'sfx-v2'")}
+          ELSE {KEY("rt", "voice_id", "rst::DOUBLE", "sim::DOUBLE", "rsy::DOUBLE", "rsp::DOUBLE", "render_model", "seed")} END AS cache_key FROM plan""",
     "probed": "SELECT *, left(cache_key, 1) < '6' OR row_number() OVER (PARTITION BY cache_key ORDER BY chapter_id, idx) > 1 AS is_cached FROM keyed",
     "chained": """SELECT *, sum(CAST(brk AS INT)) OVER (PARTITION BY chapter_id ORDER BY idx) AS chain FROM (SELECT *, NOT (fresh AND coalesce(lag(fresh) OVER w, false) AND lag(voice_id) OVER w IS NOT DISTINCT FROM voice_id) AS brk
         FROM (SELECT *, NOT is_cached AND kind <> 'sfx' AS fresh FROM probed) WINDOW w AS (PARTITION BY chapter_id ORDER BY idx))""",
 }
 SQ = lambda sql, extra=None: with_model(sql, {**DICT, **SPAN_CTES, **(extra or {})}, recursive=True)
 PQ = lambda sql: with_model(sql, PLAN_CTES)
-_TH = lambda c: f"CAST(CAST(round({c}::DOUBLE * 1000) AS BIGINT) AS VARCHAR)"
+_SETTINGS = [f"{c}::DOUBLE" for c in C.SETTINGS]
 
 QUERIES = {
     "quote_styles": (quote_styles, SQ("SELECT chapter_id, style FROM styles", {"clean": "SELECT chapter_id, text FROM quoted"})),
@@ -376,7 +376,7 @@ QUERIES = {
     "render_batches": (render_batches, with_model("SELECT chapter_id, p // 4 AS batch, count(*) AS n, min(idx) AS first_idx FROM (SELECT chapter_id, idx, row_number() OVER (PARTITION BY chapter_id ORDER BY idx) - 1 AS p FROM segments) GROUP BY 1, 2")),
     "render_waves": (render_waves, f"""SELECT chapter_id, p // 25 AS batch, count(*) AS n, min(idx) AS first_idx, p // 25 // 3 AS wave
         FROM (SELECT chapter_id, idx, row_number() OVER (PARTITION BY chapter_id ORDER BY idx) - 1 AS p FROM ({LINE_SEGMENTS_SQL})) GROUP BY 1, 2, 5"""),
-    "preview_and_intro_keys": (preview_and_intro_keys, with_model(f"""SELECT character_id, sha256(concat_ws(chr(31), voice_id, left(repeat(rationale, 40), 300), {_TH('stability')}, {_TH('similarity_boost')}, {_TH('style')}, {_TH('speed')}, 'eleven_flash_v2_5')) AS preview_key,
-        left(sha256(concat_ws(chr(31), voice_name, rationale, voice_id, {_TH('stability')}, {_TH('similarity_boost')}, {_TH('style')}, {_TH('speed')}, 'eleven_v3', 'intro-v3')), 16) AS intro_key FROM assignments""")),
+    "preview_and_intro_keys": (preview_and_intro_keys, with_model(f"""SELECT character_id, {KEY("voice_id", "left(repeat(rationale, 40), 300)", *_SETTINGS, "'eleven_flash_v2_5'")} AS preview_key,
+        left({KEY("voice_name", "rationale", "voice_id", *_SETTINGS, "'eleven_v3'", "'intro-v3'")}, 16) AS intro_key FROM assignments""")),
     "clip_durations": (clip_durations, "SELECT l_orderkey, n_bytes, n_bytes * 8 / 128000.0 AS duration_sec FROM (SELECT l_orderkey, CAST(sum(floor(l_extendedprice)) AS BIGINT) AS n_bytes FROM lineitem GROUP BY 1)"),
 }

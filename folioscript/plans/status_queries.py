@@ -11,7 +11,9 @@ from folioscript.operators import status as S
 from folioscript.operators import voices as V
 from folioscript.plans.cast_queries import _override_commands, OVERRIDES
 from folioscript.plans.text_queries import ANNOUNCE_SQL
+from folioscript.session import shared_dir
 from folioscript.sources import samples as SM
+from folioscript.sources import sinks as SK
 from folioscript.sources.model import Model, pick
 from folioscript.sources.sql_model import pick as spick
 from folioscript.sources.sql_model import WS, trim_ws, with_model
@@ -92,10 +94,11 @@ def chapters_to_enqueue(spark, d):
 
 
 def admission_snapshot(spark, d):
-    """Admission over a workload whose running jobs are few (one in 4 000 keeps its slot)."""
+    """Admission over the jobs as they are, where the pools have grown so that each has its usual cap free."""
     jobs = Model(spark, d).jobs
-    few = jobs.withColumn("status", F.when((F.col("status") == "running") & (F.col("id") % 4001 != 1), "completed").otherwise(F.col("status")))
-    return S.admission(few).select("type", "id", F.col("rank").cast("long"))
+    running = jobs.filter("status = 'running'").groupBy("type").agg(F.count("*").alias("running"))
+    caps = S.admission_caps(spark).join(running, "type", "left").select("type", (F.col("cap") + F.coalesce("running", F.lit(0))).alias("cap"))
+    return S.admission(jobs, caps).select("type", "id", F.col("rank").cast("long"))
 
 
 def recent_jobs(spark, d):
@@ -218,6 +221,43 @@ def snapshot_freshness(spark, d):
     return Model(spark, d).jobs.select("id", (age < V.SNAPSHOT_USABLE_SEC).alias("usable"), (age > V.SNAPSHOT_REFRESH_SEC).alias("needs_refresh"))
 
 
+STORED = "book_id long, chapter_id long, idx long, kind string, text string"
+NEW_SCRIPTS = 64
+
+
+def replaced_scripts(spark, d):
+    """All scripts stored, then those of one chapter in four replaced: every other one of these by its speech alone, the rest by nothing."""
+    m = Model(spark, d)
+    rows = m.segments.join(m.chapters.select(F.col("id").alias("chapter_id"), "book_id"), "chapter_id").select("book_id", "chapter_id", "idx", "kind", "text")
+    table = SK.StoredTable(spark, shared_dir(spark, "scripts"), STORED, ["chapter_id"], NEW_SCRIPTS)
+    keys = rows.select("book_id", "chapter_id").distinct()
+    SK.replace_scripts(table, keys, rows)
+    SK.replace_scripts(table, keys.filter("chapter_id % 4 = 1"), rows.filter("chapter_id % 8 = 1 AND kind <> 'sfx'"))
+    return table.read().groupBy("book_id", "chapter_id").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.max("text").alias("last_text"))
+
+
+def rescripted_chapters(spark, d):
+    """Chapters after their scripts were replaced."""
+    m = Model(spark, d)
+    hit = m.segments.filter("chapter_id % 4 = 1").select("chapter_id").distinct()
+    return SK.scripted(m.timed_chapters.select("id", "status", "audio_path", "duration_sec", "error"), hit)
+
+
+FETCHED = (AS_OF - 90_000, AS_OF - 7_200)
+
+
+def voice_snapshot(spark, d):
+    """The catalogue stored twice, the second time without its first voices, and read back: usable, with a refresh due."""
+    m = Model(spark, d)
+    voices = m.voices.select("id", "name", "accent")
+    table = SK.StoredTable(spark, shared_dir(spark, "catalogue"), "id string, name string, accent string, fetched_at_s long", ["id"], NEW_SCRIPTS)
+    SK.write_snapshot(table, voices, FETCHED[0])
+    stale = SK.read_snapshot(table, AS_OF).agg(F.count("*").alias("n")).select(F.lit("old").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("accent"),
+                                                                               F.col("n").alias("fetched_at_s"), F.lit(None).cast("boolean").alias("needs_refresh"))
+    SK.write_snapshot(table, m.voices.filter("ordinal > 10").select("id", "name", "accent"), FETCHED[1])
+    return SK.read_snapshot(table, AS_OF).unionByName(stale)
+
+
 def book_chapter_rollup(spark, d):
     """Left join of books to chapters with a per-status count."""
     m = Model(spark, d)
@@ -440,9 +480,8 @@ QUERIES = {
         FROM chapters c LEFT JOIN (SELECT chapter_id, arg_min(id, (created_s, id)) AS id FROM jobs WHERE {LIVE} AND chapter_id IS NOT NULL GROUP BY 1) j ON j.chapter_id = c.id""")),
     "chapters_to_enqueue": (chapters_to_enqueue, W(f"""SELECT book_id, id AS chapter_id, id NOT IN (SELECT chapter_id FROM segments) OR status = 'pending' AS script_first FROM chapters
         WHERE status <> 'ready' AND id NOT IN (SELECT chapter_id FROM jobs WHERE type = 'generate' AND {LIVE} AND chapter_id IS NOT NULL)""")),
-    "admission_snapshot": (admission_snapshot, W("""SELECT j.type, j.id, rank FROM (SELECT type, id, row_number() OVER (PARTITION BY type ORDER BY created_s, id) AS rank FROM jobs WHERE status = 'queued') j
-        JOIN (SELECT type, count(*) FILTER (WHERE status = 'running' AND id % 4001 = 1) AS r FROM jobs GROUP BY 1) k ON k.type = j.type
-        WHERE rank <= CASE j.type WHEN 'generate' THEN 2 WHEN 'script' THEN 3 ELSE 0 END - r""")),
+    "admission_snapshot": (admission_snapshot, W("""SELECT type, id, row_number() OVER (PARTITION BY type ORDER BY created_s, id) AS rank FROM jobs WHERE status = 'queued'
+        QUALIFY rank <= CASE type WHEN 'generate' THEN 2 WHEN 'script' THEN 3 ELSE 0 END""")),
     "recent_jobs": (recent_jobs, W("SELECT book_id, id, rank FROM recent")),
     "job_timing": (job_timing, W(f"""SELECT id, e AS elapsed_sec, round(CASE WHEN status = 'running' AND total > 0 THEN done / total * 100 END, 6) AS percent,
         round(CASE WHEN total > 0 AND done > 0 AND done < total AND e > 2 THEN e / done * (total - done) END, 3) AS eta_sec FROM (SELECT *, CAST(greatest(0, {AS_OF} - created_s) AS DOUBLE) AS e FROM jobs)""")),
@@ -483,6 +522,11 @@ QUERIES = {
     "valid_audio_paths": (valid_audio_paths, f"""SELECT page_id, regexp_matches(p, '^(segments/|chapters/|previews/|intro/)') AND p LIKE '%.mp3' AND NOT list_has_any(string_split(p, '/'), ['', '.', '..']) AS ok
         FROM (SELECT page_id, replace({spick(["segments/", "chapters", "other/", "intro/./", "previews/"], 'page_id')} || url || {spick([".mp3", "/", ".mp3"], 'page_id')}, '://', '/') AS p FROM pages)"""),
     "snapshot_freshness": (snapshot_freshness, W(f"SELECT id, {AS_OF} - updated_s < 86400 AS usable, {AS_OF} - updated_s > 3600 AS needs_refresh FROM jobs")),
+    "replaced_scripts": (replaced_scripts, W("""SELECT book_id, chapter_id, count(*) AS n, min(s.idx) AS first_idx, max(text) AS last_text FROM segments s JOIN chapters c ON c.id = s.chapter_id
+        WHERE chapter_id % 4 <> 1 OR (chapter_id % 8 = 1 AND kind <> 'sfx') GROUP BY 1, 2""")),
+    "rescripted_chapters": (rescripted_chapters, W("""SELECT id, CASE WHEN id % 4 = 1 THEN 'scripted' ELSE status END AS status, CASE WHEN id % 4 <> 1 THEN audio_path END AS audio_path,
+        CASE WHEN id % 4 <> 1 THEN duration_sec END AS duration_sec, CASE WHEN id % 4 <> 1 THEN error END AS error FROM timed_chapters""")),
+    "voice_snapshot": (voice_snapshot, W(f"SELECT id, name, accent, {FETCHED[1]} AS fetched_at_s, true AS needs_refresh FROM voices WHERE ordinal > 10 UNION ALL SELECT 'old', NULL, NULL, 0, NULL")),
     "book_chapter_rollup": (book_chapter_rollup, W("SELECT b.id AS book_id, b.title, c.status, CASE WHEN count(c.id) > 0 THEN count(c.id) END AS n FROM books b LEFT JOIN chapters c ON c.book_id = b.id GROUP BY 1, 2, 3")),
     "scripted_chapter_segments": (scripted_chapter_segments, W("SELECT book_id, kind, count(*) AS n FROM segments s JOIN chapters c ON c.id = s.chapter_id GROUP BY 1, 2")),
     "chapters_with_script": (chapters_with_script, W("SELECT id, status FROM chapters WHERE id IN (SELECT chapter_id FROM segments)")),

@@ -97,12 +97,10 @@ def chapter_duration(spark, d):
 
 
 def duration_mismatch(spark, d):
-    """Chapters whose stored total, the end of their last clip, is wrong: a quarter second is added to one in four."""
-    segments = Model(spark, d).segments
-    clip = F.coalesce("duration_sec", F.lit(0.0)) + F.coalesce("pause_before_sec", F.lit(0.0))
-    ends = O.running_sums(segments, ["chapter_id"], [F.col("idx")], {"_end": clip}, O.rank_block(F.col("idx")))
-    stored = ends.groupBy("chapter_id").agg((F.max("_end") + F.when(F.col("chapter_id") % 4 == 3, 0.25).otherwise(0.0)).alias("stored_sec"))
-    return QA.duration_mismatch(T.chapter_durations(segments), stored)
+    """Playable chapters whose stored length is not that of their clips and pauses."""
+    m = Model(spark, d)
+    stored = m.timed_chapters.filter("duration_sec IS NOT NULL").select(F.col("id").alias("chapter_id"), F.col("duration_sec").alias("stored_sec"))
+    return QA.duration_mismatch(T.chapter_durations(m.segments), stored, 1e-6)
 
 
 def phrase_split(spark, d):
@@ -152,7 +150,8 @@ QUERIES = {
     "chapter_duration": (chapter_duration, with_model(
         "SELECT chapter_id, round(sum(coalesce(duration_sec, 0.0) + coalesce(pause_before_sec, 0.0)), 4) AS duration_sec FROM segments GROUP BY 1")),
     "duration_mismatch": (duration_mismatch, with_model(
-        "SELECT DISTINCT chapter_id, -0.25::DOUBLE AS off_by_sec FROM segments WHERE chapter_id % 4 = 3")),
+        """SELECT s.chapter_id, round((sum(coalesce(s.duration_sec, 0.0) + coalesce(s.pause_before_sec, 0.0)) - max(c.duration_sec))::DOUBLE, 6) AS off_by_sec
+           FROM segments s JOIN timed_chapters c ON c.id = s.chapter_id WHERE c.status = 'stale' GROUP BY 1""")),
     "phrase_split": (phrase_split, with_model("SELECT chapter_id, idx, phrase_idx, phrase FROM pieces", PHRASE_CTES, recursive=True)),
     "phrase_timing": (phrase_timing, with_model(
         """SELECT w.chapter_id, w.idx, phrase_idx, weight,

@@ -120,6 +120,14 @@ class Model:
             ((F.col("idx") == 0) & (kind == "narration") & (pk % 2 == 0)).alias("is_title"),
         )
 
+    @cached_property
+    def timed_chapters(self) -> DataFrame:
+        """Chapters with the length stored when they were rendered; a stale one still has that of an earlier script."""
+        clip = F.coalesce("duration_sec", F.lit(0.0)) + F.coalesce("pause_before_sec", F.lit(0.0))
+        total = self.segments.groupBy(F.col("chapter_id").alias("id")).agg(F.sum(clip).alias("total"))
+        stored = F.when(F.col("status").isin("ready", "stale"), F.round(F.col("total") + F.when(F.col("status") == "stale", 0.25).otherwise(0.0), 6))
+        return self.chapters.join(total, "id").select(*self.chapters.columns, stored.alias("duration_sec"))
+
     # -- cast ------------------------------------------------------------
     @cached_property
     def characters(self) -> DataFrame:

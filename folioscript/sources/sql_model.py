@@ -76,6 +76,8 @@ CTES: dict[str, str] = {
                      max(l_discount) AS d, min(l_suppkey) AS sk, min(l_partkey) AS pk,
                      CASE min(l_returnflag) WHEN 'A' THEN 'dialogue' WHEN 'N' THEN 'narration' ELSE 'sfx' END AS kind
               FROM lineitem GROUP BY 1, 2)""",
+    "timed_chapters": """SELECT c.*, CASE WHEN status IN ('ready', 'stale') THEN round((total + CASE WHEN status = 'stale' THEN 0.25 ELSE 0 END)::DOUBLE, 6) END AS duration_sec FROM chapters c
+        JOIN (SELECT chapter_id, sum(coalesce(duration_sec, 0.0) + coalesce(pause_before_sec, 0.0)) AS total FROM segments GROUP BY 1) t ON t.chapter_id = c.id""",
     "characters": f"""SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS book_id,
         CASE WHEN c_custkey = nid THEN 'Narrator' ELSE 'Hero ' || (c_custkey % 37) END AS name,
         [' hero ' || (c_custkey * 7 % 53), 'Alias ' || (c_custkey % 11), '', 'ALIAS ' || (c_custkey % 11)] AS aliases,
