@@ -69,7 +69,7 @@ def name_lists(books: DataFrame, cast: DataFrame, page_rows: int = 1000) -> Data
     """Prompt list of a book's cast, in pages of at most ``page_rows`` entries."""
     people = cast.filter(~F.col("is_narrator"))
     order = [F.col("dialogue_share").desc(), F.col("name"), F.col("id")]
-    ranked = O.dense_index(people, ["book_id"], order, "pos", share_block(F.col("dialogue_share")))
+    ranked = O.dense_index(with_share_block(people), ["book_id"], order, "pos", F.col("_share"))
     entry = name_list_entry(F.col("name"), F.col("aliases"), F.col("variant_group"), F.col("variant_label"))
     pages = ranked.groupBy("book_id", F.floor(F.col("pos") / page_rows).cast("long").alias("page")).agg(
         F.array_sort(F.collect_list(F.struct("pos", entry.alias("e")))).alias("_l"))
@@ -80,9 +80,19 @@ def name_lists(books: DataFrame, cast: DataFrame, page_rows: int = 1000) -> Data
         F.coalesce("names", F.lit('(none listed — use "narrator")')).alias("names"))
 
 
-def share_block(share: Column, width: int = 64) -> Column:
-    """Blocks along descending dialogue share."""
-    return -F.floor(share / width).cast("long")
+SHARE_BLOCKS = 256
+
+
+def with_share_block(cast: DataFrame, name: str = "_share", rows: int = O.BLOCK_ROWS) -> DataFrame:
+    """``cast`` with a block number that never falls along descending dialogue share, in blocks of about equal size.
+
+    The bounds are quantiles of each book's own shares, whatever their scale; a book of up to ``rows`` characters is one block.
+    """
+    cuts = [k / SHARE_BLOCKS for k in range(1, SHARE_BLOCKS)]
+    per = cast.groupBy("book_id").agg(F.count("*").alias("_n"), F.percentile_approx("dialogue_share", cuts, 4 * SHARE_BLOCKS).alias("_cuts"))
+    bounds = per.select("book_id", F.when(F.col("_n") > rows, F.array_distinct("_cuts")).otherwise(F.slice("_cuts", 1, 0)).alias("_cuts"))
+    above = F.size(F.filter("_cuts", lambda c: c > F.col("dialogue_share")))
+    return cast.join(bounds, "book_id").withColumn(name, above.cast("long")).drop("_cuts")
 
 
 def merge_mentions(mentions: DataFrame, quotes_per_name: int = QUOTES_PER_CHARACTER) -> DataFrame:
@@ -292,6 +302,6 @@ def measured_share(segments: DataFrame, chapters: DataFrame) -> DataFrame:
 def cast_order(cast: DataFrame) -> DataFrame:
     """0-based casting position per book and its batch of eight."""
     order = [F.col("is_narrator").desc(), F.col("dialogue_share").desc(), F.col("name"), F.col("id")]
-    block = F.when(F.col("is_narrator"), F.lit(-(1 << 40))).otherwise(share_block(F.col("dialogue_share")))
-    df = O.dense_index(cast, ["book_id"], order, "position", block)
+    block = F.when(F.col("is_narrator"), F.lit(-1)).otherwise(F.col("_share"))
+    df = O.dense_index(with_share_block(cast), ["book_id"], order, "position", block).drop("_share")
     return df.withColumn("batch", F.floor(F.col("position") / 8).cast("long"))

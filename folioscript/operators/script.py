@@ -91,14 +91,32 @@ def valid_delivery_notes(script: DataFrame, notes: DataFrame) -> DataFrame:
     return good.groupBy("chapter_id", "line").agg(F.min_by("delivery", "ord").alias("delivery"))
 
 
+EVIDENCE_BLOCK = 256
+
+
+def evidenced(cues: DataFrame, texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """The cues whose (trimmed, not blank) evidence occurs in their text.
+
+    All evidence of a text is looked for inside one row, in blocks of at most about EVIDENCE_BLOCK different pieces, so
+    the text travels once per block and not once per cue; cues meet only the pieces that were found.
+    """
+    cues = cues.withColumn("_piece", trim_ws(F.col("evidence"))).filter("_piece <> ''")
+    pieces = cues.select(*keys, "_piece").distinct()
+    many = pieces.groupBy(*keys).agg(F.count("*").alias("_n"))
+    block = F.pmod(F.xxhash64("_piece"), F.ceil(F.col("_n") / EVIDENCE_BLOCK))
+    grouped = pieces.join(many, keys).groupBy(*keys, block.alias("_block")).agg(F.collect_list("_piece").alias("_pieces"))
+    hits = grouped.join(texts.select(*keys, F.col(text).alias("_text")), keys).select(
+        *keys, F.explode(F.filter("_pieces", lambda p: F.contains(F.col("_text"), p))).alias("_piece")).distinct()
+    return cues.join(hits, [*keys, "_piece"], "left_semi").drop("_piece")
+
+
 def valid_cues(script: DataFrame, chapters: DataFrame, books: DataFrame, cues: DataFrame) -> DataFrame:
     """At most two evidenced cues per chapter, first per line: (chapter_id, line, prompt, seconds)."""
     lines = script.select("chapter_id", F.col("idx").alias("after_line"))
     enabled = books.filter("sfx_enabled").select(F.col("id").alias("book_id"))
     texts = chapters.join(enabled, "book_id", "left_semi").select("chapter_id", "clean_text")
-    ready = cues.filter(~is_blank(F.col("evidence")) & ~is_blank(F.col("prompt"))).join(lines, ["chapter_id", "after_line"], "left_semi")
-    found = ready.join(texts, "chapter_id").filter(F.col("clean_text").contains(trim_ws(F.col("evidence"))))
-    found = found.select("chapter_id", "after_line", "ord", trim_ws(F.col("prompt")).alias("prompt"),
+    ready = cues.filter(~is_blank(F.col("prompt"))).join(lines, ["chapter_id", "after_line"], "left_semi")
+    found = evidenced(ready, texts, KEY, "clean_text").select("chapter_id", "after_line", "ord", trim_ws(F.col("prompt")).alias("prompt"),
                          round_half_up(clamp(F.col("seconds"), 1.0, 6.0), 1).alias("seconds"))
     once = O.first_by(found, ["chapter_id", "after_line"], [F.col("ord")])
     return O.top_by(once, KEY, [F.col("ord")], MAX_CUES).select("chapter_id", F.col("after_line").alias("line"), "prompt", "seconds")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscript.functions import domains as D
@@ -70,40 +70,72 @@ def text_matches(q: Column, *fields: str) -> Column:
     return F.lower(F.concat_ws("\u0001", *fields)).contains(F.lower(q))
 
 
-def search_catalog(requests: DataFrame, voices: DataFrame, shard_rows: int = 1000) -> DataFrame:
+GRAMS = 3
+
+
+def _grams(text: Column, n: Column | int) -> Column:
+    """The distinct runs of ``n`` characters of a text; none if it is shorter."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+    return F.filter(F.array_distinct(F.transform(starts, lambda i: text.substr(i, F.lit(n)))), lambda g: F.length(g) == n)
+
+
+def containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(needle, key) for every text of ``texts(key, hay)`` that contains a needle of ``needles(needle)``, none of them empty.
+
+    An inverted index of the texts' runs of one to three characters: a needle is looked up by the rarest of its own
+    runs, the texts posted there are verified. Only postings that some needle asks for are ever joined.
+    """
+    needles = needles.distinct()
+    sizes = F.array_distinct(F.array(*[F.least(F.length("needle"), F.lit(n)) for n in range(1, GRAMS + 1)]))
+    asked = needles.select("needle", F.explode(_grams(F.col("needle"), F.element_at(sizes, -1))).alias("gram"))
+    posted = texts.select("key", F.explode(F.flatten(F.array(*[_grams(F.col("hay"), n) for n in range(1, GRAMS + 1)]))).alias("gram"))
+    posted = posted.join(asked.select("gram").distinct(), "gram", "left_semi")
+    often = asked.select("gram").distinct().join(posted.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = asked.join(often, "gram").groupBy("needle").agg(F.min(F.struct("n", "gram")).alias("r")).filter("r.n > 0").select("needle", "r.gram")
+    found = rarest.join(posted, "gram").join(texts, "key")
+    return found.filter(F.col("hay").contains(F.col("needle"))).select("needle", "key")
+
+
+def search_catalog(requests: DataFrame, voices: DataFrame) -> DataFrame:
     """Shortlist per request (request_id, gender, accent, age, query, limit): (request_id, rank, id).
 
-    The catalog is laid out as short ordered arrays per gender class. A request
-    meets the arrays of the classes it accepts through an equi-join and filters
-    them inside its row, so no request-voice pairs are built and each array adds
-    at most 25 rows.
+    Requests that ask for the same are answered once. Texts and accents are found through :func:`containing`. What a
+    query finds (or the whole catalogue, without one) is cut to the first SEARCH_MAX voices of each posting, by gender
+    and age bucket and, for requests that name an accent, by accent; a request then reads the few postings it accepts,
+    never a voice that cannot be on its list.
     """
-    empty = lambda c: F.coalesce(c, F.lit("")) == ""
     blank = lambda c: F.coalesce(c, F.lit(""))
     hay = F.lower(F.concat_ws(" ", "name", *[blank(F.col(c)) for c in ("descriptive", "description", "use_case", "accent")]))
-    entry = F.struct("ordinal", "id", F.lower("gender").alias("gender"), F.lower(blank(F.col("accent"))).alias("accent"),
-                     D.age_bucket_of_voice(F.col("age")).alias("bucket"), hay.alias("hay"))
-    shards = with_voice_class(voices).groupBy("v_gender", F.floor(F.col("ordinal") / shard_rows).alias("_shard")).agg(
-        F.array_sort(F.collect_list(entry)).alias("_voices"))
+    catalogue = cut_lineage(voices.select(
+        F.xxhash64("id").alias("key"), "ordinal", "id", hay.alias("hay"), F.lower(blank(F.col("gender"))).alias("v_gender"),
+        F.lower(blank(F.col("accent"))).alias("v_accent"), blank(D.age_bucket_of_voice(F.col("age"))).alias("v_age")), "catalogue")
     r = requests.select(
-        "request_id", F.lower("gender").alias("r_gender"), lower_key(F.col("accent")).alias("r_accent"),
-        F.lower("age").alias("r_age"), lower_key(F.col("query")).alias("r_query"),
+        "request_id", F.lower(blank(F.col("gender"))).alias("r_gender"), blank(lower_key(F.col("accent"))).alias("r_accent"),
+        F.lower(blank(F.col("age"))).alias("r_age"), blank(lower_key(F.col("query"))).alias("r_query"),
         F.least(F.coalesce("limit", F.lit(SEARCH_LIMIT)), F.lit(SEARCH_MAX)).alias("r_limit"))
-    anyone = empty(F.col("r_gender")) | (F.col("r_gender") == "neutral")
-    accepted = F.when(anyone, F.array(*[F.lit(g) for g in ("", "male", "female", "odd")])).otherwise(
-        F.array_distinct(F.array(F.lit(""), F.col("r_gender"), F.lit("odd"))))
-
-    def fits(v):
-        return (
-            (anyone | empty(v["gender"]) | (v["gender"] == F.col("r_gender")))
-            & (empty(F.col("r_accent")) | v["accent"].contains(F.col("r_accent")))
-            & (empty(F.col("r_age")) | v["bucket"].isNull() | (v["bucket"] == F.col("r_age")))
-            & (empty(F.col("r_query")) | v["hay"].contains(F.col("r_query"))))
-
-    met = r.withColumn("v_gender", F.explode_outer(accepted)).join(shards, "v_gender")
-    head = F.slice(F.filter("_voices", fits), 1, SEARCH_MAX)
-    hits = met.select("request_id", "r_limit", F.inline_outer(F.transform(head, lambda v: F.struct(v["ordinal"].alias("ordinal"), v["id"].alias("id"))))).filter("id IS NOT NULL")
-    return O.top_by(hits, ["request_id"], [F.col("ordinal"), F.col("id")], SEARCH_MAX).filter("rank <= r_limit").select("request_id", "rank", "id")
+    asked = ["r_gender", "r_accent", "r_age", "r_query"]
+    r = cut_lineage(r.withColumn("r_gender", F.when(F.col("r_gender") == "neutral", "").otherwise(F.col("r_gender"))), "requests")
+    wanted = r.select(*asked).distinct()
+
+    profile = catalogue.drop("hay")
+    hits = containing(wanted.filter("r_query <> ''").select(F.col("r_query").alias("needle")), catalogue.select("key", "hay"))
+    matched = hits.withColumnRenamed("needle", "r_query").join(profile, "key").unionByName(profile.withColumn("r_query", F.lit("")))
+    postings = matched.select("r_query", "ordinal", "id", "v_gender", "v_age", F.explode(F.array(F.lit(None).cast("string"), F.col("v_accent"))).alias("v_accent"))
+    place = Window.partitionBy("r_query", "v_gender", "v_age", "v_accent").orderBy("ordinal", "id")
+    heads = cut_lineage(postings.withColumn("nth", F.row_number().over(place)).filter(F.col("nth") <= SEARCH_MAX).drop("nth"), "postings")
+
+    accents = catalogue.select(F.xxhash64("v_accent").alias("key"), F.col("v_accent").alias("hay")).distinct()
+    spoken = containing(wanted.filter("r_accent <> ''").select(F.col("r_accent").alias("needle")), accents).join(accents, "key").select(
+        F.col("needle").alias("r_accent"), F.col("hay").alias("v_accent"))
+    lists = heads.select("r_query", "v_gender", "v_age", "v_accent").distinct()
+    # Which postings a request accepts: by query and accent through equal keys, by gender and age among the few that are left.
+    named = wanted.filter("r_accent <> ''").join(spoken, "r_accent").join(lists, ["r_query", "v_accent"])
+    any_accent = wanted.filter("r_accent = ''").join(lists.filter("v_accent IS NULL"), "r_query")
+    fits = "(r_gender = '' OR v_gender = '' OR v_gender = r_gender) AND (r_age = '' OR v_age = '' OR v_age = r_age)"
+    accepted = named.select(*asked, "v_gender", "v_age", "v_accent").unionByName(any_accent.select(*asked, "v_gender", "v_age", "v_accent")).filter(fits)
+    both = accepted.withColumn("v_accent", F.coalesce("v_accent", F.lit("*"))).join(heads.withColumn("v_accent", F.coalesce("v_accent", F.lit("*"))), ["r_query", "v_gender", "v_age", "v_accent"])
+    best = O.top_by(both.select(*asked, "ordinal", "id"), asked, [F.col("ordinal"), F.col("id")], SEARCH_MAX)
+    return r.join(best, asked).filter("rank <= r_limit").select("request_id", "rank", "id")
 
 
 # ---- compatibility classes ---------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioscript.operators import edits as E
 from folioscript.operators import ordered as O
 from folioscript.operators import quality as Q
+from folioscript.operators import script as SC
 from folioscript.operators import status as S
 from folioscript.operators import voices as V
 from folioscript.plans.cast_queries import _override_commands, OVERRIDES
@@ -280,8 +281,7 @@ def evidenced_cues(spark, d):
     """Cues whose evidence occurs in their document."""
     m = Model(spark, d)
     cues = m.table("labels").select("doc_id", F.when(F.col("quality") == 1, "en ").otherwise("zq").alias("evidence"))
-    hit = F.col("text").contains(F.trim("evidence")) & (F.trim("evidence") != "")
-    return cues.join(m.table("documents").select("doc_id", "text"), "doc_id").filter(hit).select("doc_id", "evidence")
+    return SC.evidenced(cues, m.table("documents"), ["doc_id"], "text").select("doc_id", "evidence")
 
 
 def speaker_check(spark, d):

@@ -71,3 +71,45 @@ def test_names_beat_aliases_and_share_breaks_ties(spark):
                                  "id long, book_id long, name string, aliases array<string>, dialogue_share long, is_narrator boolean")
     got = {r["key"]: r["character_id"] for r in C.name_dictionary(cast).collect()}
     assert got == {"hugo (child)": 1, "hugo (adult)": 2, "hugo": 2, "ann": 3, "bea": 4}
+
+
+def test_share_blocks_are_even_on_shares_of_zero_to_one(spark):
+    rng = random.Random(3)
+    rows = [(i, 1, rng.random() ** 4, i == 0) for i in range(4000)] + [(9000 + i, 2, 0.5, False) for i in range(10)]
+    cast = spark.createDataFrame(rows, "id long, book_id long, dialogue_share double, is_narrator boolean").withColumn("name", F.concat(F.lit("n"), F.col("id")))
+    blocks = C.with_share_block(cast, rows=100)
+    sizes = [r["count"] for r in blocks.filter("book_id = 1").groupBy("_share").count().collect()]
+    assert len(sizes) > 200 and max(sizes) < 60
+    falling = [r._share for r in blocks.filter("book_id = 1").orderBy(F.col("dialogue_share").desc()).collect()]
+    assert falling == sorted(falling) and {r._share for r in blocks.filter("book_id = 2").collect()} == {0}
+    order = {r.id: r.position for r in C.cast_order(cast).filter("book_id = 1").collect()}
+    want = sorted((r for r in rows if r[1] == 1), key=lambda r: (not r[3], -r[2], f"n{r[0]}", r[0]))
+    assert [order[r[0]] for r in want] == list(range(4000))
+
+
+def test_needles_are_found_through_the_index(spark):
+    rng = random.Random(4)
+    texts = [(i, "".join(rng.choice("abc ") for _ in range(rng.randrange(9)))) for i in range(300)] + [(300, None), (301, "ünïcode")]
+    needles = ["a", "ab", "abc", "abca", "c a", "zz", "b", "ïc", "ünïcode!", "abcabcabc", " "]
+    got = {tuple(r) for r in V.containing(spark.createDataFrame([(n,) for n in needles * 2], "needle string"), spark.createDataFrame(texts, "key long, hay string")).collect()}
+    assert got == {(n, k) for n in needles for k, t in texts if t is not None and n in t}
+
+
+def test_shortlists_equal_a_scan(spark):
+    rng = random.Random(5)
+    voices = [(f"v{i}", i // 2, rng.choice(["Ann Lee", "Bob", "Cy"]), rng.choice(["male", "Female", None, "robot"]), rng.choice(["young", "middle aged", "old", None]), rng.choice(["Irish", "british", None, "US southern"]),
+               rng.choice(["calm", None]), "A voice", rng.choice(["news", "narration"])) for i in range(400)]
+    vdf = spark.createDataFrame(voices, "id string, ordinal long, name string, gender string, age string, accent string, descriptive string, description string, use_case string")
+    reqs = [(i, rng.choice(["male", "FEMALE", "neutral", None, "", "robot", "alien"]), rng.choice([None, "ir", "Brit", "", "us", "nowhere"]), rng.choice([None, "young", "OLD", ""]),
+             rng.choice([None, "calm", "", "ann", "n", "xyz", "a voice na"]), rng.choice([None, 3, 99])) for i in range(150)]
+    rdf = spark.createDataFrame(reqs, "request_id long, gender string, accent string, age string, query string, limit int")
+    got = {}
+    for r in V.search_catalog(rdf, vdf).orderBy("request_id", "rank").collect():
+        got.setdefault(r.request_id, []).append(r.id)
+    bucket = lambda a: next((x for x in ("young", "old", "middle") if x in (a or "")), "")
+    for i, g, a, age, q, lim in reqs:
+        g, a, age, q = (x.strip().lower() if x else "" for x in (g, a, age, q))
+        hits = [v for v in sorted(voices, key=lambda v: (v[1], v[0]))
+                if (g in ("", "neutral") or not v[3] or v[3].lower() == g) and a in (v[5] or "").lower() and (not age or bucket(v[4]) in ("", age))
+                and q in " ".join([v[2], v[6] or "", v[7] or "", v[8] or "", v[5] or ""]).lower()]
+        assert got.get(i, []) == [v[0] for v in hits][: min(lim or 14, 25)], (i, g, a, age, q)
