@@ -8,6 +8,7 @@ their list and their buffer at every step instead.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -67,17 +68,41 @@ def segments_of(spans: list[dict], answers: list[dict], pov: int | None) -> list
     return out
 
 
+class Finder:
+    """``text.find`` for many needles, most of which may be missing: after some misses a needle is looked up by its first characters."""
+
+    MISSES, HEAD = 8, 12
+
+    def __init__(self, text: str):
+        self.text, self.missed, self.places = text, 0, None
+
+    def find(self, needle: str, start: int) -> int:
+        if self.missed < self.MISSES or len(needle) < self.HEAD:
+            at = self.text.find(needle, start)
+            self.missed += at < 0
+            return at
+        if self.places is None:
+            self.places = {}
+            for i in range(len(self.text) - self.HEAD + 1):
+                self.places.setdefault(self.text[i : i + self.HEAD], []).append(i)
+        here = self.places.get(needle[: self.HEAD], ())
+        for at in here[bisect_left(here, start) :]:
+            if self.text.startswith(needle, at):
+                return at
+        return -1
+
+
 def boundaries_of(text: str, announcement: str | None, segments: list[dict]) -> list[dict]:
     """Kind, text and boundary flags per segment, found by walking the text forward.
 
     A segment that is not found degrades to a paragraph break for narration and a
-    space otherwise; a search looks no further than the text, once per segment.
+    space otherwise, and does not move the walk on.
     """
-    out, cursor, matched = [], 0, False
+    out, cursor, matched, finder = [], 0, False, Finder(text)
     for seg in segments:
         title = seg["kind"] == "narration" and seg["text"] == announcement
         outside = title or seg["kind"] == "sfx"
-        at = -1 if outside else text.find(seg["text"], cursor)
+        at = -1 if outside else finder.find(seg["text"], cursor)
         if outside:
             opens, space = True, False
         elif at < 0:

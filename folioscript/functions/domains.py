@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscript.functions.js import WS, clamp, is_blank, round_half_up, rtrim_ws, trim_ws
+from folioscript.functions.js import WS, clamp, round_half_up, rtrim_ws, trim_ws
 
 # Limits and rates.
 SAMPLE_RATE = 44_100
@@ -76,13 +76,6 @@ CLAUSE_END = rf"[,;:]{CLOSERS}\z"
 PAUSE_SFX, PAUSE_PARAGRAPH, PAUSE_TURN, PAUSE_SENTENCE, PAUSE_CLAUSE, PAUSE_TIGHT = 0.6, 0.7, 0.45, 0.35, 0.18, 0.08
 
 
-def delivery_table(spark: SparkSession) -> DataFrame:
-    """The fixed 12-row delivery table (its size is a constant, so it may be broadcast)."""
-    return spark.createDataFrame(
-        DELIVERIES, "delivery string, tag string, d_stability double, d_style double, d_speed double"
-    )
-
-
 def age_bucket_of_text(c: Column) -> Column:
     t = F.lower(c)
     return (F.when(t.rlike(AGE_OLD), "old").when(t.rlike(AGE_MIDDLE), "middle").when(t.rlike(AGE_YOUNG), "young"))
@@ -179,7 +172,3 @@ def model_limit(model: Column) -> Column:
     for name, limit in MODEL_LIMITS.items():
         out = F.when(model == name, limit) if out is None else out.when(model == name, limit)
     return out.otherwise(DEFAULT_MODEL_LIMIT)
-
-
-def not_blank(c: Column) -> Column:
-    return c.isNotNull() & ~is_blank(c)

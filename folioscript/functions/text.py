@@ -110,7 +110,3 @@ def opening_excerpt(text: Column, head: int = 3000, tail: int = 1000) -> tuple[C
 def safe_file_name(title: Column, fallback: Column) -> Column:
     name = F.substring(trim_ws(F.regexp_replace(title, rf"[^\w{WS}-]", "")), 1, 80)
     return F.when(name == "", fallback).otherwise(name)
-
-
-def rstrip(c: Column) -> Column:
-    return rtrim_ws(c)

@@ -12,8 +12,6 @@ from an integer position.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +23,6 @@ def rank_block(position: Column, rows: int = BLOCK_ROWS) -> Column:
     return F.floor(position / F.lit(rows)).cast("long")
 
 
-def time_block(ts: Column, seconds: int = 3600) -> Column:
-    """Blocks of event time, for update logs that have no dense position."""
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
-
-
 def with_blocks(df: DataFrame, block: Column) -> DataFrame:
     """Fix the blocks once for several steps over the same order.
 
@@ -135,13 +128,6 @@ def nearest(
     return out.withColumn(name, F.col("_hit.v")).drop(*added, "_v", "_own", "_c", "_hit")
 
 
-def islands(
-    df: DataFrame, keys: list[str], order: list[Column], starts: Column, name: str, block: Column | None = None
-) -> DataFrame:
-    """Number runs of rows; a row where ``starts`` holds opens a new run."""
-    return running_count(df, keys, order, name, block, when=starts)
-
-
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One whole row per key, the first along ``order``; combined before the shuffle."""
     row = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row")
@@ -154,10 +140,6 @@ def top_by(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: st
     return ranked.filter(F.col(rank) <= k)
 
 
-def null_safe(cols_left: list[Column], cols_right: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, [l.eqNullSafe(r) for l, r in zip(cols_left, cols_right)])
-
-
 def preceding_rows(
     df: DataFrame, keys: list[str], position: str, n: int, cols: list[str], name: str,
     rows_per_block: int = BLOCK_ROWS,

@@ -56,12 +56,6 @@ def test_dense_index_and_preceding_rows(rows):
     same(got.select("k", "i", "last"), want)
 
 
-def test_islands(rows):
-    got = O.islands(rows, ["k"], ORDER, F.col("hit"), "g", BLOCK)
-    want = rows.select("k", "i", F.sum(F.col("hit").cast("long")).over(W).alias("g"))
-    same(got.select("k", "i", "g"), want)
-
-
 def test_as_of_matches_brute_force(spark, rows):
     facts = rows.select("k", (F.col("i") * 10.0).alias("t"), "i")
     probes = spark.createDataFrame([(k, p, float(p * 37 % 1700)) for p, k in enumerate(["hot", "k1", "none"] * 20)], "k string, p long, at double")

@@ -126,3 +126,19 @@ def test_long_chapters_take_time_in_proportion(spark):
     _chapter_times(spark, 500)
     small, large = min(_chapter_times(spark, 2_000) for _ in range(3)), min(_chapter_times(spark, 16_000) for _ in range(2))
     assert large < 20 * small  # eight times the chapter; a quadratic pass takes 64 times
+
+
+def test_finder_equals_find():
+    import random
+
+    from folioscript.functions.assemble import Finder
+
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcd ") for _ in range(4000))
+    f = Finder(text)
+    for _ in range(3000):
+        start = rng.randrange(len(text))
+        at = rng.randrange(len(text))
+        needle = text[at : at + rng.randrange(30)] + rng.choice(["", "", "x"])
+        assert f.find(needle, start) == text.find(needle, start)
+    assert f.places is not None
