@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 
 import numpy as np
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +21,15 @@ def travels(name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
+def ship(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast an object with its class, so that a worker without this package can rebuild it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def unship(shared: Broadcast) -> object:
+    return cloudpickle.loads(shared.value)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """The library's settings, and Arrow batches that fit a worker even where texts are long."""
     tune(spark)

@@ -24,7 +24,6 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +31,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscript.llm.common import mix, table, travels
+from folioscript.llm.common import mix, ship, table, travels, unship
 
 travels(__name__)
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE, SEED = 0.1, 20_240_101
-MEMO = 300_000  # segmentations remembered per generation
+MEMO = 400_000  # segmentations remembered before a fresh start
+PIECE = 1 << 20  # characters of text encoded at once; a longer text stays whole
 MARK = "▁"
-SHORT = 32  # symbols
-MASK, NONE, SPREAD = (1 << 64) - 1, 1 << 60, 0xD6E8FEB86659FD93
+SHORT = 32  # symbols; a chunk then has fewer than 64 candidates, a bit each
+MASK, NONE, FAR, SPREAD = (1 << 64) - 1, 1 << 60, (1 << 31) - 1, 0xD6E8FEB86659FD93
 
 
 class Vocabulary:
@@ -159,106 +159,327 @@ def trace(symbols: str, ranks: dict[str, int], skips: tuple[int, ...] = ()) -> t
     return parts, places
 
 
+class Flat:
+    """A one-dimensional array that grows."""
+
+    def __init__(self, kind):
+        self.room, self.n = np.empty(1024, kind), 0
+
+    def add(self, values) -> int:
+        """Append ``values``; the place of the first."""
+        at, self.n = self.n, self.n + len(values)
+        if self.n > len(self.room):
+            self.room = np.concatenate([self.room[:at], np.empty(max(self.n, len(self.room)), self.room.dtype)])
+        self.room[at : self.n] = values
+        return at
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
+def spans(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indexes at, at + 1, .. of every span, one span after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(at - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def bit_length(x: np.ndarray) -> np.ndarray:
+    """Of 64-bit values; without runs of ones nothing is rounded up on the way."""
+    return np.frexp((x & ~(x >> np.uint64(1))).astype(np.float64))[1].astype(np.int64)
+
+
+class Merges:
+    """Which pairs of pieces make a piece: (left id, right id) -> (rank, id), in an open table for whole arrays of pairs."""
+
+    BITS = 20
+
+    def __init__(self, vocabulary: Vocabulary):
+        ids, ranks = vocabulary.ids, vocabulary.ranks
+        self.char = np.full(0x110000, -1, np.int32)
+        for p, i in ids.items():
+            if len(p) == 1:
+                self.char[ord(p)] = i
+        self.char[ord(" ")] = self.char[ord(MARK)]
+        found = [(ids[p[:k]], ids[p[k:]], ranks[p], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
+        left, right, rank, made = (np.array(c, np.int64) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 4
+        self.keys, self.rank, self.made = np.full(1 << self.BITS, -1, np.int64), np.full(1 << self.BITS, FAR, np.int32), np.zeros(1 << self.BITS, np.int32)
+        open_, step = np.arange(len(left)), 0
+        key = left << 32 | right
+        while len(open_):
+            slot = self.slot(key[open_], step)
+            free = self.keys[slot] == -1
+            self.keys[slot[free]] = key[open_[free]]  # of several for one slot the last stays
+            won = free & (self.keys[slot] == key[open_])
+            self.rank[slot[won]], self.made[slot[won]] = rank[open_[won]], made[open_[won]]
+            open_, step = open_[~won], step + 1
+        self.steps = step
+
+    def slot(self, key: np.ndarray, step: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.astype(np.uint64) * np.uint64(SPREAD) >> np.uint64(64 - self.BITS)).astype(np.int64) + step) & ((1 << self.BITS) - 1)
+
+    def look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, id) of each pair, rank FAR where it makes no piece."""
+        key = left.astype(np.int64) << 32 | right
+        slot = self.slot(key, 0)
+        rank, made = np.full(len(key), FAR, np.int32), self.made[slot]
+        have = self.keys[slot]
+        same = have == key
+        rank[same] = self.rank[slot[same]]
+        open_ = np.flatnonzero(~same & (have != -1))
+        for step in range(1, self.steps):
+            if not len(open_):
+                break
+            slot = self.slot(key[open_], step)
+            have = self.keys[slot]
+            same = have == key[open_]
+            rank[open_[same]], made[open_[same]] = self.rank[slot[same]], self.made[slot[same]]
+            open_ = open_[~same & (have != -1)]
+        return rank, made
+
+
+def trace_all(merges: Merges, symbols: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`trace` of many chunks at once: (alive, ids, places, number of places) by row.
+
+    ``symbols`` has a chunk's characters as ids in each row, -1 behind its end; bit k of ``skips`` skips candidate number k.
+    """
+    n, width = symbols.shape
+    ids = symbols.copy()
+    size = np.ones((n, width), np.int64)
+    after = np.broadcast_to(np.arange(1, width + 1), (n, width)).copy()
+    before = np.broadcast_to(np.arange(-1, width - 1), (n, width)).copy()
+    last = (symbols >= 0).sum(axis=1)
+    rank, made = np.full((n, width), FAR, np.int32), np.zeros((n, width), np.int32)
+    r, c = np.nonzero(symbols[:, 1:] >= 0)
+    rank[r, c], made[r, c] = merges.look(ids[r, c], ids[r, c + 1])
+    places, count = np.zeros((n, 2 * width), np.uint64), np.zeros(n, np.int64)
+    live = np.arange(n)
+    while len(live):
+        k = rank[live].argmin(axis=1)
+        go = rank[live, k] < FAR
+        live, k = live[go], k[go]
+        if not len(live):
+            break
+        j = after[live, k]
+        places[live, count[live]] = (k << 20) + size[live, k] + size[live, j]
+        gone = (skips[live] >> count[live].astype(np.uint64)) & np.uint64(1) == 1
+        count[live] += 1
+        rank[live[gone], k[gone]] = FAR
+        row, k, j = live[~gone], k[~gone], j[~gone]
+        ids[row, k] = made[row, k]
+        size[row, k] += size[row, j]
+        ids[row, j] = -1
+        rank[row, j] = FAR
+        right = after[row, j]
+        after[row, k] = right
+        some = right < last[row]
+        rank[row, k] = FAR
+        x, y, z = row[some], k[some], right[some]
+        before[x, z] = y
+        rank[x, y], made[x, y] = merges.look(ids[x, y], ids[x, z])
+        left = before[row, k]
+        some = left >= 0
+        x, y, z = row[some], left[some], k[some]
+        rank[x, y], made[x, y] = merges.look(ids[x, y], ids[x, z])
+    return ids >= 0, ids, places, count
+
+
 class Memo(dict):
-    """Short chunk -> (packed ids, packed places, branches): its segmentation without dropout, and those met so far with some.
+    """Short chunk -> node. A node is a chunk under given skips: its ids, and the candidates that leave the agenda after the last skip.
 
-    ``branches`` leads from the number of the next skipped place to (packed ids, places after it, branches). What is
-    remembered depends on the chunk and the skips alone, never on a record; the chunks of the last two generations stay.
+    Skipping one of these leads to another node. All nodes lie in flat arrays, so that the draws of a whole batch of
+    occurrences are made at once, a step for each further skip, and the nodes that were never met are worked out
+    together. What is remembered depends on the chunk and the skips alone, never on a record.
     """
 
+    LONG = 0  # stands for chunks that are segmented where they occur
+    ROWS = 4096
+
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.v, self.old, self.size = vocabulary, {}, 0
-        self.mark = (self.pack([], MARK.encode()), b"", {})
-
-    def pack(self, pieces: list[str], spelled: bytes = b"") -> bytes:
+        self.v, self.merges = vocabulary, Merges(vocabulary)
+        self.start()
+
+    def start(self) -> None:
+        self.clear()
+        self.places, self.next, self.ids, self.symbols = Flat(np.uint64), Flat(np.int64), Flat(self.v.kind), Flat(np.int32)
+        self.at, self.size, self.id_at, self.id_size, self.sym_at, self.sym_size = (Flat(np.int64) for _ in range(6))
+        self.skips, self.odd = Flat(np.uint64), {}
+        none, no_skip = np.empty(0, np.int64), np.zeros(1, np.uint64)
+        for spelled in ("", MARK):
+            ids = self.pack([], spelled.encode())
+            self.put(none, np.zeros(1, np.int64), ids, np.array([len(ids)]), np.zeros(1, np.int64), np.zeros(1, np.int64), no_skip)
+        self[MARK] = 1
+
+    def put(self, places, sizes, ids, id_sizes, sym_at, sym_size, skips) -> int:
+        """Append nodes; the number of the first. ``places`` and ``ids`` are theirs end to end."""
+        first = self.at.n
+        self.at.add(self.places.add(places) + np.cumsum(sizes) - sizes)
+        self.size.add(sizes)
+        self.next.add(np.full(len(places), -1))
+        self.id_at.add(self.ids.add(ids) + np.cumsum(id_sizes) - id_sizes)
+        self.id_size.add(id_sizes)
+        self.sym_at.add(sym_at)
+        self.sym_size.add(sym_size)
+        self.skips.add(skips)
+        return first
+
+    def pack(self, pieces: list[str], spelled: bytes = b"") -> np.ndarray:
         v = self.v
         ids = list(map(v.ids.get, pieces))
         if None in ids:
             ids = [x for p, i in zip(pieces, ids, strict=True) for x in ([v.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")] if i is None else [i])]
-        return array(v.code, ids + [v.byte_ids[b] for b in spelled]).tobytes()
-
-    def __missing__(self, chunk: str) -> tuple:
-        if chunk == MARK:
-            return self.mark
-        if len(chunk) > SHORT:  # segmented where it occurs
-            return b"", b"", {}
-        state = self.old.get(chunk)
-        if state is None:
-            pieces, places = trace(chunk.replace(" ", MARK), self.v.ranks)
-            state = self.pack(pieces), array("Q", places).tobytes(), {}
-        else:
-            state = *state[:2], {}
-        self.grown()
-        self[chunk] = state
-        return state
-
-    def grown(self) -> None:
-        self.size += 1
-        if self.size > MEMO:
-            self.old, self.size = dict(self), 1
-            self.clear()
-
-    def branch(self, chunk: str, branches: dict, nth: int, key: int, bound: int) -> bytes:
-        """Packed ids of one occurrence whose first skip is number ``nth``; ``branches`` are those of the chunk."""
-        skips, base = (nth,), nth + 1
-        while True:
-            state = branches.get(nth)
-            if state is None:
-                pieces, places = trace(chunk.replace(" ", MARK), self.v.ranks, skips)
-                state = branches[nth] = self.pack(pieces), tuple(places[base:]), {}
-                self.grown()
-            packed, places, branches = state
-            for nth, place in enumerate(places):  # noqa: B007  read after the loop
-                if ((key ^ place) * SPREAD & MASK) >> 32 < bound:
-                    break
-            else:
-                return packed
-            skips, base = (*skips, base + nth), base + nth + 1
+        return np.array(ids + [v.byte_ids[b] for b in spelled], v.kind)
+
+    def add_nodes(self, sym_at: np.ndarray, sym_size: np.ndarray, skips: np.ndarray) -> np.ndarray:
+        """Nodes for chunks given by their symbols, under the given skips."""
+        out = np.empty(len(sym_at), np.int64)
+        order = np.argsort(sym_size, kind="stable")
+        for lo in range(0, len(order), self.ROWS):
+            rows = order[lo : lo + self.ROWS]
+            size = sym_size[rows]
+            symbols = np.full((len(rows), max(1, int(size[-1]))), -1, np.int32)
+            symbols[np.repeat(np.arange(len(rows)), size), spans(np.zeros(len(rows), np.int64), size)] = self.symbols.all[spans(sym_at[rows], size)]
+            alive, ids, places, count = trace_all(self.merges, symbols, skips[rows])
+            skipped = bit_length(skips[rows])  # candidates up to the last skip
+            column = np.arange(places.shape[1])
+            own = (column >= skipped[:, None]) & (column < count[:, None])
+            first = self.put(places[own], own.sum(axis=1), ids[alive], alive.sum(axis=1), sym_at[rows], size, skips[rows])
+            out[rows] = first + np.arange(len(rows))
+        return out
+
+    def add_odd(self, chunk: str, skips: tuple[int, ...] = ()) -> int:
+        """The node of a chunk with characters that are no pieces."""
+        pieces, places = trace(chunk.replace(" ", MARK), self.v.ranks, skips)
+        places, ids = np.array(places[skips[-1] + 1 if skips else 0 :], np.uint64), self.pack(pieces)
+        node = self.put(places, np.array([len(places)]), ids, np.array([len(ids)]), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.uint64))
+        self.odd[node] = chunk, skips
+        return node
+
+    def nodes(self, chunks: list[str]) -> np.ndarray:
+        """The node of each chunk without skips."""
+        new = [c for c in dict.fromkeys(chunks) if c not in self]
+        short = [c for c in new if len(c) <= SHORT]
+        self.update(dict.fromkeys((c for c in new if len(c) > SHORT), self.LONG))
+        if short:
+            codes = np.frombuffer("".join(short).encode("utf-32-le", "surrogatepass"), np.uint32)
+            size = np.fromiter(map(len, short), np.int64, len(short))
+            symbols = self.merges.char[codes]
+            at = self.symbols.add(symbols) + np.cumsum(size) - size
+            known = np.minimum.reduceat(symbols, np.cumsum(size) - size) >= 0
+            made = np.empty(len(short), np.int64)
+            made[known] = self.add_nodes(at[known], size[known], np.zeros(int(known.sum()), np.uint64))
+            for i in np.flatnonzero(~known).tolist():
+                made[i] = self.add_odd(short[i])
+            self.update(zip(short, made.tolist(), strict=True))
+        return np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+
+    def grow(self, slots: np.ndarray) -> None:
+        """Work out the nodes that skipping the candidates at ``slots`` leads to."""
+        node = np.searchsorted(self.at.all, slots, side="right") - 1  # the last of those that start there; only it can have candidates
+        nth = slots - self.at.all[node]
+        plain = np.ones(len(slots), bool)
+        if self.odd:
+            for i, (k, n) in enumerate(zip(node.tolist(), nth.tolist(), strict=True)):
+                if k in self.odd:
+                    chunk, skips = self.odd[k]
+                    self.next.room[slots[i]] = self.add_odd(chunk, (*skips, n + (skips[-1] + 1 if skips else 0)))
+                    plain[i] = False
+        node, nth = node[plain], nth[plain]
+        before = self.skips.all[node]
+        nth = nth + bit_length(before)
+        self.next.room[slots[plain]] = self.add_nodes(self.sym_at.all[node], self.sym_size.all[node], before | np.uint64(1) << nth.astype(np.uint64))
+
+    def drawn(self, nodes: np.ndarray, keys: np.ndarray, bound: int) -> np.ndarray:
+        """The nodes in which occurrences with the given hashes end."""
+        out, who = nodes.copy(), np.arange(len(nodes))
+        while len(who):
+            size = self.size.all[nodes]
+            at = spans(self.at.all[nodes], size)
+            with np.errstate(over="ignore"):
+                skip = ((np.repeat(keys, size) ^ self.places.all[at]) * np.uint64(SPREAD)) >> np.uint64(32) < bound
+            hit = np.flatnonzero(skip)
+            owner = np.searchsorted(np.cumsum(size), hit, side="right")
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(hit) else hit
+            place, owner = at[hit[first]], owner[first]
+            new = np.unique(place[self.next.all[place] < 0])
+            if len(new):
+                self.grow(new)
+            who, keys, nodes = who[owner], keys[owner], self.next.all[place]
+            out[who] = nodes
+        return out
 
 
 class Encoder:
-    """Text -> ids in one dropout stream, which is a record's; each occurrence of a chunk draws its own skips."""
+    """Texts -> ids. A text is drawn for in the stream of its record; each occurrence of a chunk draws its own skips."""
 
     def __init__(self, vocabulary: Vocabulary, rate: float, seed: int, stream: int, memo: Memo | None = None):
-        self.v, self.rate, self.memo = vocabulary, rate, Memo(vocabulary) if memo is None else memo
-        self.seed = xxhash.xxh64_intdigest(f"{seed}|{stream}")
+        self.v, self.rate, self.memo, self.seed, self.stream = vocabulary, rate, Memo(vocabulary) if memo is None else memo, seed, stream
 
-    def occurrences(self, text: str) -> tuple[list[str], np.ndarray]:
-        """The chunks of a text, literal marks included, and each one's hash of seed, record and position."""
+    def chunks(self, text: str) -> list[str]:
+        """The chunks of a text, literal marks included."""
         parts = (" " + text).split(MARK)
         chunks = self.v.cut.findall(parts[0])
         for part in parts[1:]:
             chunks.append(MARK)
             chunks += self.v.cut.findall(part)
-        record = np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed))
-        with np.errstate(over="ignore"):
-            return chunks, mix(record + np.arange(len(chunks), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return chunks
+
+    def record(self, text: str, stream: int) -> int:
+        """Hash of seed, stream and text, from which all draws of a record follow."""
+        return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), xxhash.xxh64_intdigest(f"{self.seed}|{stream}"))
+
+    def occurrences(self, text: str) -> tuple[list[str], np.ndarray]:
+        """The chunks of a text and each one's hash of seed, record and position."""
+        chunks = self.chunks(text)
+        return chunks, positions([self.record(text, self.stream)], [len(chunks)])
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text; a word-start mark is put in front, as the model does."""
-        if not text:
-            return np.array([], self.v.kind)
-        chunks, keys = self.occurrences(text)
+        return self.encode_all([text], [self.stream])[0]
+
+    def encode_all(self, texts: list[str], streams: list[int]) -> list[np.ndarray]:
+        """Ids of each text; a word-start mark is put in front, as the model does. An empty text has none."""
+        split = [self.chunks(t) if t else [] for t in texts]
+        sizes = np.array([len(c) for c in split], np.int64)
+        chunks = [c for part in split for c in part]
+        if not chunks:
+            return [np.array([], self.v.kind) for _ in texts]
         memo, bound = self.memo, int(self.rate * (1 << 32))
-        out, places, branches = map(list, zip(*map(memo.__getitem__, chunks), strict=True))
-        if bound:
-            size = np.fromiter(map(len, places), np.int64, len(places)) >> 3
-            ends = np.cumsum(size)
-            with np.errstate(over="ignore"):
-                draw = ((np.repeat(keys, size) ^ np.frombuffer(b"".join(places), np.uint64)) * np.uint64(SPREAD)) >> np.uint64(32)
-            hit = np.flatnonzero(draw < bound)
-            if len(hit):
-                at = np.searchsorted(ends, hit, side="right")
-                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                at = at[first]
-                for i, nth, key in zip(at.tolist(), (hit[first] - ends[at] + size[at]).tolist(), keys[at].tolist(), strict=True):
-                    out[i] = memo.branch(chunks[i], branches[i], nth, key, bound)
-        if max(map(len, chunks)) > SHORT:
-            for i, c in enumerate(chunks):
-                if len(c) > SHORT:
-                    out[i] = memo.pack(segment(c.replace(" ", MARK), self.v.ranks, self.rate, int(keys[i])))
-        return np.frombuffer(b"".join(out), self.v.kind)
+        if memo.at.n > MEMO:
+            memo.start()
+        keys = positions([self.record(t, s) for t, s in zip(texts, streams, strict=True)], sizes)
+        nodes = memo.nodes(chunks)
+        last = memo.drawn(nodes, keys, bound) if bound else nodes
+        at, size, ids = memo.id_at.all[last], memo.id_size.all[last], memo.ids.all
+        long = np.flatnonzero(nodes == memo.LONG).tolist()
+        if long:
+            apart = [memo.pack(segment(chunks[i].replace(" ", MARK), self.v.ranks, self.rate, int(keys[i]))) for i in long]
+            size[long] = [len(x) for x in apart]
+            at[long] = len(ids) + np.cumsum([0, *map(len, apart[:-1])])
+            ids = np.concatenate([ids, *apart])
+        flat = ids[spans(at, size)]
+        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(sizes)])]
+        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def positions(records: list[int], sizes) -> np.ndarray:
+    """A hash for every position of every record."""
+    sizes = np.asarray(sizes, np.int64)
+    nth = spans(np.zeros(len(sizes), np.int64), sizes).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return mix(np.repeat(np.array(records, np.uint64), sizes) + nth * np.uint64(0x9E3779B97F4A7C15))
+
+
+def in_pieces(texts: list, keys: list) -> Iterator[tuple[list[str], list[int]]]:
+    """Texts, null ones as empty, with the streams of their keys, in pieces of at most about PIECE characters."""
+    held, size = [], 0
+    for i, t in enumerate(texts):
+        held.append(i)
+        size += len(t or "")
+        if size >= PIECE or i == len(texts) - 1:
+            yield [texts[k] or "" for k in held], [stream_of(keys[k]) for k in held]
+            held, size = [], 0
 
 
 def decode_ids(ids, vocabulary: Vocabulary) -> bytes:
@@ -282,13 +503,14 @@ class _encoders:
 
 def encode(docs: DataFrame, model: str = MODEL, rate: float = RATE, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids) per row of ``docs``; rate 0 is the model's own segmentation."""
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))
+    shared = ship(docs.sparkSession, Vocabulary(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = _encoders(shared.value, rate, seed)
+        encoder = Encoder(unship(shared), rate, seed, 0)
         for b in batches:
-            ids = [None if t is None else by[stream_of(k)].encode(t).astype(np.int32)
-                   for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ids = [x.astype(np.int32) for piece in in_pieces(texts, keys) for x in encoder.encode_all(*piece)]
+            ids = [None if t is None else x for t, x in zip(texts, ids, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>")
@@ -296,12 +518,13 @@ def encode(docs: DataFrame, model: str = MODEL, rate: float = RATE, seed: int =
 
 def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "text") -> DataFrame:
     """The other columns of ``encoded`` and the decoded ``text`` in place of ``ids``."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(model))
+    shared = ship(encoded.sparkSession, Vocabulary(model))
     others = [c for c in encoded.columns if c not in (ids, text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = unship(shared)
         for b in batches:
-            texts = [None if x is None else decode_ids(x, shared.value).decode("utf-8", "surrogatepass") for x in b.column(len(others)).to_pylist()]
+            texts = [None if x is None else decode_ids(x, vocabulary).decode("utf-8", "surrogatepass") for x in b.column(len(others)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.array(texts, pa.string())], [*others, text])
 
     kinds = [f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in others]
@@ -314,20 +537,19 @@ def round_trip(docs: DataFrame, model: str = MODEL, rate: float = RATE, seed: in
     ids_crc32 is over the ids as little-endian 32-bit numbers, text_crc32 over the decoded UTF-8;
     all are null for a null text.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))
+    shared = ship(docs.sparkSession, Vocabulary(model))
     names = [key, "n_pieces", "ids_crc32", "text_crc32", "lossless"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = _encoders(shared.value, rate, seed)
+        vocabulary = unship(shared)
+        encoder = Encoder(vocabulary, rate, seed, 0)
         for b in batches:
-            rows = []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if t is None:
-                    rows.append((None,) * 4)
-                    continue
-                ids = by[stream_of(k)].encode(t)
-                back = decode_ids(ids.tolist(), shared.value)
-                rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(back), back == t.encode("utf-8", "surrogatepass")))
+            keys, texts, rows = b.column(0).to_pylist(), b.column(1).to_pylist(), []
+            for piece in in_pieces(texts, keys):
+                for t, ids in zip(piece[0], encoder.encode_all(*piece), strict=True):
+                    back = decode_ids(ids.tolist(), vocabulary)
+                    rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(back), back == t.encode("utf-8", "surrogatepass")))
+            rows = [(None,) * 4 if t is None else r for t, r in zip(texts, rows, strict=True)]
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.bool_())], names)
