@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscript.llm.common import table, travels
+from folioscript.llm.common import free_name, ship, table, travels, unship
 from folioscript.llm.line_dedup import row_id
 
 travels(__name__)
@@ -187,10 +187,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     found = None
     for nth in range(slices):
         own = items.filter(F.pmod(F.xxhash64("t"), F.lit(slices)) == nth).collect()  # at most about SLICE_CHARS characters
-        shared = docs.sparkSession.sparkContext.broadcast(Items([r["id"] for r in own], [r["t"] for r in own], q, rate))
+        shared = ship(docs.sparkSession, Items([r["id"] for r in own], [r["t"] for r in own], q, rate))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            held = shared.value
+            held = unship(shared)
             for b in batches:
                 rows = []
                 for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -209,9 +209,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without those that hold a benchmark passage; rows go by key and text, null keys included."""
-    own = docs.withColumn("_rid", row_id(key, text))
-    leaks = find_leaks(own, benchmark, "_rid", text).select("_rid").distinct()
-    return own.join(leaks, "_rid", "left_anti").select(*docs.columns)
+    rid = free_name(docs, "rid")
+    own = docs.withColumn(rid, row_id(key, text))
+    leaks = find_leaks(own, benchmark, rid, text).select(rid).distinct()
+    return own.join(leaks, rid, "left_anti").select(*docs.columns)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

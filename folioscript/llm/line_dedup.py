@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscript.llm.common import mix, table, travels
+from folioscript.llm.common import free_name, mix, table, travels
 from folioscript.session import cut_lineage
 
 travels(__name__)
@@ -273,8 +273,9 @@ def row_id(key: str, text: str) -> Column:
 
 def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``; all rows and columns stay."""
-    gone = removed_lines(docs, key, text).select(F.col("rid").alias("_rid"), F.col("removed.line").alias("_gone"))
-    joined = docs.withColumn("_rid", row_id(key, text)).join(gone, "_rid", "left").drop("_rid")
+    rid, gone_name = free_name(docs, "rid"), free_name(docs, "gone")
+    gone = removed_lines(docs, key, text).select(F.col("rid").alias(rid), F.col("removed.line").alias(gone_name))
+    joined = docs.withColumn(rid, row_id(key, text)).join(gone, rid, "left").drop(rid)
     names, place = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +290,7 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.select(*docs.columns, "_gone").mapInArrow(run, docs.schema)
+    return joined.select(*docs.columns, gone_name).mapInArrow(run, docs.schema)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

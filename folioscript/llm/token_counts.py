@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscript.llm.common import table, travels
+from folioscript.llm.common import ship, table, travels, unship
 
 travels(__name__)
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -113,10 +113,10 @@ class Counts(dict):
 
 def count_tokens(docs: DataFrame, pieces: list[str], key: str = "doc_id", text: str = "text", mark: str = MARK) -> DataFrame:
     """(key, n_words, n_tokens) per row of ``docs``. The vocabulary travels once per job as a broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(Automaton(pieces))
+    shared = ship(docs.sparkSession, Automaton(pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(shared.value, mark)
+        counts = Counts(unship(shared), mark)
         for b in batches:
             words, tokens = [], []
             for t in b.column(1).to_pylist():

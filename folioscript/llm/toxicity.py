@@ -11,9 +11,9 @@ A linear squared-hinge machine is trained on sentences: all of clean documents,
 and of each toxic document the one that the machine itself finds most toxic,
 chosen anew in each round. Toxic documents are also shown with a sign or letter put
 into their telling words, clean ones with one into any word. The weights give every word a score, so a text is read
-once and each word is scored once. A document's score is a logistic function,
-fitted on documents the machine has not seen, of its words' excess over a margin
-per square root of their number, and of its most toxic sentence.
+once and each word is scored once. A document's score is a logistic function of its
+words' excess over a margin per square root of their number, fitted on what machines
+trained on two thirds of the documents say of the rest.
 
 Only labelled rows with crc32(doc_id as text) mod 4 other than 2 are learned from,
 at most FIT_TOXIC and FIT_CLEAN of them (lowest hash of the id first) of up to
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscript.llm.common import table, travels
+from folioscript.llm.common import ship, table, travels, unship
 
 travels(__name__)
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS, FIT_SENTENCES = 1500, 3000, 8000, 60_000
@@ -46,6 +46,8 @@ DECAY, SPAN, ORDER, POWER = 0.7, 7, 3, 3
 HASH_BITS = 18
 SIGNAL, COMMON, OTHER = 64, 16, 24  # landmarks: telling words, frequent words, other words
 REGULAR, ROUNDS, MARGIN = 1e-4, 4, 0.5
+FOLDS, PRIOR = 3, 1.0
+TELLING = 5.2  # standard errors by which a word must be commoner in toxic documents; among thousands of words some reach 5 by chance
 WINDOW = 32
 MEMO = 800_000  # words whose scores a task remembers
 THRESHOLD = 0.3
@@ -151,12 +153,13 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, share: np.ndarray, regular: floa
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights (last: bias) of a lightly regularised logistic regression."""
+    """Weights (last: bias) of a regularised logistic regression."""
     a = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w = np.zeros(a.shape[1])
+    ridge = np.array([PRIOR] * x.shape[1] + [1e-3])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + 1e-3 * np.eye(len(w)), a.T @ (p - y) + 1e-3 * w)
+        step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(ridge), a.T @ (p - y) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -164,7 +167,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Landmarks, the machine's weight of each, its bias, and the logistic function of a document's two figures."""
+    """Landmarks, the machine's weight of each, its bias, and the logistic function of a document's figure."""
 
     def __init__(self, landmarks: Landmarks | None, beta: np.ndarray | None = None, bias: float = 0.0, final: np.ndarray | None = None):
         self.landmarks, self.beta, self.bias, self.final = landmarks, beta, bias, final
@@ -177,13 +180,10 @@ class Model:
         ends = np.cumsum([len(p) for p in parts])
         return np.maximum.reduceat(scores, np.concatenate([[0], ends[:-1]])) if len(flat) else np.empty(0)
 
-    def figures(self, sents: list[list[str]], score: dict[str, float]) -> tuple[float, float]:
-        if not sents:
-            return 0.0, 0.0
-        ends = np.cumsum(list(map(len, sents)))
-        g = np.fromiter(map(score.__getitem__, itertools.chain.from_iterable(sents)), np.float64, ends[-1])
-        sums = np.add.reduceat(g, np.concatenate([[0], ends[:-1]]))
-        return float(np.maximum(0, g - MARGIN).sum() / np.sqrt(len(g))), float(np.clip(sums.max() + self.bias, 0, 4))
+    def figure(self, sents: list[list[str]], score: dict[str, float]) -> float:
+        """What the words of a document score above the margin, per square root of their number."""
+        g = np.fromiter(map(score.__getitem__, itertools.chain.from_iterable(sents)), np.float64)
+        return float(np.maximum(0, g - MARGIN).sum() / np.sqrt(max(1, len(g))))
 
     def scores(self, texts: list[str | None], memo: dict[str, float]) -> list[float]:
         """Score of each text; ``memo`` keeps word scores, with and without signs at the ends, between calls."""
@@ -201,7 +201,7 @@ class Model:
         memo.update({w: memo[b] for w, b in bare.items()})
         out = []
         for d in docs:
-            z = float(np.dot(self.figures(d, memo), self.final[:2]) + self.final[2])
+            z = self.figure(d, memo) * self.final[0] + self.final[1]
             out.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
         return out
 
@@ -215,7 +215,7 @@ def pick_landmarks(docs: list[list[list[str]]], toxic: np.ndarray) -> tuple[list
     odds = {w: float(np.log((n + 0.5) / (n1 + 1) / ((seen[0][w] + 0.5) / (n0 + 1)))) for w, n in seen[1].items() if n >= 3}
     worth = {w: (seen[1][w] / n1 - seen[0][w] / n0) / ((seen[1][w] + seen[0][w] + 1) / (n1 + n0) * (1 / n1 + 1 / n0)) ** 0.5
              for w, o in odds.items() if o > 1.5}
-    telling = sorted(worth, key=lambda w: (-worth[w], w))[:SIGNAL]
+    telling = sorted((w for w, z in worth.items() if z > TELLING), key=lambda w: (-worth[w], w))[:SIGNAL]
     frequent = sorted(seen[0], key=lambda w: (-seen[0][w], w))[:COMMON]
     others = sorted((w for w, n in seen[0].items() if n >= 3 and len(w) > 3), key=lambda w: (hash_of(w), w))[:OTHER]
     return list(dict.fromkeys([*telling, *frequent, *others])), {w: odds[w] for w in telling}
@@ -250,16 +250,10 @@ def hash_of(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """Train on labelled texts; every third one is kept for the logistic function."""
-    toxic = np.array(labels, bool)
-    docs = [sentences(t) for t in texts]
-    train = [i for i in range(len(docs)) if i % 3 and docs[i]]
-    check = [i for i in range(len(docs)) if i % 3 == 0]
-    if not toxic[train].any() or toxic[train].all() or not toxic[check].any() or toxic[check].all():
-        return Model(None)
-    words, odds = pick_landmarks([docs[i] for i in train], toxic[train])
-    fitted, known = with_disturbed(docs, toxic, train, odds)
+def machine(docs: list, toxic: np.ndarray, rows: list[int]) -> tuple[Model, dict[str, float]]:
+    """The word machine trained on the documents in ``rows``, and its telling words."""
+    words, odds = pick_landmarks([docs[i] for i in rows], toxic[rows])
+    fitted, known = with_disturbed(docs, toxic, rows, odds)
     marks = Landmarks(words)
     own = marks.kernel(words)
     values, vectors = np.linalg.eigh((own + own.T) / 2 + 1e-3 * np.eye(len(words)))
@@ -284,21 +278,37 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     groups = [np.flatnonzero(at == i) for i in sorted(set(at[known[at]].tolist()))]
     for _ in range(ROUNDS):
         worst = np.array([g[score[g].argmax()] for g in groups])
-        rows = np.concatenate([worst, clean])
+        rows_ = np.concatenate([worst, clean])
         y = np.concatenate([np.ones(len(worst)), -np.ones(len(clean))])
         share = np.concatenate([np.full(len(worst), 0.5 / len(worst)), np.full(len(clean), 0.5 / len(clean))])
-        w = squared_hinge(x[rows], y, share, REGULAR)
+        w = squared_hinge(x[rows_], y, share, REGULAR)
         score = x @ w[:-1] + w[-1]
-    model = Model(marks, root @ w[:-1], float(w[-1]))
-    memo: dict[str, float] = {}
-    checked, truth = with_disturbed(docs, toxic, check, odds)
-    all_words = list({w for d in checked for s in d for w in s})
-    for lo in range(0, len(all_words), 8192):
-        part = all_words[lo : lo + 8192]
-        memo.update(zip(part, model.word_scores(part).tolist(), strict=True))
-    figures = np.array([model.figures(d, memo) for d in checked])
-    model.final = logistic(figures, truth.astype(float))
-    model.final[:2] = np.maximum(model.final[:2], 0)
+    return Model(marks, root @ w[:-1], float(w[-1])), odds
+
+
+def fit(texts: list[str], labels: list[int]) -> Model:
+    """Train on labelled texts. The logistic function is fitted on figures that machines trained without the document gave it."""
+    toxic = np.array(labels, bool)
+    docs = [sentences(t) for t in texts]
+    rows = [i for i in range(len(docs)) if docs[i]]
+    order = {i: k for kind in (True, False) for k, i in enumerate(i for i in rows if toxic[i] == kind)}
+    if not rows or toxic[rows].all() or toxic[rows].sum() < FOLDS:
+        return Model(None)
+    figures, truth = [], []
+    for fold in range(FOLDS):
+        model, odds = machine(docs, toxic, [i for i in rows if order[i] % FOLDS != fold])
+        checked, known = with_disturbed(docs, toxic, [i for i in rows if order[i] % FOLDS == fold], odds)
+        memo: dict[str, float] = {}
+        words = list({w for d in checked for s in d for w in s})
+        for lo in range(0, len(words), 8192):
+            part = words[lo : lo + 8192]
+            memo.update(zip(part, model.word_scores(part).tolist(), strict=True))
+        figures += [[model.figure(d, memo)] for d in checked]
+        truth.append(known)
+    final = logistic(np.array(figures), np.concatenate(truth).astype(float))
+    final[0] = max(final[0], 0.0)
+    model, _ = machine(docs, toxic, rows)
+    model.final = final
     return model
 
 
@@ -323,12 +333,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, score, predicted) per row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
+        held = unship(shared)
         for b in batches:
-            scores = shared.value.scores(b.column(1).to_pylist(), memo)
+            scores = held.scores(b.column(1).to_pylist(), memo)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], [key, "score"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -339,12 +350,13 @@ def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` without the rows whose text is predicted toxic; all columns stay."""
     names, place = docs.columns, docs.columns.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
+        held = unship(shared)
         for b in batches:
-            scores = shared.value.scores(b.column(place).to_pylist(), memo)
+            scores = held.scores(b.column(place).to_pylist(), memo)
             yield pa.RecordBatch.from_arrays(b.columns, names).filter(pa.array([s < THRESHOLD for s in scores], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -12,7 +12,7 @@ def make_docs(spark):
         df = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], DOCS)
         if clash:  # names that operators use themselves
             from pyspark.sql import functions as F
-            df = df.withColumns({c: F.lit("x") for c in ("rid", "fp", "sid", "line", "n", "ids", "score", "shard", "slot", "id", "tokens", "component_id")})
+            df = df.withColumns({c: F.lit("x") for c in ("rid", "fp", "sid", "line", "n", "ids", "score", "shard", "slot", "id", "tokens", "component_id", "_rid", "_gone", "gone", "blank")})
         return df
 
     return make
