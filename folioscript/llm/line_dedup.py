@@ -4,8 +4,8 @@ A line's tokens are its distinct runs of five words (a shorter line is one token
 A line is removed when an earlier line (by doc_id, then line number) has a Jaccard
 similarity of 0.8 or more; lines of equal token sets are similarity 1.
 
-1. Token counts over all lines, in a table of fixed size, give one total order,
-   rare first. Lines of the same tokens are reduced to one, owned by its first
+1. Token counts over all lines, in a table of hash buckets, give one total order,
+   rare buckets first. Lines of the same tokens are reduced to one, owned by its first
    occurrence.
 2. Two sets that reach the threshold share a token among the first n - ceil(0.8 n)
    + 1 of their ordered tokens (prefix filter). Only these are shuffled, by token;
@@ -135,6 +135,19 @@ def token_counts(rows: DataFrame, words: int) -> np.ndarray:
     return out
 
 
+def in_order(token: np.ndarray, line: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The tokens of each line sorted by (rank of the bucket, token); ``line`` does not fall."""
+    wide = COUNT_BITS + int(line[-1]).bit_length()
+    rest = token << np.uint64(COUNT_BITS)  # the bucket is the upper bits
+    key = (line.astype(np.uint64) << np.uint64(64 - wide + COUNT_BITS)) | (rank[bucket_of(token)] << np.uint64(64 - wide)) | (rest >> np.uint64(wide))
+    order = np.argsort(key)
+    token, key = token[order], key[order]
+    for i in np.flatnonzero((key[1:] == key[:-1]) & (token[1:] != token[:-1])).tolist():  # alike in all bits that fit
+        lo, hi = np.searchsorted(key, key[i], "left"), np.searchsorted(key, key[i], "right")
+        token[lo:hi] = np.sort(token[lo:hi])
+    return token
+
+
 def set_ids(token: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Identity of each line's tokens: an order-free hash, repeats included."""
     with np.errstate(over="ignore"):
@@ -144,7 +157,7 @@ def set_ids(token: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def line_rows(rows: DataFrame, counts: np.ndarray, words: int, num: int, den: int) -> DataFrame:
     """(doc_id, rid, line, sid, n, prefix) of every line with words; prefix: its rarest tokens, in order."""
-    shared = rows.sparkSession.sparkContext.broadcast(counts)
+    shared = rows.sparkSession.sparkContext.broadcast(np.argsort(np.argsort(counts, kind="stable")).astype(np.uint64))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +168,7 @@ def line_rows(rows: DataFrame, counts: np.ndarray, words: int, num: int, den: in
                 if not len(line):
                     continue
                 sid = set_ids(token, starts(line))
-                order = np.lexsort((token, seen[bucket_of(token)], line))
-                token = token[order]
+                token = in_order(token, line, seen)
                 new = np.concatenate([[True], (line[1:] != line[:-1]) | (token[1:] != token[:-1])])
                 line, token = line[new], token[new]
                 first = starts(line)

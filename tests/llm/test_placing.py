@@ -4,8 +4,8 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from folioscript.llm import sharding, simhash, token_counts
 
@@ -58,29 +58,47 @@ def test_fingerprints_equal_the_definition():
     assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
 
 
-def test_classes_equal_brute_force(spark, make_docs):
+@pytest.mark.parametrize(("segments", "hot"), [(2, 64), (3, 64), (4, 64), (2, 1), (3, 2), (4, 4)])
+def test_classes_equal_brute_force(spark, segments, hot):
     random.seed(4)
     base = [random.getrandbits(64) for _ in range(30)]
-    words = [b ^ sum(1 << random.randrange(64) for _ in range(random.randrange(4))) for b in base for _ in range(8)]
-    fps = sorted({w & (1 << 64) - 1 for w in words})
-    signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
-    classes = spark.createDataFrame([(i, f) for i, f in enumerate(signed)], "id long, fp long")
-    got = {r["node"]: r["root"] for r in simhash.components(simhash.links(classes)).collect()}
-    label = list(range(len(fps)))
+    words = [b ^ sum(1 << k for k in random.sample(range(64), random.randrange(4))) for b in base for _ in range(8)]
+    words += [base[0] ^ 1 << a ^ 1 << b for a in range(20) for b in range(a)]  # a crowded neighbourhood
+    fps = sorted(set(words))
+    signed = {f: int(np.uint64(f).astype(np.int64)) for f in fps}
+    found = simhash.links(spark.createDataFrame([(x,) for x in signed.values()], "fp long"), segments, hot)
+    assert all(((r.u ^ r.v) & (1 << 64) - 1).bit_count() <= 2 for r in found.collect())
+    got = {r["node"]: r["root"] for r in simhash.components(found).collect()}
+    label = {f: signed[f] for f in fps}
     for _ in fps:
-        for i, a in enumerate(fps):
-            for j, b in enumerate(fps):
-                if (a ^ b).bit_count() <= 2:
-                    label[i] = label[j] = min(label[i], label[j])
-    assert [got.get(i, i) for i in range(len(fps))] == label
+        before = dict(label)
+        for a in fps:
+            label[a] = min(label[b] for b in fps if (a ^ b).bit_count() <= 2)
+        if label == before:
+            break
+    assert {signed[f]: got.get(signed[f], signed[f]) for f in fps} == {signed[f]: label[f] for f in fps}
+
+
+def test_balls_cover_every_pair_of_bits():
+    for segments in (2, 3, 4, 5):
+        edges = [64 * k // segments for k in range(segments + 1)]
+        for a in range(64):
+            for b in range(a + 1):
+                differ = [sum(lo <= x < hi for x in {a, b}) for lo, hi in zip(edges, edges[1:], strict=False)]
+                assert any(d <= r for d, r in zip(differ, simhash.radii(segments), strict=True))
 
 
 def test_near_classes_cases(make_docs):
     got = {(r.doc_id, r.component_id) for r in simhash.near_classes(make_docs(ROWS, clash=True)).collect()}
     assert {(1, 1), (2, 1), (3, 3), (4, 3), (6, 3), (7, 7)} <= got
-    kept = simhash.keep_one(make_docs(ROWS, clash=True))
-    assert sorted(r.doc_id for r in kept.filter("doc_id IS NOT NULL").collect()) == [1, 1, 3, 5, 7, 8]
-    assert kept.filter(F.col("doc_id").isNull()).count() == 2 and "rid" in kept.columns
+
+
+def test_a_row_without_id_bridges_others(spark, make_docs, monkeypatch):
+    words = {"a": 0b0000, "b": 0b0011, "c": 0b1111, "d": 1 << 40 | 1 << 50 | 1 << 60}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, key, text, n: spark.createDataFrame(
+        [(1, words["a"]), (None, words["b"]), (5, words["c"]), (None, words["d"])], "doc_id long, fp long"))
+    got = sorted(((r.doc_id, r.fp, r.component_id) for r in simhash.near_classes(make_docs([])).collect()), key=str)
+    assert got == sorted([(1, 0, 1), (None, 3, 1), (5, 15, 1), (None, words["d"], None)], key=str)
 
 
 def brute_count(word, pieces):
