@@ -53,5 +53,5 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     read only the columns they need, and the files outlive any lost executor.
     """
     path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
