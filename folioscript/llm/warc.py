@@ -3,19 +3,25 @@
 An ARC file starts with a version block that names the header layout of its
 records; each record is one header line with a declared length and that many
 bytes. The converter reads headers by the layout of their version, cuts blocks by
-the declared length, and synthesises what WARC wants: a record id (name-based, so
-a repeated task writes the same one), an ISO time, the record type, block and
-payload digests. Among records of equal payload the one with the smallest page id
-keeps its payload; the others become revisits that refer to it.
+the declared length, and synthesises what WARC wants: a record id (made from the
+record, so a repeated task writes the same one), an ISO time, the record type, block
+and payload digests. Among records of equal payload the one with the smallest page id
+keeps its payload; the others become revisits that refer to it by its record id.
+Records without page id, as in archives from elsewhere, go by file and offset instead.
+The id of a page's record holds the page id, so it needs no field of its own.
 
 Files are written by Spark's text sink into the shared folder, gzip-packed, and
-cut into volumes of bounded size; readers hold one volume at a time.
+cut into volumes of bounded size; readers hold one volume at a time. They take files
+of any name, packed or plain.
 
 Defined cases: a null payload is empty; a null or blank URL becomes about:blank,
-white space in a URL is percent-encoded; a record without page id is always a
-response; rows that repeat a response's page id and payload are responses too;
-an empty table gives an archive without records and an empty result. A header
-line that does not fit its version, or a short block, raises an error.
+white space in a URL is percent-encoded; a record without page id never revisits one
+with a page id; rows that repeat a response's page id and payload are responses too;
+an empty table gives an archive without records and an empty result; a date of few
+digits, or one that is not in the calendar, keeps its sound leading parts. A header
+line that does not fit its version, a declared length that does not fit the file and
+the rest of a torn file are put aside (:func:`damaged`); reading goes on at the next
+header line.
 """
 
 from __future__ import annotations
@@ -26,7 +32,10 @@ import hashlib
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
+from datetime import datetime
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +55,10 @@ LAYOUTS = {
     "1": "URL IP-address Archive-date Content-type Archive-length",
     "2": "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
+# What a header's fields look like; any other field is a word. URLs and content types may hold spaces.
+FIELDS = {"URL": r"\S.*?", "IP-address": r"[0-9A-Fa-f.:]+|-", "Archive-date": r"\d{4,17}", "Content-type": r".*", "Archive-length": r"\d{1,18}"}
+SCHEME = re.compile(rb"[A-Za-z][A-Za-z0-9+.-]*:")
+TORN = (EOFError, OSError, zlib.error)
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -137,51 +150,163 @@ def write_arc(pages: DataFrame, path: str, volume_bytes: int = VOLUME_BYTES) ->
     _write(rows, path, "\n")
 
 
-def parse_arc(stream, name: str = "") -> Iterator[dict]:
-    """Records of an unpacked ARC file. Each has the header's fields and the bytes of its block."""
-    layout: list[str] = []
-    while line := stream.readline():
-        if not line.strip():
-            continue  # records are set apart by a line end
-        first = not layout
-        names = layout or LAYOUTS["1"].split()
-        fields = line.decode("utf-8", "replace").rstrip("\r\n").rsplit(" ", len(names) - 1)
-        if len(fields) != len(names) or not fields[-1].isdigit():
-            raise ValueError(f"{name}: header line does not fit its version: {line[:200]!r}")
-        record = dict(zip(names, fields, strict=True))
-        block = stream.read(int(record["Archive-length"]))
-        if len(block) != int(record["Archive-length"]):
-            raise ValueError(f"{name}: block of {record['URL']} is shorter than declared")
-        if first:
-            said = block.decode("utf-8", "replace").split("\n")
-            version = said[0].split(" ")[0]
-            if not record["URL"].startswith("filedesc://") or version not in LAYOUTS:
-                raise ValueError(f"{name}: no version block of a known version")
-            layout = (said[1].strip() if len(said) > 1 and said[1].strip() else LAYOUTS[version]).split()
+@cache
+def header_pattern(layout: str) -> re.Pattern:
+    return re.compile(" ".join("(" + FIELDS.get(n, r"\S+") + ")" for n in layout.split()))
+
+
+def parse_header(line: bytes, layout: str | None) -> dict[str, str] | None:
+    """The fields of a header line; None if it does not fit. Without a layout both versions are tried."""
+    text = line.decode("utf-8", "replace").rstrip("\r\n")
+    for names in [layout] if layout else [LAYOUTS["2"], LAYOUTS["1"]]:
+        if m := header_pattern(names).fullmatch(text):
+            return dict(zip(names.split(), m.groups(), strict=True))
+    return None
+
+
+class Source:
+    """A stream that counts its bytes and takes some of them back."""
+
+    def __init__(self, stream):
+        self.stream, self.back, self.used, self.at = stream, b"", 0, 0
+
+    def read(self, n: int) -> bytes:
+        parts = [self.back[self.used : self.used + n]]
+        got = len(parts[0])
+        self.used += got
+        while got < n and (more := self.stream.read(min(n - got, FLUSH_BYTES))):
+            parts.append(more)
+            got += len(more)
+        self.at += got
+        return b"".join(parts)
+
+    def readline(self) -> bytes:
+        end = self.back.find(b"\n", self.used) + 1
+        line = self.back[self.used : end] if end else self.back[self.used :] + self.stream.readline()
+        self.used = end or len(self.back)
+        self.at += len(line)
+        return line
+
+    def push(self, data: bytes) -> None:
+        self.back, self.used, self.at = data + self.back[self.used :], 0, self.at - len(data)
+
+
+def _ends_here(source: Source, layout: str | None) -> bool:
+    """Whether a record may end at this place: at a line end, the file's end, or before a header line."""
+    after = source.read(1)
+    if after in (b"", b"\n", b"\r"):
+        return True
+    line = after + source.readline()
+    source.push(line)
+    return bool(SCHEME.match(line)) and parse_header(line, layout) is not None
+
+
+def parse_arc(stream, name: str = "", strict: bool = True) -> Iterator[dict]:
+    """Records of an unpacked ARC file: the header's fields, its place ``at``, and the bytes of its ``block``.
+
+    What cannot be read raises an error, or, unless ``strict``, is given as a row of ``damage`` and ``at``.
+    """
+    source, layout, first, lost = Source(stream), None, True, False
+
+    def damage(at: int, why: str) -> dict:
+        if strict:
+            raise ValueError(f"{name}, byte {at}: {why}")
+        return {"damage": why, "at": at}
+
+    while True:
+        at = source.at
+        try:
+            line = source.readline()
+            if not line:
+                return
+            if not line.strip() or (lost and not SCHEME.match(line)):
+                continue  # records are set apart by a line end
+            record = parse_header(line, layout)
+            if record is None:
+                if not lost:
+                    yield damage(at, f"header line does not fit its version: {line[:200]!r}")
+                lost = True
+                continue
+            block = source.read(int(record["Archive-length"]))
+            whole = len(block) == int(record["Archive-length"])
+            said = block.decode("utf-8", "replace").split("\n") if first and record["URL"].startswith("filedesc:") else []
+            names = None
+            if said and said[0].split(" ")[0] in LAYOUTS:
+                names = (said[1].strip() if len(said) > 1 else "") or LAYOUTS[said[0].split(" ")[0]]
+            fits = whole and _ends_here(source, names if first else layout)
+        except TORN as e:
+            yield damage(at, f"the file cannot be read from here on: {e}")
+            return
+        lost = not fits
+        if not fits:
+            yield damage(at, f"declared length of {record['URL']} does not fit" if whole else f"block of {record['URL']} is shorter than declared")
+            source.push(block)
             continue
-        yield record | {"block": block}
-
-
-def record_id(page: int | None, url: str, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}|{url if page is None else ""}|{digest}')}>"
-
-
-def iso_time(date14: str) -> str:
-    d = date14.ljust(14, "0")
-    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+        opened, first = first, False
+        if opened:
+            layout = names
+            if names is None:
+                yield damage(at, "no version block of a known version")
+            if said:
+                continue
+        yield record | {"at": at, "block": block}
+
+
+def _tag(page: int, digest: str) -> int:
+    return int.from_bytes(hashlib.sha1(f"{page}|{digest}".encode()).digest()[:8]) >> 6
+
+
+def record_id(page: int | None, place: str, digest: str) -> str:
+    """A UUID: of a page's record it holds the page id and 58 bits of a hash, of another it is named by the record's place."""
+    if page is None:
+        return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{place}|{digest}')}>"
+    word = page & (1 << 64) - 1
+    high, low = word >> 4, (word & 15) << 58 | _tag(page, digest)
+    return f"<urn:uuid:{uuid.UUID(int=high >> 12 << 80 | 8 << 76 | (high & 0xFFF) << 64 | 2 << 62 | low)}>"
+
+
+def page_of(record: str | None, digest: str) -> int | None:
+    """The page id in a record id, if it holds one that goes with the payload's digest."""
+    m = re.fullmatch(r"<urn:uuid:([0-9a-f-]{36})>", record or "")
+    if not m:
+        return None
+    v = int(m[1].replace("-", ""), 16)
+    word = (v >> 80) << 16 | (v >> 64 & 0xFFF) << 4 | (v >> 58 & 15)
+    page = word - (1 << 64) if word >> 63 else word
+    return page if (v >> 76 & 15, v >> 62 & 3) == (8, 2) and v & (1 << 58) - 1 == _tag(page, digest) else None
+
+
+def page_field(fields: dict[str, str]) -> int | None:
+    """The page id that :func:`http_block` put into a head."""
+    said = fields.get("x-page-id", "")
+    return int(said) if re.fullmatch(r"-?\d{1,19}", said, re.ASCII) and -(1 << 63) <= int(said) < 1 << 63 else None
+
+
+@lru_cache(1 << 12)
+def iso_time(digits: str) -> str:
+    """The date of an ARC header as WARC wants it, by as many leading parts as make a date."""
+    for n in (14, 12, 10, 8, 6, 4):
+        part = digits[:n]
+        if len(part) == n:
+            try:
+                return datetime.strptime(part + "00000101000000"[n:], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ").rjust(20, "0")
+            except ValueError:
+                continue
+    return iso_time(ARCHIVED)
 
 
 def _volumes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
 def _unpacked(content: bytes):
-    return gzip.GzipFile(fileobj=io.BytesIO(content))
+    return gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
 
 
 ARC_COLUMNS = {"page_id": pa.int64(), "url": pa.string(), "date": pa.string(), "mime": pa.string(), "head": pa.binary(),
-               "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string()}
-ARC_SCHEMA = "page_id bigint, url string, date string, mime string, head binary, payload binary, payload_bytes bigint, payload_digest string"
+               "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "path": pa.string(), "at": pa.int64(), "damage": pa.string()}
+ARC_SCHEMA = ("page_id bigint, url string, date string, mime string, head binary, payload binary, payload_bytes bigint, payload_digest string, "
+              "path string, at bigint, damage string")
 
 
 def _batched(rows: Iterator[tuple[tuple, int]], columns: dict) -> Iterator[pa.RecordBatch]:
@@ -196,24 +321,35 @@ def _batched(rows: Iterator[tuple[tuple, int]], columns: dict) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), columns.values(), strict=True)], list(columns))
 
 
-def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Records of the ARC files below ``path``; without ``payloads`` those columns are null."""
+def _arc_rows(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
                 for i in range(b.num_rows):
                     name = b.column(0)[i].as_py()
-                    for r in parse_arc(_unpacked(b.column(1)[i].as_buffer().to_pybytes()), name):
+                    for r in parse_arc(_unpacked(b.column(1)[i].as_buffer().to_pybytes()), name, strict=False):
+                        if "damage" in r:
+                            yield (*[None] * 8, name, r["at"], r["damage"]), 0
+                            continue
                         head, body, fields = split_http(r["block"])
-                        page = fields.get("x-page-id")
                         kept = (head, body) if payloads else (None, None)
-                        yield (int(page) if page else None, r["URL"], r["Archive-date"], r["Content-type"], *kept, len(body),
-                               base32_sha1(body)), len(r["block"]) if payloads else 0
+                        yield (page_field(fields), clean_url(r["URL"]), r["Archive-date"], r["Content-type"], *kept, len(body),
+                               base32_sha1(body), name, r["at"], None), len(r["block"]) if payloads else 0
         yield from _batched(rows(), ARC_COLUMNS)
 
     return _volumes(spark, path).mapInArrow(run, ARC_SCHEMA)
 
 
+def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """Sound records of the ARC files below ``path``; without ``payloads`` those columns are null."""
+    return _arc_rows(spark, path, payloads).filter("damage IS NULL").drop("damage")
+
+
+def damaged(spark: SparkSession, path: str) -> DataFrame:
+    """(path, at, damage) of whatever below ``path`` could not be read; ``at`` counts unpacked bytes."""
+    return _arc_rows(spark, path, False).filter("damage IS NOT NULL").select("path", "at", "damage")
+
+
 def warc_record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     """One record without the blank lines behind it, which the sink adds."""
     lines = ["WARC/1.1", f"WARC-Type: {kind}", *(f"{k}: {v}" for k, v in headers), f"Content-Length: {len(block)}", "", ""]
@@ -222,10 +358,9 @@ def warc_record(kind: str, headers: list[tuple[str, str]], block: bytes) -> byte
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, min_revisit: int = MIN_REVISIT, volume_bytes: int = VOLUME_BYTES) -> None:
     """Write the ARC records below ``arc_path`` as WARC files below ``warc_path``."""
-    known = read_arc(spark, arc_path, payloads=False).filter(
-        (F.col("payload_bytes") >= min_revisit) & F.col("page_id").isNotNull())
-    firsts = known.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select(
-        "payload_digest", "first")
+    known = read_arc(spark, arc_path, payloads=False).filter(F.col("payload_bytes") >= min_revisit)
+    firsts = known.groupBy("payload_digest", F.isnull("page_id").alias("apart")).agg(
+        F.min(F.struct("page_id", "path", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         info = b"software: folioscript\r\nformat: WARC file version 1.1\r\n"
@@ -236,21 +371,22 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_revisit: int
 
         out = Volumes(opened, volume_bytes)
         for b in batches:
-            for page, url, date, mime, head, payload, digest, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                revisit = first is not None and page is not None and page != first
+            for page, url, date, mime, head, payload, digest, path, at, found, first, first_path, first_at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                revisit = found and (page != first if page is not None else (path, at) != (first_path, first_at))
                 block = head if revisit else head + payload
-                headers = [("WARC-Record-ID", record_id(page, url, digest)), ("WARC-Date", iso_time(date)), ("WARC-Target-URI", url),
+                headers = [("WARC-Record-ID", record_id(page, f"{path}|{at}", digest)), ("WARC-Date", iso_time(date)), ("WARC-Target-URI", url),
                            ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"),
-                           ("Content-Type", "application/http; msgtype=response" if head else mime)]
+                           ("Content-Type", "application/http; msgtype=response" if head else mime or "application/octet-stream")]
                 if revisit:
-                    headers += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(first, url, digest)), ("X-Refers-To-Page", str(first))]
+                    headers += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(first, f"{first_path}|{first_at}", digest))]
                 kind = "revisit" if revisit else "response" if head else "resource"
                 out.add(lambda v, k=kind, h=headers, x=block: warc_record(k, h, x))
                 yield from out.flush(FLUSH_BYTES)
         yield from out.flush()
 
-    rows = read_arc(spark, arc_path).join(firsts, "payload_digest", "left").select(
-        "page_id", "url", "date", "mime", "head", "payload", "payload_digest", "first")
+    rows = read_arc(spark, arc_path).withColumn("apart", F.isnull("page_id")).join(firsts, ["payload_digest", "apart"], "left").select(
+        "page_id", "url", "date", "mime", "head", "payload", "payload_digest", "path", "at",
+        F.isnotnull("first"), F.col("first.page_id").alias("first_page"), F.col("first.path").alias("first_path"), F.col("first.at").alias("first_at"))
     _write(rows.mapInArrow(run, "volume int, seq bigint, data binary"), warc_path, "\r\n\r\n")
 
 
@@ -273,9 +409,9 @@ def parse_warc(stream, name: str = "") -> Iterator[tuple[dict[str, str], bytes]]
 
 
 WARC_COLUMNS = {"page_id": pa.int64(), "url": pa.string(), "record_id": pa.string(), "record_type": pa.string(), "payload_bytes": pa.int64(),
-                "payload_digest": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
+                "payload_digest": pa.string(), "refers_to": pa.int64(), "refers_to_record": pa.string(), "payload": pa.binary()}
 WARC_SCHEMA = ("page_id bigint, url string, record_id string, record_type string, payload_bytes bigint, payload_digest string, "
-               "refers_to bigint, payload binary")
+               "refers_to bigint, refers_to_record string, payload binary")
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -290,13 +426,16 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                         if kind == "warcinfo":
                             continue
                         _, body, fields = split_http(block)
-                        digest = h["warc-payload-digest"].removeprefix("sha1:")
-                        revisit = kind == "revisit"
-                        if not revisit and base32_sha1(body) != digest:
-                            raise ValueError(f"{name}: payload of {h['warc-record-id']} differs from its digest")
-                        page, first = fields.get("x-page-id"), h.get("x-refers-to-page")
-                        yield (int(page) if page else None, h["warc-target-uri"], h["warc-record-id"], kind,
-                               int(fields["content-length"]) if revisit else len(body), digest, int(first) if first else None,
+                        revisit, said = kind == "revisit", h.get("warc-payload-digest", "")
+                        digest = said[5:].upper() if said.lower().startswith("sha1:") else None
+                        if not revisit:
+                            if digest is not None and base32_sha1(body) != digest:
+                                raise ValueError(f"{name}: payload of {h['warc-record-id']} differs from its digest")
+                            digest = base32_sha1(body)
+                        size = fields.get("content-length", "")
+                        page, refers = page_of(h["warc-record-id"], digest or ""), h.get("warc-refers-to")
+                        yield (page, h.get("warc-target-uri"), h["warc-record-id"], kind,
+                               (int(size) if size.isdecimal() else None) if revisit else len(body), digest, page_of(refers, digest or ""), refers,
                                body if payloads and not revisit else None), len(body) if payloads else 0
         yield from _batched(rows(), WARC_COLUMNS)
 

@@ -53,6 +53,51 @@ def test_headers_follow_the_version():
         list(warc.parse_arc(io.BytesIO(data.replace(b" 404 -", b""))))
 
 
+def record(url, date, mime, payload, extra="", length=None):
+    block = b"HTTP/1.0 200 OK\r\n\r\n" + payload
+    return f"{url} 1.2.3.4 {date} {mime}{extra} {len(block) if length is None else length}\n".encode() + block + b"\n"
+
+
+def test_archives_from_elsewhere(spark, tmp_path):
+    """Hand-written files of both versions, packed and plain: equal payloads, fields with spaces, short dates, damage."""
+    two = " 200 - - 0 f.arc"
+    one = b"filedesc://a.arc 0.0.0.0 1996 text/plain 76\n1 0 Some Archive  \nURL IP-address Archive-date Content-type Archive-length\n\n"
+    one = one.replace(b"plain 76", b"plain %d" % (len(one) - one.index(b"\n") - 1))  # the length counts the blank line, as in old files
+    one += record("http://a/", "1999", "text/html; charset=utf-8", b"same") + record("http://b/", "199902", "", b"own")
+    one += b"this is no header\nnor is this\n" + record("http://c/", "19990230112233", "text/html", b"same") + record("http://d/", "20000101000000", "text/html", b"lost", length=9_000)
+    other = warc.arc_version_block("2", "b.arc") + b"\n" + record("http://e/x y", "20010203040506", "text/html; charset=utf-8", b"same", two)
+    other += record("http://f/", "20010203040506", "text/html", b"cut short", two, length=24) + record("http://g/", "20010203040506", "text/html", b"", two)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "crawl-1.arc").write_bytes(one)
+    (tmp_path / "in" / "crawl-2.arc.gz").write_bytes(gzip.compress(other))
+    (tmp_path / "in" / "torn.arc.gz").write_bytes(gzip.compress(other)[:-30])
+    (tmp_path / "in" / "empty.arc").write_bytes(b"")
+    arc, out = str(tmp_path / "in"), str(tmp_path / "out")
+    got = {(r.path.rsplit("/", 1)[-1], r.url): r for r in warc.read_arc(spark, arc).collect()}
+    sound = {k: v for k, v in got.items() if k[0] != "torn.arc.gz"}
+    assert {k: bytes(v.payload) for k, v in sound.items()} == {
+        ("crawl-1.arc", "http://a/"): b"same", ("crawl-1.arc", "http://b/"): b"own", ("crawl-1.arc", "http://c/"): b"same",
+        ("crawl-2.arc.gz", "http://e/x%20y"): b"same", ("crawl-2.arc.gz", "http://g/"): b""}
+    assert {r.mime for k, r in sound.items() if k[1] in ("http://a/", "http://e/x%20y")} == {"text/html; charset=utf-8"}
+    bad = [r.path.rsplit("/", 1)[-1] for r in warc.damaged(spark, arc).collect()]
+    assert bad.count("crawl-1.arc") == 2 and bad.count("crawl-2.arc.gz") == 1 and "torn.arc.gz" in bad and "empty.arc" not in bad
+    (tmp_path / "in" / "torn.arc.gz").unlink()
+    warc.convert(spark, arc, out)
+    rows = {r.url: r for r in warc.read_warc(spark, out).collect()}
+    assert {u: r.record_type for u, r in rows.items()} == {
+        "http://a/": "response", "http://b/": "response", "http://c/": "revisit", "http://e/x%20y": "revisit", "http://g/": "response"}
+    assert {rows[u].refers_to_record for u in ("http://c/", "http://e/x%20y")} == {rows["http://a/"].record_id}
+    text = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "out").rglob("part-*.gz"))
+    assert b"\r\nX-" not in text and b"WARC-Date: 1999-01-01T00:00:00Z" in text and b"WARC-Date: 1999-02-01T00:00:00Z" in text
+
+
+@pytest.mark.parametrize("page", [0, 1, -1, 2**63 - 1, -(2**63), 12345678901])
+def test_record_ids_hold_the_page(page):
+    made = warc.record_id(page, "", "D")
+    assert warc.page_of(made, "D") == page and warc.page_of(made, "E") is None
+    assert warc.page_of(warc.record_id(None, "p|1", "D"), "D") is None and warc.page_of("<urn:x>", "D") is None and warc.page_of(None, "D") is None
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
 <header><p>Welcome to the best site of all, dear reader. Yes.</p></header><nav><ul><li><a href="/a">Home</a></li></ul></nav>
 <div id="cookie-notice"><p>We use cookies to make this site work better for you.</p></div>
