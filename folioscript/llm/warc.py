@@ -35,7 +35,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import datetime
-from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -150,7 +149,6 @@ def write_arc(pages: DataFrame, path: str, volume_bytes: int = VOLUME_BYTES) ->
     _write(rows, path, "\n")
 
 
-@cache
 def header_pattern(layout: str) -> re.Pattern:
     return re.compile(" ".join("(" + FIELDS.get(n, r"\S+") + ")" for n in layout.split()))
 
@@ -282,7 +280,6 @@ def page_field(fields: dict[str, str]) -> int | None:
     return int(said) if re.fullmatch(r"-?\d{1,19}", said, re.ASCII) and -(1 << 63) <= int(said) < 1 << 63 else None
 
 
-@lru_cache(1 << 12)
 def iso_time(digits: str) -> str:
     """The date of an ARC header as WARC wants it, by as many leading parts as make a date."""
     for n in (14, 12, 10, 8, 6, 4):
