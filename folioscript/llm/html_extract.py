@@ -1,6 +1,6 @@
 """Main-text extraction from HTML by a minimum cut.
 
-A page is cut into blocks, the runs of text between block-level tags. A linear
+A page is cut into blocks, the runs of text between block-level tags. A logistic
 classifier over tag path, class and id words, length and link density gives each
 block the cost of being called boilerplate or content. Those costs are the
 capacities from the source and to the sink; neighbouring blocks, and blocks next
@@ -8,7 +8,20 @@ to one another under the same parent, are joined by smoothness edges that weaken
 with their distance in the tree. The minimum cut is the labelling of least total
 cost: what stays on the source's side is the text. Blocks whose own cost exceeds
 all their edges are labelled first (no cut can differ there); a maximum flow
-separates the rest.
+separates each group of the rest.
+
+Pages that hold one <article> label their own blocks. The weights are learned from at
+most FIT_PAGES of them (lowest hash first) of up to FIT_CHARS characters. The machine
+sees each page with its names, its marks of boilerplate and its tags shown and
+hidden in turn, so that the text itself learns to speak where a page has no telling
+names; a block below a mark of boilerplate is boilerplate whatever its text. The
+strength of the edges is the one of STRENGTHS with the fewest wrong blocks on such
+pages. Without labelled pages PRIOR is used.
+
+A class or id counts as a mark where all its words are marks or PLAIN words; inside
+an article, other compounds ("related-work") are names like any other. A form that
+wraps the page (around an article, main or h1, or around most of the text) is no mark.
+Where the cut leaves nothing, the blocks without mark and with few links are the text.
 
 Each page is a row of its own, so there is no shuffle. Markup is read in one
 linear pass; comments, scripts, styles, form controls and embedded objects go with
@@ -25,13 +38,16 @@ equal rows; null ids and URLs are carried.
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 from collections import deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioscript.llm.common import table, travels
 
@@ -57,6 +73,11 @@ NOISE = ("ad ads adv advert* adsense adslot sponsor* promo* banner* menu* nav na
          "disclaimer* complementary contentinfo search* form skip sitemap outbrain taboola teaser*").split()
 NOISE_WORDS = frozenset(w.rstrip("*") for w in NOISE)
 NOISE_STARTS = tuple(w[:-1] for w in NOISE if w.endswith("*"))
+# Words that may stand beside those in a name without changing its sense.
+PLAIN = frozenset(("area article articles bar block body bottom box break button buttons by col column container content entry global google head header "
+                   "icon icons in info inline inner item items js left link links list main media mid module more news outer page panel post posts "
+                   "primary reader readers right secondary section site slot stories story text thread title top ui unit us user users video "
+                   "wrap wrapper").split())
 BODY_WORDS = frozenset("article content main post entry story articlebody postbody maincontent".split())
 HIDING = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -69,16 +90,26 @@ EMPTY = re.compile(r"(?:^|[\s\"'])/$")
 NAMING = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
-# The classifier's weights; positive speaks for content.
-BIAS, IN_ARTICLE, TEXT_TAG, PER_WORD, MOST_WORDS, SENTENCE, LINKS, NOISY, BODY, TINY = 0.2, 2.5, 0.8, 0.05, 40, 0.3, -3.5, -12.0, 1.0, -0.6
 NEXT, SIBLING = 1.0, 0.5  # smoothness: blocks in sequence, blocks in sequence under the same parent
+FIT_PAGES, FIT_CHARS, RIDGE = 300, 60_000, 1.0
+STRENGTHS = (0.25, 0.5, 1.0, 2.0, 4.0)
+MARKED, TEXTUAL_TAG, NOISY = 1, 2, 7  # columns of ``features``
+
+
+class Model(NamedTuple):
+    """Weights of the features (positive speaks for content) and the strength of the edges."""
+    weights: tuple[float, ...]
+    strength: float
+
+
+PRIOR = Model((0.2, 2.5, 0.8, -0.6, 2.0, 0.9, -3.5, -12.0), 1.0)
 
 
 RAW_GAP = "#"  # stands for an element that is left out
 
 
 class Element:
-    __slots__ = ("apart", "article", "body", "depth", "link", "noisy", "parent", "tag")
+    __slots__ = ("apart", "article", "body", "depth", "form", "link", "noisy", "parent", "tag", "wraps")
 
     def __init__(self, tag: str, attrs: str, parent: Element | None):
         self.tag, self.parent = tag, parent
@@ -88,21 +119,37 @@ class Element:
         self.noisy = bool(parent and parent.noisy)
         self.body = bool(parent and parent.body)
         self.link = tag == "a" or bool(parent and parent.link)
+        self.wraps = False
+        self.form = parent.form if parent else None
+        if tag == "form" and self.form is None:
+            self.form = self
+        elif tag in ("article", "main", "h1") and self.form:
+            self.form.wraps = True
         if tag in ("html", "body") or parent is None:
             return
-        words = set()
+        names: list[set[str]] = []
         if attrs:
             for m in NAMING.finditer(attrs):
-                words |= {w.lower() for w in WORD.findall(m[1] or m[2] or m[3] or "")}
+                names += ({w.lower() for w in WORD.findall(name)} for name in (m[1] or m[2] or m[3] or "").split())
             self.noisy = self.noisy or bool(HIDING.search(attrs))
+        words = set().union(*names)
         about = bool(words & {"article", "entry", "post", "story"})
         heading = tag == "header" or "header" in words
-        self.noisy = (self.noisy or tag in ("nav", "footer", "aside", "form", "dialog", "menu", "search", "fieldset")
+        self.noisy = (self.noisy or tag in ("nav", "footer", "aside", "dialog", "menu", "search", "fieldset")
                       or heading and not (about or self.article)
-                      or words.isdisjoint({"with", "has", "no"}) and any(w in NOISE_WORDS or w.startswith(NOISE_STARTS) for w in words))
+                      or any(self.speaks_noise(n) for n in names))
         self.article = self.article or tag in ("article", "main") or "main" in words and "role" in attrs
         self.body = self.body or bool(words & BODY_WORDS)
 
+    def speaks_noise(self, name: set[str]) -> bool:
+        """Whether the words of one class, id or role mark boilerplate."""
+        marks = {w for w in name if w in NOISE_WORDS or w.startswith(NOISE_STARTS)}
+        if self.tag == "form":  # what it holds decides
+            marks.discard("form")
+        if not marks or not name.isdisjoint({"with", "has", "no"}):
+            return False
+        return not (self.article or self.body) or name - marks <= PLAIN
+
 
 class Block:
     __slots__ = ("chars", "element", "linked", "text")
@@ -220,13 +267,27 @@ def read_blocks(page: str) -> list[Block]:
     return out
 
 
-def content_score(b: Block) -> float:
-    """Cost of calling the block boilerplate minus the cost of calling it content."""
-    e = b.element
-    words = b.text.count(" ") + 1
-    s = BIAS + PER_WORD * min(words, MOST_WORDS) + SENTENCE * min(3, sum(map(b.text.count, ".!?")))
-    s += IN_ARTICLE * e.article + BODY * e.body + TEXT_TAG * (e.tag in TEXTUAL) + TINY * (words < 4)
-    return s + LINKS * (b.linked / b.chars if b.chars else 0.0) * (0.4 if e.article and words > 8 else 1.0) + NOISY * e.noisy
+def features(blocks: list[Block]) -> np.ndarray:
+    """One row per block: constant, marked as article, tag of running text, tiny, words, sentences, share of linked text,
+    marked as boilerplate."""
+    of_form: dict[int, list[int]] = {}
+    for b in blocks:
+        if b.element.form and not b.element.noisy:
+            held = of_form.setdefault(id(b.element.form), [0, 0])
+            held[0] += b.chars - b.linked
+            held[1] += b.text.count(" ") >= 8
+    free = sum(b.chars - b.linked for b in blocks if not b.element.noisy)
+    out = np.zeros((len(blocks), 8))
+    for row, b in zip(out, blocks, strict=True):
+        e, words = b.element, b.text.count(" ") + 1
+        noisy = e.noisy
+        if not noisy and e.form and not e.form.wraps:
+            chars, texts = of_form[id(e.form)]
+            noisy = 2 * chars <= free or texts < 3
+        marked = 1.0 if e.article else 0.5 if e.body else 0.0
+        row[:] = (1, marked, e.tag in TEXTUAL, words < 4, min(words, 40) / 40, min(3, sum(map(b.text.count, ".!?"))) / 3,
+                  (b.linked / b.chars if b.chars else 0.0) * (1 - marked / 2), noisy)
+    return out
 
 
 def distance(a: Element, b: Element) -> int:
@@ -273,10 +334,16 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
                 slack[j] -= c
                 if abs(score[j]) >= slack[j] - 1e-12:
                     ready.append(j)
-    rest = [i for i in range(len(score)) if label[i] is None]
-    if rest:
-        side = source_side({i: score[i] for i in rest}, {i: {j: c for j, c in near[i].items() if label[j] is None} for i in rest})
-        for i in rest:
+    for start in range(len(score)):
+        if label[start] is not None:
+            continue
+        group, seen = [start], {start}
+        for i in group:  # grows by the undecided neighbours
+            fresh = [j for j in near[i] if label[j] is None and j not in seen]
+            seen.update(fresh)
+            group += fresh
+        side = source_side({i: score[i] for i in group}, {i: {j: c for j, c in near[i].items() if j in seen} for i in group})
+        for i in group:
             label[i] = i in side
     return label
 
@@ -312,17 +379,81 @@ def source_side(score: dict[int, float], near: dict[int, dict[int, float]]) -> s
             room[j][i] = room[j].get(i, 0.0) + flow
 
 
-def main_text(page: str | None) -> str:
+def labels(x: np.ndarray, blocks: list[Block], model: Model) -> list[bool]:
+    """Whether each block, described by ``x``, is content."""
+    edges = [(i, j, c * model.strength) for i, j, c in smoothness(blocks)]
+    return min_cut((x @ np.array(model.weights)).tolist(), edges)
+
+
+def main_text(page: str | None, model: Model = PRIOR) -> str:
     blocks = read_blocks(page or "")
-    keep = min_cut([content_score(b) for b in blocks], smoothness(blocks))
+    x = features(blocks)
+    keep = labels(x, blocks, model)
+    if not any(keep):
+        keep = [not noisy and b.linked * 2 < b.chars for b, noisy in zip(blocks, x[:, NOISY], strict=True)]
     return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
-def extract(pages: DataFrame, html: str = "html", keys: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The key columns, ``text`` and ``n_chars`` (code points) of every page."""
+def hide(x: np.ndarray, names: bool, marks: bool, tags: bool) -> np.ndarray:
+    """The features without the article's name, the marks of boilerplate or the tags of running text."""
+    out = x.copy()
+    out[:, [c for c, h in ((MARKED, names), (NOISY, marks), (TEXTUAL_TAG, tags)) if h]] = 0
+    return out
+
+
+def learn(pages: list[str]) -> Model:
+    """The classifier of pages that hold one <article>; PRIOR where they show no content or no boilerplate."""
+    known = []
+    for page in pages:
+        blocks = read_blocks(page)
+        x = features(blocks)
+        known.append((blocks, x, np.array([b.element.article for b in blocks], bool) & (x[:, NOISY] == 0)))
+    if not known:
+        return PRIOR
+    x, y = np.concatenate([k[1] for k in known]), np.concatenate([k[2] for k in known])
+    if y.all() or not y.any():
+        return PRIOR
+    views = [hide(x, *h) for h in itertools.product((False, True), repeat=3)]
+    for marked in (0.0, 1.0):
+        below = x.copy()
+        below[:, NOISY], below[:, MARKED] = 1, marked
+        views.append(below)
+    w = logistic(np.concatenate(views), np.concatenate([y] * 8 + [np.zeros(len(y), bool)] * 2).astype(float))
+
+    def wrong(strength: float) -> int:
+        model = Model(w, strength)
+        return sum(int((np.array(labels(v, blocks, model), bool) != truth).sum())
+                   for blocks, own, truth in known for v in (own, hide(own, True, True, True)))
+
+    return Model(w, min(STRENGTHS, key=lambda s: (wrong(s), s)))
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Weights of a ridge logistic regression by Newton's method."""
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w)), x.T @ (y - p) - RIDGE * w)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return tuple(np.round(w, 6).tolist())
+
+
+def fit(pages: DataFrame, html: str = "html", key: str = "page_id") -> Model:
+    """``learn`` on a bounded sample of the pages that label themselves."""
+    h = F.col(html)
+    some = pages.filter(h.contains("<article") & (F.length(h) <= FIT_CHARS)).select(h.alias("html"), F.xxhash64(h, F.col(key)).alias("draw"))
+    return learn([r.html for r in some.orderBy("draw", "html").limit(FIT_PAGES).collect() if r.html.count("<article") == 1])
+
+
+def extract(pages: DataFrame, html: str = "html", keys: tuple[str, ...] = ("page_id", "url"), model: Model | None = None) -> DataFrame:
+    """The key columns, ``text`` and ``n_chars`` (code points) of every page; the model is learned from the pages where none is given."""
+    model = model or fit(pages, html, keys[0])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x) for x in b.column(len(keys)).to_pylist()]
+            texts = [main_text(x, model) for x in b.column(len(keys)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))],
                                              [*keys, "text", "n_chars"])
 

@@ -116,6 +116,39 @@ def test_article_without_boilerplate():
     assert H.main_text("<p>open <b>tags<p>two<script>x") == "open tags\ntwo"
 
 
+def test_names_and_forms():
+    """Compounds inside an article are no marks unless all their words are; a form around the page is no mark."""
+    inside = """<article><h1>T</h1><div class="related-work"><p>Earlier work did this.</p></div><section class="social-history"><p>Social history of a town.</p>
+</section><div class="related-posts"><p>Read more here, now.</p></div><div class="reader-comments"><p>A very long comment. It goes on and on.</p></div><p>End.</p></article>"""
+    assert H.main_text(inside).split("\n") == ["T", "Earlier work did this.", "Social history of a town.", "End."]
+    long = "The text of the page stands in a form. It is long."
+    assert H.main_text(f'<form id="aspnetForm"><nav><a href=x>Home</a></nav><div>{f"<p>{long}</p>" * 3}</div></form>') == "\n".join([long] * 3)
+    assert H.main_text('<form id="aspnetForm"><h1>Title</h1><p>One.</p></form><form><p>Sign here</p></form>') == "Title\nOne."
+
+
+def test_learned_weights_and_what_the_cut_gains():
+    """On pages that the fit has not seen: no wrong block as they are; without names, marks and tags the cut mends labels."""
+    import pyarrow.parquet as pq
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist()
+    half = len(pages) // 2
+    model = H.learn(pages[:half])
+    assert model != H.PRIOR and model == H.learn(pages[:half])
+    wrong = {"as is": [0, 0], "bare": [0, 0]}
+    changed = 0
+    for page in pages[half:]:
+        blocks = H.read_blocks(page)
+        x = H.features(blocks)
+        truth = np.array([b.element.article for b in blocks]) & (x[:, H.NOISY] == 0)
+        for name, v in (("as is", x), ("bare", H.hide(x, True, True, True))):
+            sign, cut = v @ np.array(model.weights) > 0, np.array(H.labels(v, blocks, model), bool)
+            wrong[name][0] += int((sign != truth).sum())
+            wrong[name][1] += int((cut != truth).sum())
+            changed += int((sign != cut).sum())
+    assert wrong["as is"] == [0, 0] and changed > 50 and wrong["bare"][1] < 0.8 * wrong["bare"][0], (wrong, changed)
+    assert H.main_text(PAGE, model) == H.main_text(PAGE)
+    assert H.learn([]) == H.learn(["", "<p>no article</p>"]) == H.PRIOR
+
+
 def test_cut_is_minimal():
     rng = random.Random(1)
     for _ in range(200):
