@@ -441,10 +441,15 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 
 def fit(pages: DataFrame, html: str = "html", key: str = "page_id") -> Model:
-    """``learn`` on a bounded sample of the pages that label themselves."""
+    """``learn`` on a bounded sample of the pages that label themselves. The sample's bound is found on hashes alone, so
+    that no task hands more than those to the next; then only the chosen pages are fetched, repeated rows once."""
     h = F.col(html)
-    some = pages.filter(h.contains("<article") & (F.length(h) <= FIT_CHARS)).select(h.alias("html"), F.xxhash64(h, F.col(key)).alias("draw"))
-    return learn([r.html for r in some.orderBy("draw", "html").limit(FIT_PAGES).collect() if r.html.count("<article") == 1])
+    known = pages.filter(h.contains("<article") & (F.length(h) <= FIT_CHARS)).select(h.alias("html"), F.xxhash64(h, F.col(key)).alias("draw"))
+    last = known.select("draw").orderBy("draw").limit(FIT_PAGES).agg(F.max("draw")).first()[0]
+    if last is None:
+        return PRIOR
+    chosen = known.filter(F.col("draw") <= last).groupBy("draw").agg(F.min("html").alias("html")).collect()
+    return learn([r.html for r in sorted(chosen) if r.html.count("<article") == 1])
 
 
 def extract(pages: DataFrame, html: str = "html", keys: tuple[str, ...] = ("page_id", "url"), model: Model | None = None) -> DataFrame:
