@@ -250,6 +250,23 @@ def hash_of(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
 
+def fitting(at: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The sentences a machine is trained on, ``at`` naming the document of each: all, or an even choice of FIT_SENTENCES.
+
+    Either kind of document has at least half the room if it needs it. Toxic documents stay whole, or the sentence that made them so could be missing.
+    """
+    bad, good = np.flatnonzero(toxic[at]), np.flatnonzero(~toxic[at])
+    if len(at) > FIT_SENTENCES:
+        own, size = np.unique(at[bad], return_counts=True)
+        room = max(FIT_SENTENCES // 2, FIT_SENTENCES - len(good))
+        if len(bad) > room:
+            n = max(1, int(room / size.mean()))
+            bad = bad[np.isin(at[bad], own[np.linspace(0, len(own) - 1, min(n, len(own))).astype(int)])]
+        room = max(FIT_SENTENCES // 2, FIT_SENTENCES - len(bad))
+        good = good[np.linspace(0, len(good) - 1, min(room, len(good))).astype(int)]
+    return np.sort(np.concatenate([bad, good]))
+
+
 def machine(docs: list, toxic: np.ndarray, rows: list[int]) -> tuple[Model, dict[str, float]]:
     """The word machine trained on the documents in ``rows``, and its telling words."""
     words, odds = pick_landmarks([docs[i] for i in rows], toxic[rows])
@@ -264,11 +281,8 @@ def machine(docs: list, toxic: np.ndarray, rows: list[int]) -> tuple[Model, dict
         sents += d
         at += [i] * len(d)
     at = np.array(at)
-    if len(sents) > FIT_SENTENCES:  # all of toxic documents, an even choice of the others
-        clean = np.flatnonzero(~known[at])
-        room = max(1, FIT_SENTENCES - int(known[at].sum()))
-        keep = np.sort(np.concatenate([np.flatnonzero(known[at]), clean[np.linspace(0, len(clean) - 1, min(room, len(clean))).astype(int)]]))
-        sents, at = [sents[k] for k in keep], at[keep]
+    keep = fitting(at, known)
+    sents, at = [sents[k] for k in keep], at[keep]
     vocabulary = list(dict.fromkeys(trimmed(w)[:WINDOW] for s in sents for w in s))
     place = {w: k for k, w in enumerate(vocabulary)}
     kernels = np.concatenate([marks.kernel(vocabulary[lo : lo + 8192]).astype(np.float32) for lo in range(0, len(vocabulary), 8192)])

@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,3 +233,25 @@ def test_every_occurrence_draws_its_own_skips(monkeypatch):
         want = [sentencepiece_bpe.segment(c.replace(" ", "▁"), v.ranks, 0.3, int(k)) if c != "▁" else ["\0▁"] for c, k in zip(*encoder.occurrences(t), strict=True)]
         ids = [x for pieces in want for p in pieces for x in ([v.ids[p]] if p in v.ids else [v.byte_ids[b] for b in p.removeprefix("\0").encode()] if p[0] != "\0" or len(p) > 1 else [v.byte_ids[0]])]
         assert encoder.encode(t).tolist() == ids and by[stream].encode(t).tolist() == ids
+
+
+def test_toxicity_learns_from_both_kinds_when_the_sentences_are_bounded(monkeypatch):
+    """Toxic documents alone fill the bound: clean ones still teach, and held-out texts are ranked."""
+    rng = random.Random(17)
+
+    def text(bad):
+        lines = [prose(rng, 6) for _ in range(8)]
+        if bad:
+            lines[rng.randrange(8)] += " you moron " + rng.choice(["idiot", "scum"])
+        return ". ".join(lines)
+
+    labels = [int(k % 2 == 0) for k in range(240)]
+    texts = [text(y) for y in labels]
+    monkeypatch.setattr(toxicity, "FIT_SENTENCES", 600)
+    at = [i for i, t in enumerate(texts) for _ in t.split(". ")]
+    keep = toxicity.fitting(np.array(at), np.array(labels, bool))
+    assert len(keep) <= 600 and 200 <= sum(labels[at[k]] for k in keep) <= 300
+    model = toxicity.fit(texts[:160], labels[:160])
+    s = model.scores(texts[160:], {})
+    good, bad = ([x for x, y in zip(s, labels[160:], strict=True) if y == k] for k in (0, 1))
+    assert max(good) < toxicity.THRESHOLD <= min(bad)
