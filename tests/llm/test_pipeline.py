@@ -4,7 +4,7 @@ import random
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from folioscript.llm import decontamination, sentencepiece_bpe, simhash, toxicity
+from folioscript.llm import decontamination, near_dedup, sentencepiece_bpe, simhash, toxicity
 from test_texts import brute_lines
 
 DIR = "/root/testdata/sf0.001"
@@ -104,3 +104,25 @@ def test_leaks_go_by_row(spark, make_docs):
     rows = [(None, leak), (None, "clean text of no one"), (1, leak), (1, "another text under this key"), (2, None)]
     got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_leaked(spark, make_docs(rows), DIR).collect()]
     assert sorted(got, key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+
+
+def test_near_dedup_takes_its_first_candidates_from_simhash(spark, make_docs, monkeypatch):
+    draw = random.Random(11)
+    prints = [draw.getrandbits(62) for _ in range(30)]
+    prints += [p ^ 1 << draw.randrange(62) ^ 1 << draw.randrange(62) for p in prints[:20]] + prints[5:9] + [prints[20] ^ 7]
+    pairs = {(r.sid, r.xsid) for r in near_dedup.simhash_pairs(spark.createDataFrame(list(enumerate(prints)), "sid long, fp long")).collect()}
+    root = list(range(len(prints)))
+    for _ in prints:
+        root = [min(root[j] for j in range(len(prints)) if j == i or (i, j) in pairs or (j, i) in pairs) for i in range(len(prints))]
+    want = list(range(len(prints)))
+    for _ in prints:
+        want = [min(want[j] for j in range(len(prints)) if (prints[i] ^ prints[j]).bit_count() <= 2) for i in range(len(prints))]
+    assert root == want and len(set(root)) < len(prints) - 20 and all(a < b for a, b in pairs)
+
+    seen = []
+    true_pairs = near_dedup.simhash_pairs
+    monkeypatch.setattr(near_dedup, "simhash_pairs", lambda p: seen.append({r.fp for r in p.collect()}) or true_pairs(p))
+    texts = ["one two three four five six seven", "one two three four five six eight", "ONE two  three four five six\nseven"]
+    got = corpus_pipeline.drop_near_duplicates(spark, make_docs(list(enumerate(texts))), DIR)
+    assert sorted(r.doc_id for r in got.collect()) == [0, 1]
+    assert {f % (1 << 64) for f in seen[0]} == {simhash.fingerprint(t, 5) for t in texts[:2]}
