@@ -100,10 +100,9 @@ def intro_key(intro: Column, brief: Column, voice_id: Column, settings: list[Col
 def probe_cache(plan: DataFrame, clips: DataFrame) -> DataFrame:
     """Add ``is_cached``; of several lines with one new key only the first is rendered."""
     known = clips.select("cache_key", F.lit(True).alias("_known"))
-    first = plan.groupBy("cache_key").agg(F.min(F.struct("chapter_id", "idx")).alias("_f")).select(
-        "cache_key", "_f.chapter_id", "_f.idx", F.lit(True).alias("_first"))
-    df = plan.join(known, "cache_key", "left").join(first, ["cache_key", "chapter_id", "idx"], "left")
-    return df.withColumn("is_cached", F.col("_known").isNotNull() | F.col("_first").isNull()).drop("_known", "_first")
+    keys = plan.groupBy("cache_key").agg(F.min(F.struct("chapter_id", "idx")).alias("_f")).join(known, "cache_key", "left")
+    first = F.coalesce((F.col("chapter_id") == F.col("_f.chapter_id")) & (F.col("idx") == F.col("_f.idx")), F.lit(False))
+    return plan.join(keys, "cache_key", "left").withColumn("is_cached", F.col("_known").isNotNull() | ~first).drop("_known", "_f")
 
 
 def fresh_cost(probed: DataFrame) -> DataFrame:
