@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from folioscript.operators import status as S
 from folioscript.plans import status_queries as SQ
 from folioscript.plans.status_queries import EVENTS_AS_OF, GAP_SEC, events_as_updates
-from folioscript.session import shared_dir
+from folioscript.session import cut_lineage, shared_dir
 from folioscript.sources.model import Model
 from folioscript.sources.sql_model import with_model
 from folioscript.streaming import jobs as J
@@ -89,7 +89,7 @@ def stream_reconcile(spark, d):
     m = Model(spark, d)
     root = shared_dir(spark, "reconcile")
     stream, late = scattered(m)
-    jobs = logged_jobs(m)
+    jobs = cut_lineage(logged_jobs(m), "jobs")
     J.start_reconcile(stream, root, late, m.books, m.chapters, m.segments, m.characters, jobs, GAP_SEC).awaitTermination()
     failed, chapters, books = (t.read() for t in J.reconcile_tables(spark, root))
     return SQ.reconciled_rows(failed, chapters, books)

@@ -1,10 +1,10 @@
-"""Job update log as a stream: lifecycle, silence and status changes on keyed state, progress, latest rows.
+"""Job update log as a stream: lifecycle, silence and status changes, progress, latest rows.
 
 :func:`follow` holds a job's updates until the watermark has passed them, then applies
 them in the order of the log, so that late and replayed updates end in what the batch
 operators of :mod:`folioscript.operators.status` give for the whole log. What may still
-be late bounds the state of a job. A timer in event time reports silence without any
-further update of that job: the watermark alone, moved on by other jobs, fires it.
+be late bounds the state of a job. Silence is reported without any further update of
+that job: the watermark alone, moved on by other jobs, fires it.
 
 Updates later than the watermark allows are dropped. ``seq`` is the place of an update
 in its job's log and never falls as time goes on; a second update of one place is a
@@ -13,23 +13,20 @@ replay. Progress never goes back, so for it order does not matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folioscript.operators import status as S
-from folioscript.session import cut_lineage, travels
+from folioscript.session import cut_lineage
 from folioscript.sources.sinks import StoredTable
 
-travels(__name__)
 EVENT_SCHEMA = "job_id long, seq long, ts_s long, status string, done long, chars_used long, note string"
 FACTS = "job_id long, fact string, seq long, ts_s long, from_status string, status string"
-HELD = ("seqs array<bigint>, times array<bigint>, statuses array<string>, seq long, ts_s long, status string, "
-        "started long, ended long, lost boolean, quiet long")
+KNOWN = ("job_id long, seq long, ts_s long, status string, origin int, started long, ended long, lost boolean, quiet boolean, "
+         "facts array<struct<fact: string, seq: long, ts_s: long, from_status: string, status: string>>")
 PROGRESS = "job_id long, done long, chars_used long, note string, note_seq long"
 LATEST = "job_id long, seq long, status string, done long"
 TERMINAL = ("completed", "failed", "cancelled")
@@ -39,103 +36,89 @@ def with_watermark(stream: DataFrame, lateness_s: int) -> DataFrame:
     return stream.withColumn("at", F.timestamp_seconds("ts_s")).withWatermark("at", f"{lateness_s} seconds")
 
 
-class Lifecycle:
-    """What is known of one job; ``apply`` takes its updates in order and notes the facts that follow."""
+def known_before(spark, root: str, n: int) -> DataFrame:
+    """What batch ``n`` starts from: held updates, the last applied one of each job, and the clock (a row without a job)."""
+    return spark.read.schema(KNOWN).parquet(f"{root}/known/{(n - 1) % 2}") if n else spark.createDataFrame([], KNOWN)
 
-    def __init__(self, known: tuple | None, timeout: int):
-        known = known or ([], [], [], None, None, None, None, None, False, None)
-        self.held = dict(zip(known[0], zip(known[1], known[2], strict=True), strict=True))
-        self.seq, self.ts, self.status, self.started, self.ended, self.lost, self.quiet = known[3:]
-        self.timeout, self.facts = timeout, []
 
-    def state(self) -> tuple:
-        held = sorted(self.held.items())
-        return ([s for s, _ in held], [t for _, (t, _) in held], [x for _, (_, x) in held],
-                self.seq, self.ts, self.status, self.started, self.ended, self.lost, self.quiet)
+def advance(known: DataFrame, batch: DataFrame, lateness_s: int, timeout: int) -> DataFrame:
+    """``known`` after the updates in ``batch``, with the facts that follow, by one sort of (job, place).
 
-    def hold(self, seq: int, ts: int, status: str) -> None:
-        if self.seq is None or seq > self.seq:
-            self.held.setdefault(seq, (ts, status))
-
-    def note(self, fact: str, seq: int, ts: int, before: str | None, status: str) -> None:
-        self.facts.append((fact, seq, ts, before, status))
-
-    def silence_until(self, now: int) -> None:
-        """The last applied update is followed by no other one before ``now``."""
-        if self.seq is None or now - self.ts < self.timeout or self.quiet == self.seq:
-            return
-        self.quiet = self.seq
-        if self.status == "running":
-            self.note("silent", self.seq, self.ts, None, "running")
-        if self.started is not None and self.ended is None and not self.lost:
-            self.lost = True  # started, not ended, no word for too long: failed where the timer ran out
-            self.note("lost", self.seq, self.ts + self.timeout, "running", "failed")
-
-    def apply(self, seq: int, ts: int, status: str) -> None:
-        self.silence_until(ts)
-        if self.status != status:
-            self.note("change", seq, ts, self.status, status)
-        if self.started is None and status == "running":
-            self.started = seq
-            self.note("started", seq, ts, None, "running")
-        if self.ended is None and (status == "cancelled" or (status in TERMINAL and self.started is not None and seq > self.started)):
-            self.ended = seq
-            self.note("ended", seq, ts, None, status)
-        if self.seq is None:
-            self.note("seen", seq, ts, None, status)
-        self.seq, self.ts, self.status = seq, ts, status
-
-    def advance(self, watermark: int) -> int | None:
-        """Apply what the watermark (seconds) has passed; the time at which to look again, if any."""
-        for seq in sorted(self.held):
-            ts, status = self.held[seq]
-            if ts > watermark:
-                break
-            del self.held[seq]
-            self.apply(seq, ts, status)
-        self.silence_until(watermark)
-        waits = [t for t, _ in self.held.values()]
-        if self.seq is not None and self.quiet != self.seq:
-            waits.append(self.ts + self.timeout)
-        return min(waits, default=None)
-
-
-def follow(stream: DataFrame, lateness_s: int, timeout: int = S.STALE_AFTER_SEC) -> DataFrame:
-    """Facts about every job, each once, as soon as the watermark allows: (job_id, fact, seq, ts_s, from_status, status).
+    Of a job, first comes what is known of it, then its updates in the order of their places. Up to the first one
+    that the watermark has not passed they are applied; that one and those behind it stay held.
+    """
+    clock = known.filter("job_id IS NULL").agg(F.max("ts_s")).first()[0]
+    latest = max((t for t in (clock, batch.agg(F.max("ts_s")).first()[0]) if t is not None), default=None)
+    mark, late = (F.lit(None if t is None else t - lateness_s).cast("long") for t in (latest, clock))
+    new = batch.filter("job_id IS NOT NULL").filter(F.coalesce(F.col("ts_s") > late, F.lit(True))).select("job_id", "seq", "ts_s", "status", F.lit(2).alias("origin"))
+    rows = known.filter("job_id IS NOT NULL AND origin IS NOT NULL").drop("facts").unionByName(new, allowMissingColumns=True)
+
+    order = Window.partitionBy("job_id").orderBy(F.col("origin") > 0, "seq", "origin")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    update = F.col("origin") > 0
+    rows = rows.withColumns({"_at": F.first(F.when(~update, F.col("seq")), ignorenulls=True).over(so_far), "_last": F.lag(F.when(update, F.col("seq"))).over(order)})
+    rows = rows.filter(~update | (F.coalesce(F.col("seq") > F.col("_at"), F.lit(True)) & ~F.coalesce(F.col("seq") == F.col("_last"), F.lit(False))))
+
+    ahead = F.coalesce(update & (F.col("ts_s") > mark), F.lit(False))
+    begun = F.when(update, F.when(F.col("status") == "running", F.col("seq"))).otherwise(F.col("started"))
+    rows = rows.withColumns({"held": F.max(ahead).over(so_far), "started": F.min(begun).over(so_far),
+                             "_from": F.lag("status").over(order), "_seen": F.lag(F.lit(True)).over(order).isNull()})
+    over = (F.col("status") == "cancelled") | (F.col("status").isin(*TERMINAL) & (F.col("seq") > F.col("started")))
+    rows = rows.withColumns({"ended": F.min(F.when(update, F.when(over, F.col("seq"))).otherwise(F.col("ended"))).over(so_far),
+                             "_newest": F.coalesce(F.lead("held").over(order), F.lit(True)), "_next": F.lead("ts_s").over(order)})
+    silence = F.coalesce(F.when(F.col("_newest"), mark).otherwise(F.col("_next")) - F.col("ts_s") >= timeout, F.lit(False))
+    rows = rows.withColumn("_quiet", ~F.col("held") & silence).withColumn("_falls", F.col("_quiet") & ~(~update & F.coalesce("quiet", F.lit(False))))
+    gone = F.col("_falls") & F.col("started").isNotNull() & F.col("ended").isNull()
+    known_lost = ~update & F.coalesce("lost", F.lit(False))
+    rows = rows.withColumn("_lost", gone | known_lost)
+    dies = gone & ~known_lost & ~F.coalesce(F.max("_lost").over(before), F.lit(False))
+
+    applied = update & ~F.col("held")
+    fact = lambda when, name, came, status, ts=F.col("ts_s"): F.when(when, F.struct(F.lit(name).alias("fact"), F.col("seq"), ts.alias("ts_s"), came.alias("from_status"), status.alias("status")))
+    none, running = F.lit(None).cast("string"), F.lit("running")
+    found = F.filter(F.array(
+        fact(applied & ~F.col("_from").eqNullSafe(F.col("status")), "change", F.col("_from"), F.col("status")),
+        fact(applied & (F.col("started") == F.col("seq")), "started", none, running),
+        fact(applied & (F.col("ended") == F.col("seq")), "ended", none, F.col("status")),
+        fact(applied & F.col("_seen"), "seen", none, F.col("status")),
+        fact(F.col("_falls") & (F.col("status") == "running"), "silent", none, running),
+        fact(dies, "lost", running, F.lit("failed"), F.col("ts_s") + timeout)), lambda x: x.isNotNull())
+    out = rows.withColumns({"lost": F.max("_lost").over(so_far), "facts": found})
+    keeps = F.when(F.col("held"), 1).when(F.col("_newest"), 0)  # others are applied and followed by another applied one: only their facts remain
+    blank = lambda c: F.when(keeps == 0, F.col(c))
+    out = out.select("job_id", "seq", "ts_s", "status", keeps.alias("origin"), blank("started").alias("started"), blank("ended").alias("ended"),
+                     blank("lost").alias("lost"), blank("_quiet").alias("quiet"), "facts").filter(F.col("origin").isNotNull() | (F.size("facts") > 0))
+    time = known.sparkSession.range(1).select(F.lit(latest).cast("long").alias("ts_s"))
+    return out.unionByName(time, allowMissingColumns=True)
+
+
+def follow(stream: DataFrame, root: str, lateness_s: int, handle: Callable[[DataFrame, int], None], timeout: int = S.STALE_AFTER_SEC) -> StreamingQuery:
+    """Give ``handle`` the facts about every job, each once, as soon as the watermark allows: (job_id, fact, seq, ts_s, from_status, status).
 
     ``seen``: its first update. ``change``: a status unlike the one before. ``started``, ``ended``: first running and first
     accepted terminal update. ``silent``: a running update followed by ``timeout`` seconds without another. ``lost``: a started job
     that has not ended falls silent and fails, at ts_s. Rows without a job_id only move the watermark on, like a clock.
+
+    What is known lies below ``root`` in two places that batches use in turn, so a repeated batch starts from what the one before it left.
     """
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if pd.isna(key[0]):
-            return
-        job = Lifecycle(state.get if state.exists else None, timeout)
-        for part in parts:
-            for seq, ts, status in zip(part["seq"].tolist(), part["ts_s"].tolist(), part["status"].tolist(), strict=True):
-                job.hold(seq, ts, status)
-        passed = state.getCurrentWatermarkMs()
-        again = job.advance(passed // 1000)
-        state.update(job.state())
-        if again is not None:
-            state.setTimeoutTimestamp(max(again * 1000, passed + 1))
-        if job.facts:
-            facts = pd.DataFrame(job.facts, columns=["fact", "seq", "ts_s", "from_status", "status"])
-            facts.insert(0, "job_id", key[0])
-            yield facts
-
-    rows = with_watermark(stream, lateness_s).select("job_id", "seq", "ts_s", "status", "at")
-    return rows.groupBy("job_id").applyInPandasWithState(run, FACTS, HELD, "append", GroupStateTimeout.EventTimeTimeout)
+    spark = stream.sparkSession
+
+    def run(batch: DataFrame, n: int) -> None:
+        place = f"{root}/known/{n % 2}"
+        advance(known_before(spark, root, n), batch, lateness_s, timeout).write.mode("overwrite").option("compression", "zstd").parquet(place)
+        handle(spark.read.schema(KNOWN).parquet(place).select("job_id", F.inline("facts")), n)
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
 
 
 def start_facts(stream: DataFrame, root: str, lateness_s: int, timeout: int = S.STALE_AFTER_SEC) -> StreamingQuery:
-    """Keep the facts of ``stream`` below ``root``; a file sink, so each is kept once however often a batch is run."""
-    return (follow(stream, lateness_s, timeout).writeStream.format("parquet").outputMode("append")
-            .option("path", f"{root}/facts").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    """Keep the facts of ``stream`` below ``root``, those of a batch in a place of its own, so each is kept once however often a batch is run."""
+    return follow(stream, root, lateness_s, lambda found, n: found.write.mode("overwrite").parquet(f"{root}/facts/batch={n}"), timeout)
 
 
 def facts(spark, root: str) -> DataFrame:
-    return spark.read.schema(FACTS).parquet(f"{root}/facts")
+    return spark.read.schema(FACTS).parquet(f"{root}/facts").drop("batch")
 
 
 def status_changes(found: DataFrame) -> DataFrame:
@@ -168,21 +151,22 @@ def start_reconcile(stream: DataFrame, root: str, lateness_s: int, books: DataFr
     spark = books.sparkSession
     failed, chapter_table, book_table = reconcile_tables(spark, root)
 
-    def handle(batch: DataFrame, n: int) -> None:
-        dead = lost(batch)
+    def handle(found: DataFrame, n: int) -> None:
+        dead = lost(found)
         if alive is not None:
             dead = dead.join(alive, "id", "left_anti")
+        if dead.isEmpty():
+            return
         failed.upsert(S.failed_jobs(jobs, dead), version=n)
         hit = cut_lineage(jobs.join(dead.select("id"), "id", "left_semi").select("book_id", "chapter_id"), "hit")
         all_failed = failed.read()
         ch, bk = S.roll_back(
             books.join(hit.select(F.col("book_id").alias("id")), "id", "left_semi"), chapters.join(hit.select(F.col("chapter_id").alias("id")), "id", "left_semi"),
-            segments, cast, S.overlay(jobs, all_failed, "id", ["status", "note", "error"]), all_failed.select("id"))
+            segments.join(hit.select("chapter_id"), "chapter_id", "left_semi"), cast, S.overlay(jobs, all_failed, "id", ["status", "note", "error"]), all_failed.select("id"))
         chapter_table.upsert(ch, version=n)
         book_table.upsert(bk, version=n)
 
-    return (follow(stream, lateness_s, timeout).filter("fact = 'lost'").writeStream.outputMode("append").foreachBatch(handle)
-            .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    return follow(stream, root, lateness_s, handle, timeout)
 
 
 def reconcile_tables(spark, root: str) -> tuple[StoredTable, StoredTable, StoredTable]:

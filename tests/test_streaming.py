@@ -116,3 +116,18 @@ def test_stale_jobs_need_silence_and_a_dead_run(spark):
     runs = spark.createDataFrame([("a", "running"), ("b", "completed"), ("d", "pending")], "run_id string, state string")
     assert rows(S.stale_jobs(jobs, runs, 100).select("id")) == ["(2,)", "(3,)", "(4,)"]
     assert S.stale_jobs(jobs, runs, 90).count() == 0  # exactly 90 seconds are not too long
+
+
+def test_updates_of_all_jobs_are_applied_without_a_python_call_per_job(spark, tmp_path):
+    put = lambda *e: spark.createDataFrame(list(e), J.EVENT_SCHEMA)
+    first = put((1, 1, 100, "queued", 0, 0, ""), (1, 2, 110, "running", 0, 0, ""), (1, 2, 110, "running", 0, 0, ""), (2, 3, 190, "running", 0, 0, ""), clock(195))
+    after = J.advance(J.known_before(spark, str(tmp_path), 0), first, 10, 90)
+    assert "Python" not in after._jdf.queryExecution().toString() and "Pandas" not in after._jdf.queryExecution().toString()
+    after.write.parquet(str(tmp_path / "known" / "0"))
+    facts = lambda df: sorted(tuple(r) for r in df.select("job_id", F.inline("facts")).select("job_id", "fact", "seq", "ts_s", "status").collect())
+    assert facts(after) == [(1, "change", 1, 100, "queued"), (1, "change", 2, 110, "running"), (1, "seen", 1, 100, "queued"), (1, "started", 2, 110, "running")]
+    known = J.known_before(spark, str(tmp_path), 1)
+    second = put((1, 2, 110, "running", 0, 0, ""), (1, 4, 220, "completed", 1, 0, ""), (3, 5, 185, "running", 0, 0, ""), clock(290))  # the first is a replay, that of job 3 too late
+    assert facts(J.advance(known, second, 10, 90)) == [
+        (1, "change", 4, 220, "completed"), (1, "ended", 4, 220, "completed"), (1, "lost", 2, 200, "failed"), (1, "silent", 2, 110, "running"),
+        (2, "change", 3, 190, "running"), (2, "lost", 3, 280, "failed"), (2, "seen", 3, 190, "running"), (2, "silent", 3, 190, "running"), (2, "started", 3, 190, "running")]
