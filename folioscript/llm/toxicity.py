@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -65,6 +66,12 @@ def sentences(text: str | None) -> list[list[str]]:
     return out
 
 
+def shared_words(texts: list[str | None]) -> list[list[list[str]]]:
+    """The sentences of each text; a word is held once, however often it occurs."""
+    held: dict[str, str] = {}
+    return [[[held.setdefault(w, w) for w in s] for s in sentences(t)] for t in texts]
+
+
 def spelled_out(words: list[str]) -> list[str]:
     """Runs of three or more single letters, each as one word."""
     runs = "".join(w if len(w) == 1 and w.isalpha() else " " for w in words).split()
@@ -136,7 +143,9 @@ class Landmarks:
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, share: np.ndarray, regular: float) -> np.ndarray:
     """Weights (last: bias) that minimise the weighted squared hinge loss, by Newton steps."""
-    a = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1).astype(np.float64)
+    a = np.ones((len(x), x.shape[1] + 1))
+    a[:, :-1] = x
+    del x
     w = np.zeros(a.shape[1])
     ridge = np.full(len(w), regular)
     ridge[-1] = 1e-9
@@ -145,7 +154,9 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, share: np.ndarray, regular: floa
         on = gap > 0
         b, s = a[on], share[on]
         gradient = ridge * w - 2 * b.T @ (s * y[on] * gap[on])
-        step = np.linalg.solve(2 * (b * s[:, None]).T @ b + np.diag(ridge), gradient)
+        weighed = b * s[:, None]
+        step = np.linalg.solve(2 * weighed.T @ b + np.diag(ridge), gradient)
+        del b, weighed
         w -= step
         if np.abs(step).max() < 1e-7:
             break
@@ -230,7 +241,7 @@ def disturbed(doc: list[list[str]], chosen) -> list[list[str]]:
             if len(w) > 3 and chosen(w):
                 h = hash_of(f"{w}{nth}")
                 at = 1 + h % (len(w) - 1)
-                w = w[:at] + "-.*_x"[h // 64 % 5] + w[at:]
+                w = sys.intern(w[:at] + "-.*_x"[h // 64 % 5] + w[at:])
             now.append(w)
         out.append(now)
     return out
@@ -286,7 +297,11 @@ def machine(docs: list, toxic: np.ndarray, rows: list[int]) -> tuple[Model, dict
     vocabulary = list(dict.fromkeys(trimmed(w)[:WINDOW] for s in sents for w in s))
     place = {w: k for k, w in enumerate(vocabulary)}
     kernels = np.concatenate([marks.kernel(vocabulary[lo : lo + 8192]).astype(np.float32) for lo in range(0, len(vocabulary), 8192)])
-    x = np.stack([kernels[[place[trimmed(w)[:WINDOW]] for w in s]].sum(axis=0) for s in sents]) @ root
+    sums = np.empty((len(sents), len(words)), np.float32)
+    for k, s in enumerate(sents):
+        sums[k] = kernels[[place[trimmed(w)[:WINDOW]] for w in s]].sum(axis=0)
+    x = sums @ root
+    del sums, kernels
     score = np.array([max(odds.get(trimmed(w), 0.0) for w in s) for s in sents])
     clean = np.flatnonzero(~known[at])
     groups = [np.flatnonzero(at == i) for i in sorted(set(at[known[at]].tolist()))]
@@ -303,7 +318,7 @@ def machine(docs: list, toxic: np.ndarray, rows: list[int]) -> tuple[Model, dict
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Train on labelled texts. The logistic function is fitted on figures that machines trained without the document gave it."""
     toxic = np.array(labels, bool)
-    docs = [sentences(t) for t in texts]
+    docs = shared_words(texts)
     rows = [i for i in range(len(docs)) if docs[i]]
     order = {i: k for kind in (True, False) for k, i in enumerate(i for i in rows if toxic[i] == kind)}
     if not rows or toxic[rows].all() or toxic[rows].sum() < FOLDS:
