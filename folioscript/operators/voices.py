@@ -215,10 +215,16 @@ def settle_voices(cast: DataFrame, voices: DataFrame, fixed: DataFrame | None =
     turns = cut_lineage(O.dense_index(open_rows, ["book_id", "cls"], [F.col("position")], "turn", O.rank_block(F.col("position"))), "turns")
     contested = turns.filter("turn < size")
     reach = contested.groupBy("book_id", "cls").agg((F.max("position") + 1).alias("reach"))
-    steps = contested.select("book_id", "id", "position", "cls", F.lit(None).cast("string").alias("voice_id")).unionByName(
-        holders.select("book_id", F.lit(None).cast("long").alias("id"), "position", F.lit(None).cast("string").alias("cls"), "voice_id"))
-    needed = cut_lineage(reach.join(entries.select("cls", "r", "voice_id"), "cls").filter("r < reach").select("book_id", "cls", "r", "voice_id"), "needed")
-    walked = steps.groupBy("book_id").cogroup(needed.groupBy("book_id")).applyInPandas(_take_in_order, "book_id long, id long, voice_id string")
+    # The walk sees numbers instead of names; a voice that is in no pool cannot be in anyone's way.
+    voice_numbers = cut_lineage(entries.select("voice_id").distinct().withColumn("voice", F.monotonically_increasing_id()), "voice_numbers")
+    kinds = cut_lineage(entries.select("cls").distinct().withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    steps = contested.join(kinds, "cls").select("book_id", "id", "position", "kind", F.lit(-1).cast("long").alias("voice")).unionByName(
+        holders.join(voice_numbers, "voice_id").select("book_id", F.lit(0).cast("long").alias("id"), "position", F.lit(-1).cast("long").alias("kind"), "voice"))
+    numbered = entries.join(voice_numbers.withColumnRenamed("voice_id", "_named"), F.col("voice_id").eqNullSafe(F.col("_named"))).join(kinds, "cls")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("r", "voice"))), lambda x: x["voice"])
+    needed = cut_lineage(reach.join(numbered.select("cls", "kind", "r", "voice"), "cls").filter("r < reach").groupBy("book_id", "kind").agg(ordered.alias("voices")), "needed")
+    walked = steps.groupBy("book_id").cogroup(needed.groupBy("book_id")).applyInPandas(_take_in_order, "book_id long, id long, voice long").join(
+        voice_numbers, "voice").select("book_id", "id", "voice_id")
     late = turns.filter("turn >= size").select("book_id", "id", F.col("first").alias("voice_id"))
     held = rows.filter("fixed_id IS NOT NULL").select("book_id", "id", F.col("fixed_id").alias("voice_id"))
     return walked.unionByName(late).unionByName(held)
@@ -230,23 +236,26 @@ def distinct_voices(cast: DataFrame, voices: DataFrame) -> DataFrame:
 
 
 def _take_in_order(steps: pd.DataFrame, pools: pd.DataFrame) -> pd.DataFrame:
-    """Walk the steps of one book by position; a step with a voice takes it, others take the first free one of their class."""
-    by = {c: p.sort_values("r")["voice_id"].tolist() for c, p in pools.groupby("cls")}
+    """Walk the steps of one book by position; a step with a voice takes it, others take the first free one of their kind.
+
+    ``pools`` holds one array of numbers per kind, so a voice costs eight bytes in each pool it is in.
+    """
+    by = dict(zip(pools["kind"].tolist(), pools["voices"], strict=True))
     at = dict.fromkeys(by, 0)
-    taken: set[str] = set()
+    taken: set[int] = set()
     out = []
     for row in steps.sort_values("position").itertuples(index=False):
-        if row.voice_id is not None:
-            taken.add(row.voice_id)
+        if row.voice >= 0:
+            taken.add(row.voice)
             continue
-        pool, k = by[row.cls], at[row.cls]
+        pool, k = by[row.kind], at[row.kind]
         while k < len(pool) and pool[k] in taken:
             k += 1
-        at[row.cls] = k
-        voice = pool[k] if k < len(pool) else pool[0]
+        at[row.kind] = k
+        voice = int(pool[k] if k < len(pool) else pool[0])
         taken.add(voice)
         out.append((row.book_id, int(row.id), voice))
-    return pd.DataFrame(out, columns=["book_id", "id", "voice_id"])
+    return pd.DataFrame(out, columns=["book_id", "id", "voice"])
 
 
 # ---- picks and assignments -----------------------------------------------

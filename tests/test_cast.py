@@ -113,3 +113,16 @@ def test_shortlists_equal_a_scan(spark):
                 if (g in ("", "neutral") or not v[3] or v[3].lower() == g) and a in (v[5] or "").lower() and (not age or bucket(v[4]) in ("", age))
                 and q in " ".join([v[2], v[6] or "", v[7] or "", v[8] or "", v[5] or ""]).lower()]
         assert got.get(i, []) == [v[0] for v in hits][: min(lim or 14, 25)], (i, g, a, age, q)
+
+
+def test_walk_takes_pools_as_arrays_of_numbers():
+    from itertools import count
+
+    import numpy as np
+    import pandas as pd
+
+    steps = pd.DataFrame([(7, i, p, k, -1) for p, (i, k) in zip(count(0, 2), [(10, 0), (11, 0), (12, 1), (13, 1), (14, 1)])], columns=["book_id", "id", "position", "kind", "voice"])
+    fixed = pd.DataFrame([(7, 0, 1, -1, 5)], columns=steps.columns)
+    pools = pd.DataFrame({"book_id": [7, 7], "kind": [0, 1], "voices": [np.array([4, 5, 6]), np.array([6, 4, 9])]})
+    got = V._take_in_order(pd.concat([steps, fixed]), pools)
+    assert got.values.tolist() == [[7, 10, 4], [7, 11, 6], [7, 12, 9], [7, 13, 6], [7, 14, 6]]
