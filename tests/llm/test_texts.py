@@ -255,3 +255,11 @@ def test_toxicity_learns_from_both_kinds_when_the_sentences_are_bounded(monkeypa
     s = model.scores(texts[160:], {})
     good, bad = ([x for x, y in zip(s, labels[160:], strict=True) if y == k] for k in (0, 1))
     assert max(good) < toxicity.THRESHOLD <= min(bad)
+
+
+def test_toxicity_training_holds_each_word_once():
+    texts = ["the same words. the same again", "again the same", None, ""]
+    docs = toxicity.shared_words(texts)
+    assert docs == [toxicity.sentences(t) for t in texts]
+    words = [w for d in docs for s in d for w in s]
+    assert len({id(w) for w in words}) == len(set(words)) < len(words)
