@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 
 # Fixed value: the whitespace set every trim and collapse below uses.
 WS = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+# The same set, character by character: a trim looks at the ends only, a pattern tries every character of a text.
+WS_CHARS = " \t\n\v\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def rtrim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, rf"[{WS}]+\z", "")
+    return F.rtrim(c, F.lit(WS_CHARS))
 
 
 def collapse_ws(c: Column) -> Column:

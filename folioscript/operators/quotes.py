@@ -11,13 +11,13 @@ from folioscript.functions.quote_scan import scan_quotes
 
 # Chunk and context limits of the attribution step.
 MAX_QUOTES, MAX_COVER, CONTEXT_PAD = 30, 12_000, 400
-SINGLE_OPENER = rf"(?<![^{WS}(\[{{—–\-\"“])[‘']"
+SINGLE_OPENER = rf"[‘'](?<![^{WS}(\[{{—–\-\"“][‘'])"  # the mark comes first: few places look behind
 
 
 def quote_style(text: Column) -> Column:
     """curly, straight, single or none, by counting opening marks."""
-    curly = F.regexp_count(text, F.lit("“"))
-    straight = F.regexp_count(text, F.lit('"'))
+    marks = lambda ch: F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
+    curly, straight = marks("“"), marks('"')
     singles = F.regexp_count(text, F.lit(SINGLE_OPENER))
     return (F.when(curly >= 2, "curly").when(straight >= 2, "straight")
             .when((curly == 0) & (straight == 0) & (singles >= 4), "single").otherwise("none"))

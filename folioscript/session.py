@@ -55,3 +55,12 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = shared_dir(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over the shuffle partitions.
+
+    A file of few row groups is read by as few tasks, however many cores there are.
+    Heavy work per row goes behind this, so that it does not stay in those tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -10,7 +10,7 @@ from folioscript.sources.model import Model
 
 def line_segments(m: Model) -> DataFrame:
     """Every document line as a timed segment: (chapter_id, idx, text, start_sec, duration_sec)."""
-    lines = m.table("documents").select(
+    lines = m.texts.select(
         F.col("doc_id").alias("chapter_id"), F.posexplode_outer(F.split("text", "\n")).alias("idx", "text"))
     return lines.filter(F.length("text") > 0).select(
         "chapter_id", F.col("idx").cast("long"), "text",

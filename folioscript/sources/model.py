@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscript.sources import samples as S
-from folioscript.session import tune
+from folioscript.session import spread, tune
 
 
 def pick(values, idx):
@@ -196,6 +196,11 @@ class Model:
         )
 
     # -- text ------------------------------------------------------------
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Document texts for work that is heavy per row, dealt over all tasks."""
+        return spread(self.table("documents").select("doc_id", "text"))
+
     @cached_property
     def documents(self) -> DataFrame:
         """One book per document; lines become blank-line separated paragraphs."""
@@ -236,7 +241,7 @@ class Model:
             .when(i % 6 == 4, F.concat(op, F.substring(l, 1, 20), cl, op, F.substring(l, 21, 1 << 30), cl))
             .otherwise(F.concat(op, l, cl, F.lit(" said Hero "), (i % 40).cast("string"), F.lit(".")))
         )
-        return self.table("documents").select(
+        return self.texts.select(
             d.alias("chapter_id"), (d % 25).alias("book_id"),
             F.when(d % 10 == 0, "Section 3").otherwise(F.concat(F.lit("CHAPTER "), pick(S.ROMANS, d), F.lit(" — The Road"))).alias("title"),
             F.array_join(F.transform(F.split("text", "\n"), quote), "\n\n").alias("text"),
