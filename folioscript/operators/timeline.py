@@ -126,6 +126,12 @@ def _with_remainder(s: Column) -> Column:
         .otherwise(F.concat(pieces, F.array(rest))))
 
 
+def phrase_rows(segments: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows (keep, phrase_idx, phrase), without weights or times."""
+    return segments.select(*keep, F.posexplode_outer(split_phrases(F.col("text"))).alias("phrase_idx", "phrase")).withColumn(
+        "phrase_idx", F.col("phrase_idx").cast("long"))
+
+
 def timed_phrases(timed: DataFrame) -> DataFrame:
     """One row per phrase; a segment's duration is shared by phrase weight.
 

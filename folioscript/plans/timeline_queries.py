@@ -104,8 +104,7 @@ def duration_mismatch(spark, d):
 
 
 def phrase_split(spark, d):
-    segs = line_segments(Model(spark, d))
-    return T.timed_phrases(segs).select("chapter_id", "idx", "phrase_idx", "phrase")
+    return T.phrase_rows(line_segments(Model(spark, d)), ["chapter_id", "idx"])
 
 
 def phrase_timing(spark, d):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscript.functions import js
 from folioscript.operators import quotes as QT
+from folioscript.operators import timeline as T
 from folioscript.sources.derived import line_segments
 from folioscript.sources.model import Model
 
@@ -51,3 +52,12 @@ def test_quote_style_counts_as_before(spark):
             .when((curly == 0) & (straight == 0) & (singles >= 4), "single").otherwise("none"))
     assert df.filter(~QT.quote_style(c).eqNullSafe(want)).count() == 0
     assert df.filter(~count(QT.SINGLE_OPENER).eqNullSafe(singles)).count() == 0 and df.filter(singles > 0).count() > 100
+
+
+def test_phrase_rows_are_those_of_the_timed_phrases(spark):
+    df = spark.createDataFrame([(1, i, t, 0.0, 1.0) for i, t in enumerate(TEXTS)], "chapter_id long, idx long, text string, start_sec double, duration_sec double")
+    columns = ["chapter_id", "idx", "phrase_idx", "phrase"]
+    got = T.phrase_rows(df, ["chapter_id", "idx"])
+    assert got.columns == columns and sorted(got.collect()) == sorted(T.timed_phrases(df).select(*columns).collect())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "greatest" not in plan  # no weights where none are asked for
