@@ -253,10 +253,9 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", word
         "token", "sid", "doc_id", "line", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
     place = F.struct("doc_id", "line", "sid")
     same = Window.partitionBy("token")
-    # Dealt by token before the window: otherwise the struct of ``lead`` is made first and every row is shuffled with a copy of itself.
-    shared = cut_lineage(postings.repartition("token").withColumns({
-        "many": F.count("*").over(same), "lead": F.min(F.struct("doc_id", "line", "sid", "at")).over(same)})
-        .filter("many > 1").drop("many"), "postings")
+    # Two windows, one shuffle: the struct of ``lead`` is made behind it, for the tokens that are left.
+    met_twice = postings.withColumn("many", F.count("*").over(same)).filter("many > 1").drop("many")
+    shared = cut_lineage(met_twice.withColumn("lead", F.min(F.struct("doc_id", "line", "sid", "at")).over(same)), "postings")
     whole = cut_lineage(token_sets(rows, words, shared.select("sid", "doc_id", "line")), "sets")
 
     def candidates(found: DataFrame, x: str) -> DataFrame:
