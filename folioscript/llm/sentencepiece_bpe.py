@@ -25,6 +25,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ from folioscript.llm.common import mix, ship, table, travels, unship
 travels(__name__)
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE, SEED = 0.1, 20_240_101
-MEMO = 400_000  # segmentations remembered before a fresh start
-PIECE = 1 << 20  # characters of text encoded at once; a longer text stays whole
+MEMO = 100_000  # segmentations remembered before a fresh start
+PIECE = 1 << 19  # characters of text encoded at once; a longer text stays whole
 MARK = "▁"
 SHORT = 32  # symbols; a chunk then has fewer than 64 candidates, a bit each
 MASK, NONE, FAR, SPREAD = (1 << 64) - 1, 1 << 60, (1 << 31) - 1, 0xD6E8FEB86659FD93
@@ -169,7 +170,9 @@ class Flat:
         """Append ``values``; the place of the first."""
         at, self.n = self.n, self.n + len(values)
         if self.n > len(self.room):
-            self.room = np.concatenate([self.room[:at], np.empty(max(self.n, len(self.room)), self.room.dtype)])
+            room = np.empty(max(self.n, 2 * len(self.room)), self.room.dtype)  # what is not written yet takes no memory
+            room[:at] = self.room[:at]
+            self.room = room
         self.room[at : self.n] = values
         return at
 
@@ -303,8 +306,9 @@ class Memo(dict):
 
     def start(self) -> None:
         self.clear()
-        self.places, self.next, self.ids, self.symbols = Flat(np.uint64), Flat(np.int64), Flat(self.v.kind), Flat(np.int32)
-        self.at, self.size, self.id_at, self.id_size, self.sym_at, self.sym_size = (Flat(np.int64) for _ in range(6))
+        self.places, self.next, self.ids, self.symbols = Flat(np.uint32), Flat(np.int32), Flat(self.v.kind), Flat(np.int32)
+        self.at, self.id_at, self.sym_at = (Flat(np.int32) for _ in range(3))
+        self.size, self.id_size, self.sym_size = (Flat(np.int16) for _ in range(3))
         self.skips, self.odd = Flat(np.uint64), {}
         none, no_skip = np.empty(0, np.int64), np.zeros(1, np.uint64)
         for spelled in ("", MARK):
@@ -358,10 +362,8 @@ class Memo(dict):
         return node
 
     def nodes(self, chunks: list[str]) -> np.ndarray:
-        """The node of each chunk without skips."""
-        new = [c for c in dict.fromkeys(chunks) if c not in self]
-        short = [c for c in new if len(c) <= SHORT]
-        self.update(dict.fromkeys((c for c in new if len(c) > SHORT), self.LONG))
+        """The node of each chunk without skips; long chunks are not remembered, however many there are."""
+        short = [c for c in dict.fromkeys(chunks) if c not in self and len(c) <= SHORT]
         if short:
             codes = np.frombuffer("".join(short).encode("utf-32-le", "surrogatepass"), np.uint32)
             size = np.fromiter(map(len, short), np.int64, len(short))
@@ -373,11 +375,11 @@ class Memo(dict):
             for i in np.flatnonzero(~known).tolist():
                 made[i] = self.add_odd(short[i])
             self.update(zip(short, made.tolist(), strict=True))
-        return np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+        return np.fromiter(map(self.get, chunks, repeat(self.LONG)), np.int64, len(chunks))
 
     def grow(self, slots: np.ndarray) -> None:
         """Work out the nodes that skipping the candidates at ``slots`` leads to."""
-        node = np.searchsorted(self.at.all, slots, side="right") - 1  # the last of those that start there; only it can have candidates
+        node = np.searchsorted(self.at.all, slots.astype(np.int32), side="right") - 1  # the last of those that start there; only it can have candidates
         nth = slots - self.at.all[node]
         plain = np.ones(len(slots), bool)
         if self.odd:
@@ -440,27 +442,32 @@ class Encoder:
 
     def encode_all(self, texts: list[str], streams: list[int]) -> list[np.ndarray]:
         """Ids of each text; a word-start mark is put in front, as the model does. An empty text has none."""
+        flat, ends = self.encode_flat(texts, streams)
+        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def encode_flat(self, texts: list[str], streams: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each text's begin; one more number for the end."""
         split = [self.chunks(t) if t else [] for t in texts]
         sizes = np.array([len(c) for c in split], np.int64)
         chunks = [c for part in split for c in part]
         if not chunks:
-            return [np.array([], self.v.kind) for _ in texts]
+            return np.empty(0, self.v.kind), np.zeros(len(texts) + 1, np.int64)
         memo, bound = self.memo, int(self.rate * (1 << 32))
         if memo.at.n > MEMO:
             memo.start()
+        del split
         keys = positions([self.record(t, s) for t, s in zip(texts, streams, strict=True)], sizes)
         nodes = memo.nodes(chunks)
         last = memo.drawn(nodes, keys, bound) if bound else nodes
-        at, size, ids = memo.id_at.all[last], memo.id_size.all[last], memo.ids.all
+        at, size, ids = memo.id_at.all[last].astype(np.int64), memo.id_size.all[last].astype(np.int64), memo.ids.all
         long = np.flatnonzero(nodes == memo.LONG).tolist()
         if long:
             apart = [memo.pack(segment(chunks[i].replace(" ", MARK), self.v.ranks, self.rate, int(keys[i]))) for i in long]
             size[long] = [len(x) for x in apart]
             at[long] = len(ids) + np.cumsum([0, *map(len, apart[:-1])])
             ids = np.concatenate([ids, *apart])
-        flat = ids[spans(at, size)]
         ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(sizes)])]
-        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return ids[spans(at, size)], ends
 
 
 def positions(records: list[int], sizes) -> np.ndarray:
@@ -509,9 +516,14 @@ def encode(docs: DataFrame, model: str = MODEL, rate: float = RATE, seed: int =
         encoder = Encoder(unship(shared), rate, seed, 0)
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            ids = [x.astype(np.int32) for piece in in_pieces(texts, keys) for x in encoder.encode_all(*piece)]
-            ids = [None if t is None else x for t, x in zip(texts, ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
+            flat, sizes = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+            for piece in in_pieces(texts, keys):
+                ids, ends = encoder.encode_flat(*piece)
+                flat.append(ids.astype(np.int32))
+                sizes.append(np.diff(ends))
+            ends = np.cumsum(np.concatenate(sizes)).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)), mask=b.column(1).is_null())
+            yield pa.RecordBatch.from_arrays([b.column(0), ids], [key, "ids"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>")
 

@@ -235,6 +235,23 @@ def test_every_occurrence_draws_its_own_skips(monkeypatch):
         assert encoder.encode(t).tolist() == ids and by[stream].encode(t).tolist() == ids
 
 
+def test_what_an_encoder_remembers_stays_small(spark, make_docs):
+    v, rng = sentencepiece_bpe.Vocabulary(), random.Random(5)
+    encoder = sentencepiece_bpe.Encoder(v, 0.1, 7, 1)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 12))) for _ in range(4000)]
+    for k in range(3):
+        encoder.encode(" ".join(words) + "".join(f" {'long' * 30}{k}x{i}" for i in range(50)))
+    memo = encoder.memo
+    assert memo.at.n > 4000 and all(len(c) <= sentencepiece_bpe.SHORT for c in memo)
+    flats = [f for f in vars(memo).values() if isinstance(f, sentencepiece_bpe.Flat)]
+    assert sum(f.all.nbytes for f in flats) <= 30 * memo.at.n + 8 * memo.places.n + 4 * memo.symbols.n + 4 * memo.ids.n
+    texts = ["a b", None, "", " ".join(words[:300]), "é日 " + "long" * 30, None]
+    got = {r["doc_id"]: r["ids"] for r in sentencepiece_bpe.encode(make_docs([(i, t) for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        one = sentencepiece_bpe.Encoder(v, sentencepiece_bpe.RATE, sentencepiece_bpe.SEED, sentencepiece_bpe.stream_of(i))
+        assert got[i] == (None if t is None else one.encode(t).tolist())
+
+
 def test_toxicity_learns_from_both_kinds_when_the_sentences_are_bounded(monkeypatch):
     """Toxic documents alone fill the bound: clean ones still teach, and held-out texts are ranked."""
     rng = random.Random(17)
